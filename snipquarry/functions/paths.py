@@ -1,5 +1,7 @@
 """File paths and repository addresses."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from snipquarry import settings
@@ -20,16 +22,14 @@ def language(path: Column, languages=None) -> Column:
     return F.element_at(F.create_map(*pairs), suffix(path))
 
 
-def ignored_name(name: Column, is_dir=False) -> Column:
-    names = settings.IGNORED_DIRS if is_dir else settings.IGNORED_FILES
-    return name.isin(names) | name.startswith(".")
+def ignored_name(name: Column) -> Column:
+    return name.isin(settings.IGNORED_FILES) | name.startswith(".")
 
 
 def below_ignored_dir(path: Column) -> Column:
     """True where any directory on the way to the file is ignored."""
-    parts = F.split(path, "/")
-    parents = F.slice(parts, 1, F.size(parts) - 1)
-    return F.exists(parents, lambda p: ignored_name(p, is_dir=True))
+    plain = "|".join(re.escape(d) for d in settings.IGNORED_DIRS if not d.startswith("."))
+    return path.rlike(rf"(?:^|/)(?:\.[^/]*|{plain})/")
 
 
 def relative_path(path: Column, root: Column) -> Column:

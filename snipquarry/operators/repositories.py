@@ -113,7 +113,9 @@ def cascade_delete(deleted: DataFrame, repositories, snippets, jobs, suggestions
     gone are listed under `dangling`.
     """
     gone = deleted.select("repo_id").distinct()
-    removed = snippets.join(gone, "repo_id", "left_semi").select(F.col("id").alias("snippet_id"))
+    removed = salted_join(snippets, gone, ["repo_id"], ["id"], "left_semi").select(
+        F.col("id").alias("snippet_id")
+    )
     return {
         "repositories": repositories.join(gone.withColumnRenamed("repo_id", "id"), "id", "left_anti"),
         "snippets": purge(snippets, gone),

@@ -21,11 +21,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import scores
+from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import salted_join
 
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
 COPY_ROWS = 16_384
-COPY_BYTES = 64 * 1024 * 1024
+COPY_BYTES = 32 * 1024 * 1024
 BLOCK_VECTORS = 16_384
 BLOCK_ASKS = 4_096
 
@@ -391,8 +392,10 @@ def with_snippets(hits: DataFrame, snippets: DataFrame, fields=None) -> DataFram
     """Hits with their snippet and score.  Hits without a snippet drop out; ranks stay.
 
     Hits carry no text, so the join moves a few bytes per hit; a snippet that is hit very
-    often is split over tasks.
+    often is split over tasks.  The hits are written first: finding such snippets reads them
+    again, and the search should not run again for that.
     """
+    hits = written(hits, "hits")
     fields = [f for f in (fields or RESULT_FIELDS) if f in snippets.columns]
     found = salted_join(hits, snippets.select("id", *fields), ["id"], ["query_id", "rank"])
     return found.select(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from snipquarry.operators import evaluation, inference, search
+from snipquarry.operators import cache, evaluation, inference, search, service
 from workload.registry import SNIPPET_VECTORS, query, views
 
 DIST = """list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),
@@ -197,6 +197,37 @@ def text_results(v):
     return asked, search.with_snippets(search.exact_topk(queries, vectors), docs)
 
 
+@query("retrieve_cached", f"""
+WITH {TEXT_SEARCH},
+asked AS (
+  SELECT conv_id * 100000 + turn AS query_id, conv_id, text AS question, 'all' AS scope FROM conversations WHERE role = 'user'),
+stored AS (SELECT DISTINCT question FROM asked WHERE query_id % 100000 = 0),
+found AS (
+  SELECT query_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM hits GROUP BY query_id)
+SELECT a.query_id, CASE WHEN s.question IS NOT NULL THEN 0 ELSE coalesce(n, 0) END AS "count",
+       CASE WHEN s.question IS NOT NULL THEN '' ELSE coalesce(ids, '') END AS ids,
+       s.question IS NOT NULL OR row_number() OVER (PARTITION BY a.question ORDER BY a.query_id) > 1 AS cached
+FROM asked a LEFT JOIN found f USING (query_id) LEFT JOIN stored s ON s.question = a.question""")
+def retrieve_cached(spark, sf):
+    """User turns as search requests, where first turns have an empty answer in the cache."""
+    v = views(spark, sf)
+    at = F.lit("2024-01-01").cast("timestamp")
+    asked = v.conversations.filter("role = 'user'").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+        F.lit(5).alias("k"), F.lit(None).cast("string").alias("repo_id"), at.alias("requested_at"),
+    )
+    empty = F.lit(None).cast(service.results_type(v.snippets))
+    first = asked.filter("query_id % 100000 = 0").select(
+        F.col("query"), F.col("repo_id"), empty.alias("results"), F.lit(0).alias("count"), at.alias("written_at")
+    ).distinct()
+    stored = cache.search_entries(first, "written_at")
+    provider = inference.hash_provider(dim=64)
+    vectors = inference.embed(v.snippets.select("id", "content"), provider, "content").select("id", "embedding")
+    answered, _ = service.retrieve(asked, stored, vectors, v.snippets, provider)
+    ids = F.array_join(F.transform("results", lambda r: r.id.cast("string")), ",")
+    return answered.select("query_id", F.col("count").cast("long"), F.coalesce(ids, F.lit("")).alias("ids"), "cached")
+
+
 @query("search_text", f"""
 WITH {TEXT_SEARCH}
 SELECT query_id, rank, id, round(1 / (1 + distance), 6) AS score FROM hits""")

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from snipquarry.functions import paths
 from snipquarry.operators import repositories, vectors
+from snipquarry.plans.scratch import scratch_dir
+from snipquarry.sources import tables
 from workload.files import jobs_of, jobs_sql
 from workload.registry import (
     INDEX_REQUESTS, PURGE_LIST, REPOSITORIES, SNIPPET_VECTORS, SOURCE_REPOSITORIES, SUGGESTION_REQUESTS,
@@ -157,6 +159,18 @@ def embedding_records(spark, sf):
     )
 
 
+@query("insert_embeddings", f"""
+WITH {SNIPPET_VECTORS}
+SELECT repo_id, count(*) AS n, (SELECT count(*) FROM snippet_vectors) AS inserted
+FROM snippet_vectors GROUP BY repo_id""")
+def insert_embeddings(spark, sf):
+    """Append the records to a table by repository, and read it back with the count of the write."""
+    path = scratch_dir(spark, "vectors")
+    inserted = tables.append(vectors.embedding_records(views(spark, sf).snippet_vectors), path, ["repo_id"])
+    stored = tables.read_table(spark, path)
+    return stored.groupBy("repo_id").agg(F.count("*").alias("n"), F.lit(inserted).cast("long").alias("inserted"))
+
+
 @query("validate_embeddings", f"""
 WITH {SNIPPET_VECTORS}
 SELECT id, concat_ws(',', CASE WHEN id IS NULL OR length(id::VARCHAR) > 2 THEN 'id' END,
