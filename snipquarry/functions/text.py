@@ -4,9 +4,14 @@ from pyspark.sql import Column, functions as F
 
 from snipquarry import settings
 
-# White space as Python's str.split() sees it.
-SPACE = r"[\s\x1c-\x1f]"
-TOKEN = r"[^\s\x1c-\x1f]+"
+# The white space at which Python's str.split() and str.strip() cut.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same as patterns; Java runs these faster than the list.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+TOKEN = r"(?U)[^\s\x1c-\x1f]+"
 
 
 def unix_newlines(text: Column) -> Column:
@@ -19,20 +24,23 @@ def lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"(?U){SPACE}+", -1), lambda t: t != "")
+def tokens(text: Column, limit=None) -> Column:
+    """White-space tokens, all of them or the first `limit`."""
+    pieces = F.split(strip(text), SPACES, -1 if limit is None else limit + 1)
+    first = pieces if limit is None else F.slice(pieces, 1, limit)
+    return F.filter(first, lambda t: t != "")
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"(?U){TOKEN}"))
+    return F.regexp_count(text, F.lit(TOKEN))
 
 
 def truncate_tokens(text: Column, limit=settings.MAX_TOKENS) -> Column:
     """At most `limit` white-space tokens, joined by single spaces."""
-    return F.array_join(F.slice(tokens(text), 1, limit), " ")
+    return F.array_join(tokens(text, limit), " ")
 
 
 def instruct(text: Column, instruction: Column) -> Column:

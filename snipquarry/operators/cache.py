@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import keys
@@ -60,6 +60,7 @@ def clear_pattern(cache: DataFrame, pattern: str) -> DataFrame:
 # --- replay of a request log -----------------------------------------------------------
 
 LARGE_KEY = 1_000_000
+LARGE_SHARE = 1e-4
 
 
 def _micros(ts: str) -> Column:
@@ -106,49 +107,103 @@ def _replay_sorted(ttl):
 
 
 def ttl_replay(
-    requests: DataFrame, ttl=settings.SEARCH_TTL_SECONDS, key="key", ts="ts", id="id", large_key=LARGE_KEY
+    requests: DataFrame, ttl=settings.SEARCH_TTL_SECONDS, key="key", ts="ts", id="id",
+    large_key=LARGE_KEY, large_share=LARGE_SHARE,
 ) -> DataFrame:
     """Which requests (id) of a log would have been answered by a cache with `ttl` seconds.
 
     Only misses write, so a request is a hit if it is younger than `ttl` since its key's last
     miss.  Requests of the same time are taken in the order of their ids.
 
-    Keys up to `large_key` requests are read once in sorted order, without collecting a key.
-    The few larger ones are replayed for all keys together in steps of one `ttl`: a key has at
-    most one miss per step, which is a minimum and combines before the shuffle.
+    Most keys are read once in sorted order, without collecting a key.  Keys with more than
+    `large_key` requests and more than `large_share` of all are replayed by `_replay_large`,
+    which spreads each of them over all tasks.
     """
     step = int(ttl or settings.SEARCH_TTL_SECONDS) * 1_000_000
     log = requests.select(F.col(key).alias("key"), _micros(ts).alias("t"), F.col(id).alias("id"))
     result = T.StructType([log.schema["id"], T.StructField("hit", T.BooleanType())])
-    counts = log.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large_key)
-    # Each large key has more than `large_key` requests, so there are few of them.
-    large = [r.key for r in counts.select("key").toLocalIterator()]
+    n = F.count(F.lit(1))
+    least = F.greatest(F.lit(large_key), log.agg(n).scalar() * large_share)
+    counts = log.groupBy("key").agg(n.alias("n")).filter(F.col("n") > least)
+    # Never more than 1 / large_share keys.
+    large = [r.key for r in counts.filter("key IS NOT NULL").select("key").toLocalIterator()]
     is_large = F.coalesce(F.col("key").isin(large), F.lit(False))
-    small = log.filter(~is_large).repartition("key").sortWithinPartitions("key", "t", "id")
+    small = (log.filter(~is_large) if large else log).repartition("key").sortWithinPartitions("key", "t", "id")
     replayed = small.mapInArrow(_replay_sorted(step), result)
     return replayed.unionByName(_replay_large(log.filter(is_large), step)) if large else replayed
 
 
-def _replay_large(log: DataFrame, step: int) -> DataFrame:
+def _next_misses(step, rows_kept):
+    """Misses of one key after a known miss, from the first rows of each window of length `step`.
+
+    Windows are counted from the known miss, whose own offset is therefore 0.  The next miss is
+    in the following window at the same offset or later, or else it is the first request after
+    that window.  Stops at a window whose kept rows do not reach the offset.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("w", "ascending"), ("o", "ascending"), ("id", "ascending")])
+        window, offset = group.column("w").to_numpy(), group.column("o").to_numpy()
+        numbers, starts = np.unique(window, return_index=True)
+        ends = [*starts[1:], len(window)]
+        last, at, found = 0, 0, []
+        for number, start, end in zip(numbers, starts, ends):
+            wanted = at if number == last + 1 else 0
+            i = start + int(np.searchsorted(offset[start:end], wanted))
+            if i < end:
+                last, at = number, offset[i]
+                found.append(i)
+            elif end - start == rows_kept:
+                break
+        return group.select(["key", "t", "id"]).take(pa.array(found, pa.int64()))
+
+    return run
+
+
+def _replay_large(log: DataFrame, step: int, windows=4096, rows_kept=256) -> DataFrame:
+    """Replay few keys with very many requests each.
+
+    A round finds each key's misses in the next `windows` times `step` after its last known
+    miss, from the first `rows_kept` requests by offset of every window.  Each task cuts its
+    rows to those before the shuffle, so no task sees more of a key than windows * rows_kept.
+    """
     spark = log.sparkSession
     rows_path, misses_path = scratch_dir(spark, "ttl-rows"), scratch_dir(spark, "ttl-misses")
-    # By time and not by key: each step then reads only its own part of the table.
+    # By time and not by key: a round then reads only its own part of the table.
     log.repartitionByRange("t").sortWithinPartitions("t").write.parquet(rows_path)
     rows = spark.read.schema(log.schema).parquet(rows_path)
-    steps = [r.s for r in rows.select(F.floor(F.col("t") / step).alias("s")).distinct().collect()]
-    missed = None
-    for s in sorted(steps):
-        now = rows.filter((F.col("t") >= s * step) & (F.col("t") < (s + 1) * step))
-        if missed is not None:
-            # One row per large key.
-            last = F.broadcast(missed.groupBy("key").agg(F.max("t").alias("anchor")))
-            now = now.join(last, "key", "left").filter(
-                F.col("anchor").isNull() | (F.col("t") >= F.col("anchor") + step)
-            )
-        first = now.groupBy("key").agg(F.min(F.struct("t", "id")).alias("m"))
-        first.select("key", "m.t", "m.id").coalesce(1).write.mode("append").parquet(misses_path)
-        missed = spark.read.schema(log.schema).parquet(misses_path)
-    marked = missed.select("id", F.lit(False).alias("hit"))
+    known = T.StructType([log.schema["key"], T.StructField("anchor", T.LongType())])
+
+    def save(misses):
+        """Append misses and return each key's last one."""
+        path = f"{misses_path}/part={save.count}"
+        save.count += 1
+        misses.write.parquet(path)
+        last = spark.read.schema(log.schema).parquet(path).groupBy("key").agg(F.max("t").alias("t"))
+        return {r.key: r.t for r in last.collect()}
+
+    save.count = 0
+    first = F.min(F.struct("t", "id")).alias("m")
+    anchors = save(rows.groupBy("key").agg(first).select("key", "m.t", "m.id"))
+    while anchors:
+        # One row per large key.
+        state = F.broadcast(spark.createDataFrame(list(anchors.items()), known))
+        later = rows.filter(F.col("t") >= min(anchors.values()) + step).join(state, "key")
+        near = later.filter(F.col("t") < max(anchors.values()) + (windows + 1) * step)
+        since = F.col("t") - F.col("anchor")
+        placed = near.select("key", "t", "id", F.expr(f"(t - anchor) DIV {step}").alias("w"), (since % step).alias("o"))
+        order = Window.partitionBy("key", "w").orderBy("o", "id")
+        kept = placed.filter(F.col("w").between(1, windows)).withColumn("_n", F.row_number().over(order))
+        kept = kept.filter(F.col("_n") <= rows_kept).drop("_n")
+        found = save(kept.groupBy("key").applyInArrow(_next_misses(step, rows_kept), log.schema))
+        rest = [k for k in anchors if k not in found]
+        if rest:
+            # Nothing in reach: their next miss is their next request, if there is one.
+            beyond = later.filter(F.col("key").isin(rest) & (since >= step))
+            found |= save(beyond.groupBy("key").agg(first).select("key", "m.t", "m.id"))
+        anchors = found
+    misses = spark.read.schema(log.schema).parquet(*[f"{misses_path}/part={i}" for i in range(save.count)])
+    marked = misses.select("id", F.lit(False).alias("hit"))
     return rows.join(marked, "id", "left").select("id", F.coalesce("hit", F.lit(True)).alias("hit"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from snipquarry import schemas, settings
 from snipquarry.functions import paths, text
+from snipquarry.plans.spread import spread
 
 
 def _windows(lines: Column, size: int, overlap: int) -> Column:
@@ -98,7 +99,7 @@ def definitions(source: Column) -> Column:
 def extract_definitions(files: DataFrame, content="content") -> DataFrame:
     """One row per definition of each Python file."""
     keep = [c for c in files.columns if c != content]
-    return files.select(*keep, definitions(F.col(content)).alias("_chunks")).select(*keep, F.inline("_chunks"))
+    return spread(files).select(*keep, definitions(F.col(content)).alias("_chunks")).select(*keep, F.inline("_chunks"))
 
 
 def chunk_files(
@@ -114,7 +115,7 @@ def chunk_files(
     is_python = paths.suffix(F.col(path)) == ".py"
     read_error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     body = F.col(content)
-    prepared = files.select(
+    prepared = spread(files).select(
         *keep,
         read_error.alias("_read_error"),
         definitions(F.when(is_python, body)).alias("_definitions"),

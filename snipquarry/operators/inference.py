@@ -17,6 +17,7 @@ from snipquarry.functions import keys, text
 from snipquarry.functions.keys import suggestion_key
 from snipquarry.plans.numbering import number_in_group
 from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.plans.spread import spread
 
 Provider = Callable[[Column], Column]
 
@@ -87,7 +88,7 @@ def split_texts(rows: DataFrame, text_col="text"):
 def embed(rows: DataFrame, provider: Provider, text_col="text", instruction: Column | None = None) -> DataFrame:
     """Add the `embedding` of each row's text, wrapped in its instruction if there is one."""
     value = F.col(text_col) if instruction is None else text.instruct(F.col(text_col), instruction)
-    return rows.withColumn("embedding", provider(value))
+    return spread(rows).withColumn("embedding", provider(value))
 
 
 # What the offline generator answers, by the first word it finds in the prompt.
