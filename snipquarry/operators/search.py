@@ -27,6 +27,7 @@ from snipquarry.plans.skew import salted_join
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
 COPY_ROWS = 16_384
 COPY_BYTES = 32 * 1024 * 1024
+PRUNED_ROUTES = 1_000
 BLOCK_VECTORS = 16_384
 BLOCK_ASKS = 4_096
 
@@ -41,11 +42,22 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _best(queries, k, vectors, order, slice_cells=4_000_000):
+def _first_copies(vectors, order, keep):
+    """Rows of `vectors` without those that have `keep` equal rows before them in `order`."""
+    rows = np.ascontiguousarray(vectors + 0.0)
+    _, copy_of = np.unique(rows.view(f"V{rows.itemsize * rows.shape[1]}").ravel(), return_inverse=True)
+    by = np.lexsort((order, copy_of))
+    copy_of = copy_of[by]
+    place = np.arange(len(by)) - np.searchsorted(copy_of, copy_of, side="left")
+    return np.sort(by[place < keep])
+
+
+def _best(queries, k, vectors, order, slice_cells=4_000_000, distinct=False):
     """(query row, vector row, squared distance) of each query's k nearest vectors.
 
     `order` ranks equal distances.  The product form of the distance only narrows the choice;
-    its rounding error stays within `slack`.
+    its rounding error stays within `slack`.  Where many copies of a vector tie, those that
+    k copies precede are left out first.
     """
     n = len(vectors)
     found = []
@@ -61,6 +73,10 @@ def _best(queries, k, vectors, order, slice_cells=4_000_000):
         limit = np.partition(rough, top - 1, axis=1)[:, top - 1]
         slack = 1e-9 * (1.0 + norms + vector_norms.max())
         q, v = np.nonzero(rough <= (limit + slack)[:, None])
+        if len(q) > 2 * top * len(part) and not distinct:
+            kept = _first_copies(vectors, order, top)
+            q, v, distance = _best(queries, k, vectors[kept], order[kept], slice_cells, distinct=True)
+            return q, kept[v], distance
         exact = np.empty(len(q))
         width = max(1, slice_cells // max(1, vectors.shape[1]))
         for i in range(0, len(q), width):
@@ -226,6 +242,10 @@ def nearest(
     asks = asks.select("query_id", "embedding", "k", "route")
     small = asks.limit(copy_rows + 1).toArrow() if copy_rows else None
     if small is not None and small.num_rows <= copy_rows and small.nbytes <= copy_bytes:
+        asked = pc.unique(small.column("route")).to_pylist()
+        if None not in asked and len(asked) <= PRUNED_ROUTES:
+            # Reaches the scan: only the folders or row groups of these routes are read.
+            vectors = vectors.filter(F.col("route").isin(asked))
         found = _scan(small, vectors, schema)
     else:
         sizes = {"block_vectors": block_vectors, "block_asks": block_asks}

@@ -2,15 +2,15 @@
 
 from pyspark.sql import DataFrame
 
+PIECE_BYTES = 128 * 1024 * 1024
 
-def spread(df: DataFrame) -> DataFrame:
+
+def spread(df: DataFrame, piece_bytes=PIECE_BYTES) -> DataFrame:
     """Spread a small input over all cores before costly per-row work.
 
     Tables are read in pieces by size, so a small one gives fewer tasks than there are cores.
     Inputs that fill the cores anyway are left as they are: nothing is shuffled at scale.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    piece = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * piece else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * piece_bytes else df

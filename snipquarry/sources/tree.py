@@ -91,7 +91,7 @@ def read_contents(files: DataFrame, partitions: int) -> DataFrame:
     An unreadable file keeps its row, with NULL content and the message in `error`.
     """
     schema = files.drop("content", "error").schema
-    names = schema.names
+    names = list(schema.names)
 
     def run(batches):
         for batch in batches:

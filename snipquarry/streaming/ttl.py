@@ -20,7 +20,6 @@ class _LastMiss(StatefulProcessor):
         self.anchor = handle.getValueState("anchor", T.StructType().add("t", T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues):
-        # The requests of one key in one micro-batch; the source's rate limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"])
         before = self.anchor.get()[0] if self.anchor.exists() else None
         missed, last = misses_of(batch["t"].to_numpy(), self.ttl, before)
@@ -36,7 +35,8 @@ class _LastMiss(StatefulProcessor):
 def ttl_stream(requests: DataFrame, ttl=settings.SEARCH_TTL_SECONDS, key="key", ts="ts", id="id") -> DataFrame:
     """`ttl_replay` on a stream.
 
-    Equal to it when requests arrive in the order of their times.  Needs `STATE_STORE` as
+    Equal to it when requests arrive in the order of their times.  The requests of a key in
+    one micro-batch meet in one task: bound the micro-batches, as `read_stream` does.  Needs `STATE_STORE` as
     spark.sql.streaming.stateStore.providerClass.
     """
     log = requests.select(

@@ -137,6 +137,19 @@ def latency_histogram(spark, sf):
     return buckets.select("event_type", F.col("bucket").cast("long"), "n")
 
 
+@query("batch_size_histogram", """
+SELECT bucket::BIGINT AS bucket, count(*) AS n FROM (
+  SELECT CASE WHEN n < 1 THEN 0 WHEN n >= 33 THEN 9 ELSE (n - 1) // 4 + 1 END AS bucket
+  FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id))
+GROUP BY bucket""")
+def batch_size_histogram(spark, sf):
+    from snipquarry.operators.inference import batch_totals
+
+    totals = batch_totals(views(spark, sf).conversations, group=["conv_id"])
+    buckets = evaluation.histogram(totals, "batch_size", 1, 33, 8)
+    return buckets.select(F.col("bucket").cast("long"), "n")
+
+
 @query("audit_daily", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def audit_per_day(spark, sf):

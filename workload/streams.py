@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from snipquarry.plans.scratch import scratch_dir
+from snipquarry.sources.streams import read_stream
 from snipquarry.streaming import audit, indexing, ttl
 from workload.cache import DAY, TTL_REPLAY, request_log
 from workload.files import INDEX_SNIPPETS, _with_md5
@@ -12,7 +13,7 @@ from workload.registry import code_files, query, views
 def _stream(spark, sf, name):
     batch = spark.read.parquet(f"{sf}/{name}.parquet")
     # A pattern: the source takes a folder or a pattern, not the path of one file.
-    return spark.readStream.schema(batch.schema).parquet(f"{sf}/{name}.parque[t]")
+    return read_stream(spark, f"{sf}/{name}.parque[t]", batch.schema)
 
 
 def _run(stream, name, mode="append"):
