@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from snipquarry.plans.scratch import written
+from snipquarry.operators.search import join_hits
 from snipquarry.plans.skew import salted_join
 
 
@@ -12,8 +12,7 @@ def judge_by_label(hits: DataFrame, labels: DataFrame) -> DataFrame:
     `labels` has (id, label) for queries and vectors alike.
     """
     own = labels.select(F.col("id").alias("query_id"), F.col("label").alias("_wanted"))
-    hits = written(hits, "hits")
-    got = salted_join(hits, labels.select("id", "label"), ["id"], ["query_id", "rank"])
+    got = join_hits(hits, labels.select("id", "label"))
     relevant = (F.col("label") == F.col("_wanted")) & (F.col("id") != F.col("query_id"))
     return got.join(own, "query_id").withColumn("relevant", relevant).drop("label", "_wanted")
 

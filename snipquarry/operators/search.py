@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import scores
-from snipquarry.plans.scratch import written
+from snipquarry.plans.scratch import written_rows
 from snipquarry.plans.skew import salted_join
 
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
@@ -239,7 +239,8 @@ def nearest(
     whether they are few enough to be copied to the tasks.
     """
     schema = _pairs_schema(asks, vectors)
-    asks = asks.select("query_id", "embedding", "k", "route")
+    asks = asks.select("query_id", "embedding", "k", "route").filter("embedding IS NOT NULL")
+    vectors = vectors.filter("embedding IS NOT NULL")
     small = asks.limit(copy_rows + 1).toArrow() if copy_rows else None
     if small is not None and small.num_rows <= copy_rows and small.nbytes <= copy_bytes:
         asked = pc.unique(small.column("route")).to_pylist()
@@ -403,6 +404,18 @@ def cell_exact_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFram
 
 # --- results ---------------------------------------------------------------------------
 
+# A hit is two ids, a rank and a distance: some tens of MB at most are copied.
+COPY_HITS = 200_000
+
+
+def join_hits(hits: DataFrame, single: DataFrame, copy_hits=COPY_HITS) -> DataFrame:
+    """Hits joined with a table that has one row per `id`."""
+    hits, rows = written_rows(hits, "hits")
+    if rows <= copy_hits:
+        return F.broadcast(hits).join(single, "id")
+    return salted_join(hits, single, ["id"], ["query_id", "rank"])
+
+
 RESULT_FIELDS = [
     "file_path", "language", "content", "start_line", "end_line", "function_name", "class_name",
 ]
@@ -411,13 +424,12 @@ RESULT_FIELDS = [
 def with_snippets(hits: DataFrame, snippets: DataFrame, fields=None) -> DataFrame:
     """Hits with their snippet and score.  Hits without a snippet drop out; ranks stay.
 
-    Hits carry no text, so the join moves a few bytes per hit; a snippet that is hit very
-    often is split over tasks.  The hits are written first: finding such snippets reads them
-    again, and the search should not run again for that.
+    The hits are written first, which also counts them.  Up to `COPY_HITS` they are copied to
+    the tasks and the snippets stay where they are.  Beyond it both are shuffled by id, and a
+    snippet that is hit very often is split over tasks.
     """
-    hits = written(hits, "hits")
     fields = [f for f in (fields or RESULT_FIELDS) if f in snippets.columns]
-    found = salted_join(hits, snippets.select("id", *fields), ["id"], ["query_id", "rank"])
+    found = join_hits(hits, snippets.select("id", *fields))
     return found.select(
         "query_id", "rank", "id", *fields, scores.similarity(F.col("distance")).alias("score")
     )

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -20,8 +20,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name: str):
-    """Write `df` to scratch and read it back: later steps do not recompute it."""
+def written_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write `df` to scratch and read it back, with the number of rows from the write itself."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to scratch and read it back: later steps do not recompute it."""
+    return written_rows(df, name)[0]

@@ -84,7 +84,7 @@ def list_files(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs
     return files.select("repo_id", "root", "path", "size")
 
 
-def read_contents(files: DataFrame, partitions: int) -> DataFrame:
+def read_contents(files: DataFrame, partitions: int, batch_bytes=8 * 1024 * 1024) -> DataFrame:
     """Add `content` (bytes) and `error` to rows with a `path`.
 
     Paths are spread by hash before any content is read; content itself is not shuffled.
@@ -93,22 +93,29 @@ def read_contents(files: DataFrame, partitions: int) -> DataFrame:
     schema = files.drop("content", "error").schema
     names = list(schema.names)
 
+    def read(path):
+        try:
+            filesystem, path = _open(path)
+            with filesystem.open_input_stream(path) as stream:
+                return stream.read(), None
+        except OSError as problem:
+            return None, str(problem)
+
     def run(batches):
         for batch in batches:
-            # One output row at a time in memory: files can be large.
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                try:
-                    filesystem, path = _open(row.column("path")[0].as_py())
-                    with filesystem.open_input_stream(path) as stream:
-                        content, error = stream.read(), None
-                except OSError as problem:
-                    content, error = None, str(problem)
-                yield pa.RecordBatch.from_arrays(
-                    [row.column(n) for n in names]
-                    + [pa.array([content], pa.binary()), pa.array([error], pa.string())],
-                    names=names + ["content", "error"],
-                )
+            start, found, held = 0, [], 0
+            for end, path in enumerate(batch.column("path").to_pylist(), 1):
+                found.append(read(path))
+                held += len(found[-1][0] or b"")
+                if held >= batch_bytes or end == batch.num_rows:
+                    content, error = zip(*found)
+                    rows = batch.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(n) for n in names]
+                        + [pa.array(content, pa.binary()), pa.array(error, pa.string())],
+                        names=names + ["content", "error"],
+                    )
+                    start, found, held = end, [], 0
 
     spread = files.select(*names).repartition(partitions, "path")
     return spread.mapInArrow(run, schema.add("content", "binary").add("error", "string"))

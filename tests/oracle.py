@@ -20,7 +20,7 @@ def sql_rows(sf_dir, sql):
 
 def _plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else value + 0.0
     return value
 
 

@@ -60,7 +60,7 @@ def test_reading_and_indexing(spark, tmp_path):
     checkouts = _checkout(spark, tmp_path)
     found = files.discover(files.with_relative_path(tree.list_files(checkouts, 2)))
     gone = found.limit(1).withColumns({"path": F.lit(f"{tmp_path}/gone.go"), "file_path": F.lit("gone.go")})
-    read = tree.read_contents(found.unionByName(gone), 2).withColumn("content", tree.decode(F.col("content")))
+    read = tree.read_contents(found.unionByName(gone), 2, batch_bytes=10).withColumn("content", tree.decode(F.col("content")))
     chunks = indexing.index_chunks(read)
     rows = {r.file_path: r for r in indexing.snippets(chunks).collect()}
     assert set(rows) == KEPT

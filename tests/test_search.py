@@ -25,9 +25,8 @@ def data(spark):
     queries[5] = vectors[0]
     scopes = [None if i % 4 == 0 else "" if i % 4 == 1 else "big" if i % 4 == 2 else f"r{i % 7}" for i in range(60)]
     ks = [None if i == 7 else [1, 5, 40, 200, -3][i % 5] for i in range(60)]
-    v = spark.createDataFrame(
-        [(f"v{i:04d}", repos[i], vectors[i].tolist()) for i in range(600)], "id string, repo_id string, embedding array<float>"
-    ).repartition(5)
+    rows = [(f"v{i:04d}", repos[i], vectors[i].tolist()) for i in range(600)] + [("v9998", "big", None)]
+    v = spark.createDataFrame(rows, "id string, repo_id string, embedding array<float>").repartition(5)
     q = spark.createDataFrame(
         [(i, queries[i].tolist(), ks[i], scopes[i]) for i in range(60)],
         "query_id int, embedding array<float>, k int, repo_id string",
@@ -78,8 +77,9 @@ def test_distance_itself(data):
 @pytest.fixture(scope="module")
 def cells(spark, data):
     v = data[0]
-    centroids = search.train_centroids(v, cells=9, seed=1)
-    return centroids, search.assign_cells(v, centroids)
+    known = v.filter("embedding IS NOT NULL")
+    centroids = search.train_centroids(known, cells=9, seed=1)
+    return centroids, search.assign_cells(known, centroids)
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -116,7 +116,10 @@ def test_stored_cells(spark, data, cells, tmp_path):
     assert _hits(search.ivf_topk(q, stored, centroids, nprobe=9)) == _brute(data, scoped=False)
 
 
-def test_results_and_responses(spark, data):
+@pytest.mark.parametrize("copied", [True, False])
+def test_results_and_responses(spark, data, copied, monkeypatch):
+    if not copied:
+        monkeypatch.setattr(search.join_hits, "__defaults__", (0,))
     v, q = data[:2]
     # Every other snippet is missing.
     snippets = v.filter(F.substring("id", -1, 1).cast("int") % 2 == 0).select(
