@@ -3,7 +3,7 @@
 import ast
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from snipquarry import schemas, settings
 from snipquarry.functions import paths, text
@@ -44,6 +44,20 @@ def chunk_lines(
     return split.select(*keep, F.inline(_windows(F.col("_lines"), size, overlap)))
 
 
+_BLOCKS = (ast.stmt, ast.excepthandler, ast.match_case)
+
+
+def _statements(tree):
+    """All statements, breadth first.  Expressions are left out: they hold no definitions."""
+    queue = [tree]
+    for node in queue:
+        for field in node._fields:
+            inner = getattr(node, field, None)
+            if type(inner) is list and inner and isinstance(inner[0], _BLOCKS):
+                queue.extend(inner)
+    return queue
+
+
 def _cut(source):
     """Chunks of one Python text, as dicts in the order of a breadth-first tree walk."""
     rows = source.split("\n")
@@ -55,7 +69,7 @@ def _cut(source):
     except (ValueError, RecursionError, MemoryError) as problem:
         return [{"ordinal": 0, "error": f"{type(problem).__name__}: {problem}"}]
     found = []
-    for node in ast.walk(tree):
+    for node in _statements(tree):
         name_field = {ast.FunctionDef: "function_name", ast.ClassDef: "class_name"}.get(type(node))
         if name_field:
             first, last = node.lineno, node.end_lineno
@@ -91,9 +105,8 @@ def definitions(source: Column) -> Column:
     listed on their own and inside their class.  A text without definitions, or one that
     does not parse, is one chunk; one that cannot be read at all is one row with `error`.
     """
-    from pyspark.sql import types as T
-
-    return F.arrow_udf(_definitions, T.ArrayType(schemas.CHUNK))(source)
+    # "Nondeterministic" keeps Spark from parsing twice, for the rows and for a filter it infers.
+    return F.arrow_udf(_definitions, T.ArrayType(schemas.CHUNK)).asNondeterministic()(source)
 
 
 def extract_definitions(files: DataFrame, content="content") -> DataFrame:

@@ -6,6 +6,10 @@ from snipquarry import schemas, settings
 from snipquarry.functions import keys
 from snipquarry.operators.chunking import chunk_files
 from snipquarry.operators.files import discover
+from snipquarry.operators.repositories import register, with_status
+from snipquarry.plans.scratch import written
+from snipquarry.plans.skew import salted_join
+from snipquarry.sources.tables import append, new_rows, read_table, table_exists
 
 
 def snippet_id():
@@ -79,6 +83,32 @@ def file_results(chunks: DataFrame) -> DataFrame:
     )
 
 
+def index_repositories(
+    requests: DataFrame, files: DataFrame, table: str, repo_errors: DataFrame | None = None,
+    size=settings.CHUNK_LINES, overlap=settings.OVERLAP_LINES, prune_dirs=True, as_of=None,
+) -> dict:
+    """Index the files of all requested repositories into the snippet table at `table`.
+
+    `requests` has (url, project), `files` has (url, file_path, content); files of addresses
+    that were not requested, or are not valid, are left out.  Files are cut once and written;
+    snippets that the table has already are not added again.  Returns the `repositories` and
+    `jobs` tables and the number of `added` snippets.
+    """
+    spark = files.sparkSession
+    repos = written(register(requests, as_of), "repositories")
+    known = repos.select("url", F.col("id").alias("repo_id"))
+    chunks = written(
+        index_chunks(salted_join(files, known, ["url"], ["file_path"]).drop("url"), size, overlap, prune_dirs),
+        "chunks",
+    )
+    rows = snippets(chunks, as_of)
+    if table_exists(spark, table):
+        rows = new_rows(rows, read_table(spark, table, schemas.CODE_SNIPPETS), ["id"])
+    added = append(rows, table, ["language"])
+    jobs = written(index_jobs(file_results(chunks), repos, repo_errors), "jobs")
+    return {"repositories": with_status(repos, jobs), "jobs": jobs, "added": added}
+
+
 def job_responses(jobs: DataFrame) -> DataFrame:
     """The six progress fields and the error, as a progress request returns them."""
     return jobs.select(

@@ -1,8 +1,8 @@
 """Nearest vectors for many queries at once.
 
-Every search is a set of *asks* (query_id, embedding, k, route).  An ask with a route is
-compared with the vectors of that route only (a repository, or a cell of an inverted file);
-an ask without one is compared with all vectors.  Two ways to run them:
+Every search is a set of *asks* (query_id, embedding, k, routes).  An ask with routes is
+compared with the vectors of those routes only (a repository, or cells of an inverted file);
+an ask without is compared with all vectors.  Two ways to run them:
 
 * few asks: they are copied to every task and the vectors stay where they are.  One scan, no
   shuffle but that of each task's best k per query;
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import scores
-from snipquarry.plans.scratch import written_rows
+from snipquarry.plans.scratch import written, written_rows
 from snipquarry.plans.skew import salted_join
 
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
@@ -95,6 +95,14 @@ def _cut(q, v, distance, order, k):
     return q[keep], v[keep], distance[keep]
 
 
+def _present(rows, column):
+    """Rows that have a vector.
+
+    A filter on the DataFrame would make Spark compute the vectors twice where a model makes them.
+    """
+    return rows.filter(rows.column(column).is_valid()) if rows.column(column).null_count else rows
+
+
 def _order_of(ids) -> np.ndarray:
     return pc.rank(ids, tiebreaker="first").to_numpy()
 
@@ -124,11 +132,11 @@ def _pairs_schema(asks, vectors):
 
 def _scan(asks: pa.Table, vectors: DataFrame, schema) -> DataFrame:
     """Compare copied asks with every vector in one scan."""
-    routes = asks.column("route").to_pylist()
     k = asks.column("k").to_numpy().astype(np.int64)
     rows_of = {}
-    for i, route in enumerate(routes):
-        rows_of.setdefault(route, []).append(i)
+    for i, routes in enumerate(asks.column("routes").to_pylist()):
+        for route in [None] if routes is None else routes:
+            rows_of.setdefault(route, []).append(i)
     packed = {
         "ids": _plain(asks.column("query_id")),
         "matrix": _matrix(asks.column("embedding")),
@@ -144,6 +152,7 @@ def _scan(asks: pa.Table, vectors: DataFrame, schema) -> DataFrame:
         # Best so far in this partition: query row, distance, id.
         q_best, d_best, ids = np.empty(0, int), np.empty(0), None
         for batch in batches:
+            batch = _present(batch, "embedding")
             if batch.num_rows == 0:
                 continue
             block = _matrix(batch.column("embedding"))
@@ -212,6 +221,8 @@ def _blocks(asks: DataFrame, vectors: DataFrame, schema, block_vectors, block_as
     right = pieces(vectors.select("id", "embedding", "route"), "_vn", "_an", "_vb", "_ab", "id")
 
     def run(ask_block: pa.Table, vector_block: pa.Table) -> pa.Table:
+        ask_block = _present(ask_block, "_ask_embedding")
+        vector_block = _present(vector_block, "_vec_embedding")
         q_ids = _plain(ask_block.column("_ask_query_id"))
         ids = _plain(vector_block.column("_vec_id"))
         limit = ask_block.column("_ask_k").to_numpy().astype(np.int64)
@@ -233,25 +244,31 @@ def nearest(
     asks: DataFrame, vectors: DataFrame, copy_rows=COPY_ROWS, copy_bytes=COPY_BYTES,
     block_vectors=BLOCK_VECTORS, block_asks=BLOCK_ASKS, squared=True,
 ) -> DataFrame:
-    """Ranked hits (query_id, rank, id, distance) for asks (query_id, embedding, k, route).
+    """Ranked hits (query_id, rank, id, distance) for asks (query_id, embedding, k, routes).
 
-    `k` is at most the maximum k; `query_id` may occur once per route.  `vectors` has (id, embedding, route).  Reads at most `copy_rows` + 1 asks first, to see
-    whether they are few enough to be copied to the tasks.
+    `vectors` has (id, embedding, route) and should be stored: blocks read it more than once.
+    Rows without an embedding are left out.  `k` is at most the maximum k.  Reads at most
+    `copy_rows` + 1 asks first, to see whether they are few enough to be copied to the tasks.
     """
     schema = _pairs_schema(asks, vectors)
-    asks = asks.select("query_id", "embedding", "k", "route").filter("embedding IS NOT NULL")
-    vectors = vectors.filter("embedding IS NOT NULL")
+    asks = asks.select("query_id", "embedding", "k", "routes")
     small = asks.limit(copy_rows + 1).toArrow() if copy_rows else None
     if small is not None and small.num_rows <= copy_rows and small.nbytes <= copy_bytes:
-        asked = pc.unique(small.column("route")).to_pylist()
-        if None not in asked and len(asked) <= PRUNED_ROUTES:
+        asked = pc.unique(small.column("routes").combine_chunks().flatten()).to_pylist()
+        if small.column("routes").null_count == 0 and len(asked) <= PRUNED_ROUTES:
             # Reaches the scan: only the folders or row groups of these routes are read.
             vectors = vectors.filter(F.col("route").isin(asked))
-        found = _scan(small, vectors, schema)
+        found = _scan(_present(small, "embedding"), vectors, schema)
     else:
         sizes = {"block_vectors": block_vectors, "block_asks": block_asks}
-        everywhere = _blocks(asks.filter("route IS NULL"), vectors, schema, routed=False, **sizes)
-        found = everywhere.unionByName(_blocks(asks.filter("route IS NOT NULL"), vectors, schema, **sizes))
+        # Read several times from here on; the embedding of the queries should not be.
+        asks = written(asks, "asks")
+        everywhere = asks.filter("routes IS NULL").withColumn("route", F.lit(None))
+        routed = asks.withColumn("route", F.explode("routes"))
+        found = _blocks(everywhere, vectors, schema, routed=False, **sizes)
+        if not routed.isEmpty():
+            by_route = _blocks(routed, vectors, schema, **sizes)
+            found = by_route if everywhere.isEmpty() else found.unionByName(by_route)
     ranked = Window.partitionBy("query_id").orderBy("distance", "id")
     best = found.withColumn("rank", F.row_number().over(ranked)).filter(
         (F.col("rank") <= settings.MAX_K) & (F.col("rank") <= F.col("k"))
@@ -262,8 +279,8 @@ def nearest(
 
 def _asks(queries: DataFrame, route=None) -> DataFrame:
     k = scores.clamp_k(F.col("k")) if "k" in queries.columns else F.lit(settings.DEFAULT_K)
-    route = F.lit(None).cast("string") if route is None else route
-    return queries.select("query_id", "embedding", k.alias("k"), route.alias("route"))
+    routes = F.lit(None).cast("array<string>") if route is None else F.when(route.isNotNull(), F.array(route))
+    return queries.select("query_id", "embedding", k.alias("k"), routes.alias("routes"))
 
 
 def exact_topk(queries: DataFrame, vectors: DataFrame, **options) -> DataFrame:
@@ -320,7 +337,8 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
     cell_type = centroids.schema["cell"].dataType
     result = T.StructType().add("cell", cell_type).add("distance", T.DoubleType())
-    found = vectors.withColumn("_c", F.arrow_udf(nearest_cell, result)("embedding"))
+    # "Nondeterministic" keeps a later filter on the cell from computing it twice.
+    found = vectors.withColumn("_c", F.arrow_udf(nearest_cell, result).asNondeterministic()("embedding"))
     return found.withColumns({"cell": F.col("_c.cell"), "cell_distance": F.col("_c.distance")}).drop("_c")
 
 
@@ -354,10 +372,7 @@ def _probe(queries: DataFrame, centroids: DataFrame, choose) -> DataFrame:
 
     cell_type = centroids.schema["cell"].dataType
     probe = F.arrow_udf(cells_of, T.ArrayType(cell_type))
-    asks = _asks(queries).drop("route")
-    return asks.withColumn("_cells", probe("embedding", "k")).select(
-        "query_id", "embedding", "k", F.explode("_cells").alias("route")
-    )
+    return _asks(queries).withColumn("routes", probe("embedding", "k"))
 
 
 def ivf_topk(

@@ -1,5 +1,6 @@
 """Stored tables: scan, append, idempotent append."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
@@ -8,6 +9,15 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything to read at `path`."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
     """Append rows to a table and return how many, counted during the write itself."""
     seen = Observation()

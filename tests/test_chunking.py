@@ -49,6 +49,26 @@ def test_definitions(spark):
     assert rows[0].content.startswith("def outer(a):") and rows[2].content == "    def inner():\n        return a"
 
 
+def test_statements_come_in_the_order_of_a_full_walk():
+    import ast
+    import glob
+    import os
+
+    for path in sorted(glob.glob(os.path.join(os.path.dirname(ast.__file__), "*.py"))):
+        with open(path, encoding="utf-8", errors="ignore") as f:
+            tree = ast.parse(f.read())
+        kinds = (ast.FunctionDef, ast.ClassDef)
+        want = [n for n in ast.walk(tree) if isinstance(n, kinds)]
+        assert [n for n in chunking._statements(tree) if isinstance(n, kinds)] == want
+
+
+def test_texts_are_parsed_once(spark):
+    files = _files(spark, [SOURCE])
+    for rows in (chunking.extract_definitions(files), chunking.chunk_files(files).filter("error IS NULL")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [") == 1
+
+
 @pytest.mark.parametrize("source", ["", "x = 1\ny = 2\n", "def broken(:\n  pass", "async def f():\n    pass", "a\x00b"])
 def test_whole_file(spark, source):
     row, = chunking.extract_definitions(_files(spark, [source])).collect()

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from snipquarry import schemas
-from snipquarry.operators import cache, inference, repositories, service
+from snipquarry.operators import cache, indexing, inference, repositories, service
 from snipquarry.sources import tables
 
 
@@ -29,6 +29,29 @@ def test_register_keeps_the_first(spark):
     assert repositories.register(df).first().id == row.id
 
 
+def test_indexing_again_adds_nothing(spark, tmp_path):
+    requests = spark.createDataFrame([("https://h/a.git", "p"), ("nowhere", "p")], "url string, project string")
+    files = spark.createDataFrame(
+        [("https://h/a.git", "x.go", "a\nb"), ("https://h/a.git", "y.py", "def f(): pass"), ("nowhere", "z.go", "z"),
+         ("https://h/a.git", "build/w.go", "w")],
+        "url string, file_path string, content string",
+    )
+    table = str(tmp_path / "snippets")
+    done = indexing.index_repositories(requests, files, table)
+    assert done["added"] == 2
+    repo, job = done["repositories"].first(), done["jobs"].first()
+    assert (repo.status, repo.project, repo.last_indexed == job.completed_at) == ("completed", "p", True)
+    assert (job.repo_id, job.total_files, job.processed_files, job.total_snippets) == (repo.id, 2, 2, 2)
+    assert indexing.index_repositories(requests, files, table)["added"] == 0
+    more = files.unionByName(spark.createDataFrame([("https://h/a.git", "n.ts", "n")], files.schema))
+    assert indexing.index_repositories(requests, more, table, prune_dirs=False)["added"] == 2
+    stored = tables.read_table(spark, table, schemas.CODE_SNIPPETS)
+    assert stored.count() == 4 and stored.filter("id <> embedding_id").isEmpty()
+    failed = spark.createDataFrame([(repo.id, "clone failed")], "repo_id string, error_message string")
+    gone = indexing.index_repositories(requests, files.limit(0), table, failed)
+    assert gone["repositories"].first().status == "failed" and gone["jobs"].first().error_message == "clone failed"
+
+
 def test_empty_page(spark):
     rows = spark.createDataFrame([], "id string, created_at timestamp")
     assert repositories.page(rows).collect() == []

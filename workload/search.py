@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from snipquarry.operators import cache, evaluation, inference, search, service
+from snipquarry.plans.scratch import written
 from workload.registry import SNIPPET_VECTORS, query, views
 
 DIST = """list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),
@@ -106,9 +107,14 @@ approx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
            QUALIFY rank <= 5)"""
 
 
+def label_cells(v):
+    """An inverted file with the labels' mean vectors as its cells, stored."""
+    centroids = written(v.label_centroids, "centroids")
+    return centroids, written(search.assign_cells(v.vectors, centroids), "cells")
+
+
 def ivf_hits(v, **options):
-    centroids = v.label_centroids
-    assigned = search.assign_cells(v.vectors, centroids)
+    centroids, assigned = label_cells(v)
     return search.ivf_topk(v.search_queries, assigned, centroids, nprobe=3, **options)
 
 
@@ -125,8 +131,7 @@ def ivf_topk_blocks(spark, sf):
 @query("ivf_exact", f"WITH {PAIRS}\n{HITS}")
 def ivf_exact(spark, sf):
     v = views(spark, sf)
-    centroids = v.label_centroids
-    assigned = search.assign_cells(v.vectors, centroids)
+    centroids, assigned = label_cells(v)
     return _plain_hits(search.cell_exact_topk(v.search_queries, assigned, centroids))
 
 
@@ -145,7 +150,7 @@ def ivf_trained_recall(spark, sf):
     """Recall with trained cells.  Training has no SQL form."""
     v = views(spark, sf)
     centroids = search.train_centroids(v.vectors, cells=16)
-    assigned = search.assign_cells(v.vectors, centroids)
+    assigned = written(search.assign_cells(v.vectors, centroids), "cells")
     found = search.ivf_topk(v.search_queries, assigned, centroids, nprobe=8)
     return evaluation.overlap(found, search.exact_topk(v.search_queries, v.vectors))
 
