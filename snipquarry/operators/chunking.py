@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from snipquarry import schemas, settings
 from snipquarry.functions import paths, text
-from snipquarry.plans.spread import spread
+from snipquarry.plans.size import spread
 
 
 def _windows(lines: Column, size: int, overlap: int) -> Column:

@@ -96,11 +96,11 @@ def index_repositories(
     """
     spark = files.sparkSession
     repos = written(register(requests, as_of), "repositories")
-    known = repos.select("url", F.col("id").alias("repo_id"))
-    chunks = written(
-        index_chunks(salted_join(files, known, ["url"], ["file_path"]).drop("url"), size, overlap, prune_dirs),
-        "chunks",
-    )
+    # The id follows from the address; the join only filters.
+    found = files.withColumn("repo_id", keys.stable_id(F.col("url"))).drop("url")
+    known = repos.select(F.col("id").alias("repo_id"))
+    wanted = salted_join(found, known, ["repo_id"], ["file_path"], "left_semi")
+    chunks = written(index_chunks(wanted, size, overlap, prune_dirs), "chunks")
     rows = snippets(chunks, as_of)
     if table_exists(spark, table):
         rows = new_rows(rows, read_table(spark, table, schemas.CODE_SNIPPETS), ["id"])

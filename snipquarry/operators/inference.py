@@ -16,8 +16,9 @@ from snipquarry import settings
 from snipquarry.functions import keys, text
 from snipquarry.functions.keys import suggestion_key
 from snipquarry.plans.numbering import number_in_group
+from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import first_per_key, salted_join
-from snipquarry.plans.spread import spread
+from snipquarry.plans.size import spread
 
 Provider = Callable[[Column], Column]
 
@@ -202,7 +203,7 @@ def suggest_once(requests: DataFrame, snippets: DataFrame, cache: DataFrame, **o
     keyed = requests.withColumn("key", suggestion_key(F.col("snippet_id"), F.col("issue_type")))
     missed = lookup(keyed, cache, ts="requested_at", spread=["issue_description"]).filter("value IS NULL")
     first = first_per_key(missed.select(*keyed.columns), ["key"], ["requested_at", "issue_description"])
-    return suggest(first.drop("key"), snippets, **options)
+    return suggest(written(first.drop("key"), "requests"), snippets, **options)
 
 
 # Wording of our own: there is no fixed template for answers from retrieved context.

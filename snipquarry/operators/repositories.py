@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from snipquarry import settings
 from snipquarry.functions import keys, paths
+from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import first_per_key, salted_join
 
 
@@ -112,7 +113,8 @@ def cascade_delete(deleted: DataFrame, repositories, snippets, jobs, suggestions
     Snippets and jobs go with their repository.  Suggestions stay; those whose snippet is
     gone are listed under `dangling`.
     """
-    gone = deleted.select("repo_id").distinct()
+    # Read once per table from here on.
+    gone = written(deleted.select("repo_id").distinct(), "deleted")
     removed = salted_join(snippets, gone, ["repo_id"], ["id"], "left_semi").select(
         F.col("id").alias("snippet_id")
     )

@@ -4,18 +4,24 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_SHARE = 0.01
-SALTS = 64
+from snipquarry.plans.size import broadcast_bytes, estimated_bytes
 
+# No sub-key of a join gets more than this share of the rows, unless it has fewer than HOT_ROWS.
+HOT_SHARE = 1e-4
+HOT_ROWS = 100_000
+NULL_SPREAD = 1_000
 
-def hot_keys(df: DataFrame, keys: list[str], min_share=HOT_SHARE) -> DataFrame:
-    """Keys with at least `min_share` of all rows: never more than 1 / min_share of them.
 
-    Counting combines on the map side, so the hot keys themselves do not skew it.
+def hot_keys(df: DataFrame, keys: list[str], share=HOT_SHARE, rows=HOT_ROWS) -> DataFrame:
+    """Keys with more than `share` of all rows and more than `rows`, and in how many parts to cut them.
+
+    There are at most 1 / share such keys, and at most 2 / share parts of them.  Counting
+    combines on the map side, so the hot keys themselves do not skew it.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1)))
-    return counts.filter(F.col("_n") >= total.scalar() * min_share).select(*keys)
+    part = F.greatest(total.scalar() * share, F.lit(float(rows)))
+    return counts.filter(F.col("_n") > part).select(*keys, F.ceil(F.col("_n") / part).cast("int").alias("_parts"))
 
 
 def salted_join(
@@ -25,36 +31,39 @@ def salted_join(
     spread: list[str],
     how="inner",
     condition: Column | None = None,
-    min_share=HOT_SHARE,
-    salts=SALTS,
+    share=HOT_SHARE,
+    rows=HOT_ROWS,
+    copy_bytes: int | None = None,
 ) -> DataFrame:
     """Join `big` with `single`, which has at most one row per key.
 
-    Rows of hot keys are spread over `salts` sub-keys by the hash of their `spread` columns
-    (deterministic, so a retried task sends each row to the same place), and only the rows
-    of `single` for those keys are repeated.  NULL keys match nothing and are spread as well.
-    `how` is inner, left, left_semi or left_anti.
+    `big` is read once more for its keys: give a stored table, not the end of a long plan.
+    Where `single` is estimated to be below Spark's bound for copying a side to all tasks
+    (or below `copy_bytes`), this is a plain join and `big` is not shuffled.  Otherwise rows of
+    hot keys are spread over sub-keys by the hash of their `spread` columns
+    (deterministic, so a retried task sends each row to the same place), in as many parts as
+    their share asks for, and only the rows of `single` for those keys are repeated.  NULL keys
+    match nothing and are spread as well.  `how` is inner, left, left_semi or left_anti.
     """
-    # At most 1 / min_share rows, whatever the size of the data.
-    hot = F.broadcast(hot_keys(big, on, min_share).withColumn("_hot", F.lit(True)))
+    if copy_bytes is None:
+        copy_bytes = broadcast_bytes(big.sparkSession)
+    renamed = single.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in single.columns])
+    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_r_{c}") for c in on])
+    if condition is not None:
+        match = match & condition
+    if estimated_bytes(single) <= copy_bytes:
+        return big.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
+    # At most 1 / share rows, whatever the size of the data.
+    hot = F.broadcast(hot_keys(big, on, share, rows))
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    left = big.join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | no_key, salt).otherwise(0)
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = single.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    keys = on + ["_salt"]
-    right = right.drop("_hot")
-    left = left.drop("_hot")
-    if condition is None:
-        return left.join(right, keys, how).drop("_salt")
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    match = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_r_{c}") for c in keys])
-    joined = left.join(renamed, match & condition, how)
-    return joined.drop("_salt", *[f"_r_{c}" for c in keys])
+    parts = F.when(no_key, NULL_SPREAD).otherwise(F.coalesce("_parts", F.lit(1)))
+    salt = F.when(parts > 1, F.pmod(F.xxhash64(*spread), parts)).otherwise(0).cast("int")
+    left = big.join(hot, on, "left").withColumn("_salt", salt).drop("_parts")
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    hot_right = hot.select(*[F.col(c).alias(f"_r_{c}") for c in on], "_parts")
+    right = renamed.join(hot_right, [f"_r_{c}" for c in on], "left").withColumn("_r__salt", F.explode(every))
+    joined = left.join(right.drop("_parts"), match & (F.col("_salt") == F.col("_r__salt")), how)
+    return joined.drop("_salt", "_r__salt", *[f"_r_{c}" for c in on])
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], last=False) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Window, functions as F
 
 from snipquarry.plans.numbering import number_in_group
 from snipquarry.plans.skew import first_per_key, hot_keys, salted_join
-from snipquarry.plans.spread import spread
+from snipquarry.plans.size import broadcast_bytes, spread
 
 
 @pytest.fixture(scope="module")
@@ -24,15 +24,18 @@ def _rows(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("salts", [1, 16])
-def test_salted_join(spark, tables, how, salts):
+@pytest.mark.parametrize("share,rows,copy", [(1.0, 10**6, 0), (0.05, 0, 0), (1e-4, 3, 0), (1e-4, 0, 0), (1, 1, None)])
+def test_salted_join(spark, tables, how, share, rows, copy):
     big, single = tables
-    assert _rows(salted_join(big, single, ["key"], ["id"], how, salts=salts)) == _rows(big.join(single, "key", how))
+    got = salted_join(big, single, ["key"], ["id"], how, share=share, rows=rows, copy_bytes=copy)
+    assert _rows(got) == _rows(big.join(single, "key", how))
 
 
 def test_salted_join_with_condition(spark, tables):
     big, single = tables
-    got = salted_join(big, single, ["key"], ["id"], "left", condition=F.col("x") > F.col("y"))
+    got = salted_join(big, single, ["key"], ["id"], "left", F.col("x") > F.col("y"), rows=0, copy_bytes=0)
+    near = salted_join(big, single, ["key"], ["id"], "left", F.col("x") > F.col("y"))
+    assert _rows(got) == _rows(near)
     b, s = big.alias("b"), single.alias("s")
     want = b.join(s, (F.col("b.key") == F.col("s.key")) & (F.col("x") > F.col("y")), "left").select("b.*", "y")
     assert _rows(got) == _rows(want)
@@ -40,8 +43,8 @@ def test_salted_join_with_condition(spark, tables):
 
 def test_hot_rows_are_spread(spark, tables):
     big, single = tables
-    assert [r.key for r in hot_keys(big, ["key"], 0.1).collect()] == ["hot"]
-    joined = salted_join(big, single, ["key"], ["id"]).filter("key = 'hot'")
+    assert [tuple(r) for r in hot_keys(big, ["key"], 0.1, 0).collect()] == [("hot", 4)]
+    joined = salted_join(big, single, ["key"], ["id"], share=0.01, rows=0, copy_bytes=0).filter("key = 'hot'")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -72,3 +75,13 @@ def test_spread_only_small_inputs(spark, tables):
     big, _ = tables
     assert spread(big).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(big, piece_bytes=100) is big
+
+
+@pytest.mark.parametrize("setting,size", [("10MB", 10 << 20), ("-1", -1), ("1048576b", 1 << 20), ("1g", 1 << 30), ("77", 77)])
+def test_broadcast_setting(spark, setting, size):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
+    try:
+        assert broadcast_bytes(spark) == size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
