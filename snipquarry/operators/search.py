@@ -342,16 +342,13 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return found.withColumns({"cell": F.col("_c.cell"), "cell_distance": F.col("_c.distance")}).drop("_c")
 
 
-def write_cells(assigned: DataFrame, path: str, rows_per_file=1_000_000) -> None:
-    """Store assigned vectors by cell.  A large cell is written by several tasks."""
-    sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per cell: their number is a parameter of the index.
-    cut = assigned.join(F.broadcast(sizes), "cell").withColumn(
-        "_piece", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / rows_per_file))
-    )
-    cut.repartition("cell", "_piece").drop("_n", "_piece").write.partitionBy("cell").mode(
-        "overwrite"
-    ).parquet(path)
+def write_cells(assigned: DataFrame, path: str) -> None:
+    """Store assigned vectors by cell.
+
+    Rebalancing brings each cell together in files of even size, and cuts a large cell into
+    several tasks; the vectors are assigned and shuffled once.
+    """
+    assigned.hint("rebalance", "cell").write.partitionBy("cell").mode("overwrite").parquet(path)
 
 
 def _probe(queries: DataFrame, centroids: DataFrame, choose) -> DataFrame:

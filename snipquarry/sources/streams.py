@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_BYTES = 16 * 1024**3
+BATCH_BYTES = 1024**3
 
 
 def read_stream(spark: SparkSession, path: str, schema, batch_bytes=BATCH_BYTES) -> DataFrame:

@@ -18,8 +18,14 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Append rows to a table and return how many, counted during the write itself."""
+def append(df: DataFrame, path: str, partition_by: list[str] | None = None, rebalance=False) -> int:
+    """Append rows to a table and return how many, counted during the write itself.
+
+    `rebalance` brings the rows of each partition together first, for partitions so many that
+    every task would write a file to each; a large one is still written by several tasks.
+    """
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     counted.write.mode("append").partitionBy(*(partition_by or [])).parquet(path)

@@ -1,5 +1,6 @@
 """Cache hits of a running request stream."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,13 +21,16 @@ class _LastMiss(StatefulProcessor):
         self.anchor = handle.getValueState("anchor", T.StructType().add("t", T.LongType()))
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "id"])
+        parts = [(part["t"].to_numpy(), part["id"].to_numpy()) for part in rows]
+        times, ids = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((ids, times))
+        times, ids = times[order], ids[order]
         before = self.anchor.get()[0] if self.anchor.exists() else None
-        missed, last = misses_of(batch["t"].to_numpy(), self.ttl, before)
+        missed, last = misses_of(times, self.ttl, before)
         self.anchor.update((last,))
-        hit = pd.Series(True, index=range(len(batch)))
-        hit.iloc[missed] = False
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "hit": hit.to_numpy()})
+        hit = np.ones(len(ids), bool)
+        hit[missed] = False
+        yield pd.DataFrame({"id": ids, "hit": hit})
 
     def close(self) -> None:
         pass

@@ -110,9 +110,17 @@ def test_probing_few_cells(data, cells):
 def test_stored_cells(spark, data, cells, tmp_path):
     q = data[1]
     centroids, assigned = cells
-    search.write_cells(assigned, str(tmp_path / "cells"), rows_per_file=50)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        search.write_cells(assigned, str(tmp_path / "cells"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     stored = spark.read.parquet(str(tmp_path / "cells"))
     assert stored.count() == 600
+    named = stored.select("cell", F.input_file_name().alias("file"))
+    files = named.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+    hot = files.orderBy(F.desc("n")).first()
+    assert hot.n >= 200 and hot.files > 1
     assert _hits(search.ivf_topk(q, stored, centroids, nprobe=9)) == _brute(data, scoped=False)
 
 

@@ -166,7 +166,7 @@ FROM snippet_vectors GROUP BY repo_id""")
 def insert_embeddings(spark, sf):
     """Append the records to a table by repository, and read it back with the count of the write."""
     path = scratch_dir(spark, "vectors")
-    inserted = tables.append(vectors.embedding_records(views(spark, sf).snippet_vectors), path, ["repo_id"])
+    inserted = tables.append(vectors.embedding_records(views(spark, sf).snippet_vectors), path, ["repo_id"], rebalance=True)
     stored = tables.read_table(spark, path)
     return stored.groupBy("repo_id").agg(F.count("*").alias("n"), F.lit(inserted).cast("long").alias("inserted"))
 
