@@ -58,6 +58,11 @@ def with_status(repositories: DataFrame, jobs: DataFrame) -> DataFrame:
     ])
 
 
+def invalid_status(rows: DataFrame) -> DataFrame:
+    """Repositories or jobs whose status is not one of the four known ones."""
+    return rows.filter(~F.coalesce(F.col("status").isin(settings.JOB_STATUSES), F.lit(False)))
+
+
 def unique_violations(df: DataFrame, key: str) -> DataFrame:
     """Values that occur more than once in a column that should be unique; NULLs may repeat."""
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))

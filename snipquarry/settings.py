@@ -14,7 +14,6 @@ MAX_TOKENS = 512
 PAGE_SKIP = 0
 PAGE_LIMIT = 20
 CONFIDENCE = 0.8
-GENERATED_TOKENS = 500
 LANGUAGES = {
     ".py": "Python",
     ".go": "Go",

@@ -3,23 +3,29 @@
 from pyspark.sql import DataFrame, functions as F
 
 from snipquarry import settings
-from snipquarry.operators.indexing import index_chunks, snippets
+from snipquarry.operators.indexing import file_results, index_chunks, snippets
+from snipquarry.plans.scratch import written
+from snipquarry.sources.tables import replace_partitions
 
 
 def index_stream(
-    files: DataFrame, table: str, checkpoint: str, size=settings.CHUNK_LINES, overlap=settings.OVERLAP_LINES,
-    available_now=True,
+    files: DataFrame, table: str, checkpoint: str, results: str | None = None,
+    size=settings.CHUNK_LINES, overlap=settings.OVERLAP_LINES, prune_dirs=True, available_now=True,
 ):
     """Append the snippets of arriving (repo_id, file_path, content) rows to `table`.
 
-    A repeated micro-batch replaces its own partition, so it adds nothing twice.  Returns the
-    running query.
+    With `results`, per-file results are kept there, also of files that could not be
+    processed; `index_jobs` makes jobs of them.  A repeated micro-batch replaces its own
+    partition, so it adds nothing twice.  Returns the running query.
     """
 
     def write(batch, batch_id):
-        rows = snippets(index_chunks(batch, size, overlap)).withColumn("batch_id", F.lit(batch_id))
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id").parquet(table)
+        chunks = index_chunks(batch, size, overlap, prune_dirs)
+        if results:
+            chunks = written(chunks, "chunks")
+            done = file_results(chunks).withColumn("batch_id", F.lit(batch_id))
+            replace_partitions(done, results, ["batch_id"])
+        replace_partitions(snippets(chunks).withColumn("batch_id", F.lit(batch_id)), table, ["batch_id"])
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

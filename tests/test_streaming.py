@@ -3,14 +3,10 @@
 from pyspark.sql import functions as F
 
 from snipquarry.operators import cache, indexing
+from snipquarry.sources.streams import read_stream
 from snipquarry.streaming import audit, indexing as stream_indexing, ttl
 
 
-def _files_in_order(spark, path, parts):
-    for i, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{path}/part={i}")
-
-
 def test_replay_over_several_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ttl.STATE_STORE)
     log = spark.range(600).select(
@@ -35,11 +31,11 @@ def test_index_adds_only_new_files(spark, tmp_path):
         F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".go")).alias("file_path"),
         F.repeat(F.lit("line\n"), F.col("id").cast("int")).alias("content"),
     )
-    source, table, state = (str(tmp_path / x) for x in ("in", "table", "state"))
+    source, table, state, results = (str(tmp_path / x) for x in ("in", "table", "state", "results"))
 
     def run():
-        stream = spark.readStream.schema(files.schema).parquet(source)
-        stream_indexing.index_stream(stream, table, state, size=8, overlap=2).awaitTermination()
+        stream = read_stream(spark, source, files.schema)
+        stream_indexing.index_stream(stream, table, state, results, size=8, overlap=2).awaitTermination()
         return sorted((r.id, r.content) for r in spark.read.parquet(table).collect())
 
     def batch(rows):
@@ -50,6 +46,10 @@ def test_index_adds_only_new_files(spark, tmp_path):
     assert run() == batch(files.filter("repo_id <> 'r1'"))
     files.filter("repo_id = 'r1'").write.mode("append").parquet(source)
     assert run() == batch(files)
+    repos = spark.createDataFrame([("r0",), ("r1",), ("r2",)], "id string")
+    jobs = indexing.index_jobs(spark.read.parquet(results), repos)
+    assert sorted(r.total_files for r in jobs.collect()) == [13, 13, 14]
+    assert sum(r.total_snippets for r in jobs.collect()) == len(run())
 
 
 def test_audit_on_a_stream(spark, tmp_path):

@@ -41,13 +41,13 @@ def dedup_repositories(spark, sf):
 
 @query("list_repositories", f"""
 WITH {REPOSITORIES}
-SELECT id, name, url, project, 'pending' AS status, NULL::BIGINT AS last_indexed_us, created_us,
+SELECT id, name, url, project, 'pending' AS status, -1::BIGINT AS last_indexed_us, created_us,
        (SELECT count(*) FROM repositories) AS total
 FROM repositories ORDER BY created_us, id LIMIT 20 OFFSET 20""")
 def list_repositories(spark, sf):
     page = repositories.list_repositories(_registered(views(spark, sf)), skip=20, limit=20)
     return page.select(
-        "id", "name", "url", "project", "status", F.unix_micros("last_indexed").alias("last_indexed_us"),
+        "id", "name", "url", "project", "status", F.coalesce(F.unix_micros("last_indexed"), F.lit(-1)).cast("long").alias("last_indexed_us"),
         F.unix_micros("created_at").alias("created_us"), "total",
     )
 
