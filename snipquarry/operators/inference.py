@@ -9,6 +9,7 @@ from typing import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -23,23 +24,39 @@ from snipquarry.plans.size import spread
 Provider = Callable[[Column], Column]
 
 
-def _token_counts(dim, max_tokens, memory=500_000):
-    """Function from texts to arrays of token counts by hashed token."""
+def _token_counts(dim, max_tokens=None, memory=1_000_000, slice_cells=4_000_000):
+    """Function from an Arrow array of texts to token counts by hashed token, one row per text."""
     from hashlib import md5
 
-    class Places(dict):
-        def __missing__(self, token):
-            if len(self) >= memory:
-                self.clear()
-            place = int(md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16) % dim
-            self[token] = place
-            return place
-
-    places = Places()
-
-    def count(value):
-        words = value.split()[:max_tokens]
-        return np.bincount([places[w] for w in words], minlength=dim) if words else np.zeros(dim)
+    places = {}
+
+    def place(token):
+        if token not in places:
+            if len(places) >= memory:
+                places.clear()
+            # Empty tokens stand before and after white space at the ends of a text.
+            places[token] = int(md5(token.encode()).hexdigest()[:7], 16) % dim if token else -1
+        return places[token]
+
+    def count(texts):
+        words = pc.utf8_split_whitespace(texts)
+        lengths = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
+        encoded = words.flatten().dictionary_encode()
+        known = np.array([place(t) for t in encoded.dictionary.to_pylist()], np.int64)
+        column = known[encoded.indices.to_numpy()] if len(known) else np.empty(0, np.int64)
+        row = np.repeat(np.arange(len(texts)), lengths)
+        row, column = row[column >= 0], column[column >= 0]
+        if max_tokens is not None:
+            first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < max_tokens
+            row, column = row[first], column[first]
+        out = np.empty((len(texts), dim), np.float32)
+        step = max(1, slice_cells // dim)
+        for start in range(0, len(texts), step):
+            part = out[start:start + step]
+            low, high = np.searchsorted(row, [start, start + len(part)])
+            cells = (row[low:high] - start) * dim + column[low:high]
+            part[:] = np.bincount(cells, minlength=part.size).reshape(part.shape)
+        return out
 
     return count
 
@@ -54,12 +71,11 @@ def hash_provider(dim=settings.EMBEDDING_DIM, max_tokens=None) -> Provider:
     def embed(values: pa.Array) -> pa.Array:
         nonlocal counts
         counts = counts or _token_counts(dim, max_tokens)
-        rows = [None if v is None else counts(v) for v in values.to_pylist()]
-        present = np.array([r is not None for r in rows], bool)
-        flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0)]).astype(np.float32)
+        present = values.is_valid().to_numpy(zero_copy_only=False)
+        rows = counts(values.drop_null())
         ends = np.concatenate([[0], np.cumsum(present * dim)]).astype(np.int32)
         offsets = pa.array(ends, mask=np.append(~present, False))
-        return pa.ListArray.from_arrays(offsets, pa.array(flat))
+        return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
 
     return lambda column: F.arrow_udf(embed, T.ArrayType(T.FloatType()))(column)
 
@@ -74,8 +90,8 @@ def hash_model(dim=settings.EMBEDDING_DIM):
     """`load` function of the hashing stand-in, for `batched_model`."""
 
     def load():
-        count = _token_counts(dim, None)
-        return lambda values: np.stack([count(str(v)) for v in values]).astype(np.float32)
+        count = _token_counts(dim)
+        return lambda values: count(pa.array([str(v) for v in values], pa.string()))
 
     return load
 

@@ -1,9 +1,14 @@
 """Numeric helpers that run inside tasks, against plain Python."""
 
+from hashlib import md5
+
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from snipquarry.functions.text import WHITE_SPACE
 from snipquarry.operators.cache import misses_of
+from snipquarry.operators.inference import _token_counts
 from snipquarry.operators.search import _best, _first_copies
 
 
@@ -47,3 +52,18 @@ def test_misses(times, ttl, anchor):
             last = t
     got, end = misses_of(np.array(times, int), ttl, anchor)
     assert list(got) == want and end == last
+
+
+@settings(deadline=None)
+@given(
+    st.lists(st.text(st.sampled_from("abé\u4e2d" + WHITE_SPACE), max_size=30) | st.text(max_size=10), max_size=12),
+    st.none() | st.integers(1, 4), st.sampled_from([1, 16, 10**6]),
+)
+def test_token_counts(texts, limit, slice_cells):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    got = _token_counts(8, limit, memory=5, slice_cells=slice_cells)(pa.array(texts, pa.string()))
+    want = np.zeros((len(texts), 8))
+    for i, text in enumerate(texts):
+        for token in text.split()[:limit]:
+            want[i, int(md5(token.encode()).hexdigest()[:7], 16) % 8] += 1
+    assert (got == want).all()
