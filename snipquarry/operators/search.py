@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import scores
-from snipquarry.plans.scratch import written, written_rows
+from snipquarry.plans.scratch import written_rows
 from snipquarry.plans.skew import salted_join
 
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
 COPY_ROWS = 16_384
 COPY_BYTES = 32 * 1024 * 1024
 PRUNED_ROUTES = 1_000
-BLOCK_VECTORS = 16_384
-BLOCK_ASKS = 4_096
+# Most bytes of a block on either side, and fewest vectors that are worth a block.
+BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_ROWS = 1_024
 
 
 def _matrix(column) -> np.ndarray:
@@ -240,9 +241,21 @@ def _blocks(asks: DataFrame, vectors: DataFrame, schema, block_vectors, block_as
     return grouped.cogroup(right.groupBy(*[f"_vec_{c}" for c in keys])).applyInArrow(run, schema)
 
 
+def _block_rows(n_asks, n_vectors, dim, tasks):
+    """Rows of a vector block and of an ask block.
+
+    Every row is sent once to each block of the other side, so blocks are as large as memory
+    allows, unless that leaves too few pairs of blocks for the `tasks`.
+    """
+    most = max(1, BLOCK_BYTES // (4 * dim))
+    asks = max(1, min(most, n_asks))
+    even = -(-n_vectors * -(-n_asks // asks) // tasks)
+    return min(most, max(BLOCK_ROWS, even)), asks
+
+
 def nearest(
     asks: DataFrame, vectors: DataFrame, copy_rows=COPY_ROWS, copy_bytes=COPY_BYTES,
-    block_vectors=BLOCK_VECTORS, block_asks=BLOCK_ASKS, squared=True,
+    block_vectors: int | None = None, block_asks: int | None = None, squared=True,
 ) -> DataFrame:
     """Ranked hits (query_id, rank, id, distance) for asks (query_id, embedding, k, routes).
 
@@ -260,9 +273,12 @@ def nearest(
             vectors = vectors.filter(F.col("route").isin(asked))
         found = _scan(_present(small, "embedding"), vectors, schema)
     else:
-        sizes = {"block_vectors": block_vectors, "block_asks": block_asks}
         # Read several times from here on; the embedding of the queries should not be.
-        asks = written(asks, "asks")
+        asks, n_asks = written_rows(asks, "asks")
+        dim = asks.agg(F.max(F.size("embedding"))).first()[0] or 1
+        tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
+        fitting = _block_rows(n_asks, vectors.count(), max(dim, 1), tasks)
+        sizes = {"block_vectors": block_vectors or fitting[0], "block_asks": block_asks or fitting[1]}
         everywhere = asks.filter("routes IS NULL").withColumn("route", F.lit(None))
         routed = asks.withColumn("route", F.explode("routes"))
         found = _blocks(everywhere, vectors, schema, routed=False, **sizes)

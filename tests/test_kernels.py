@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from snipquarry.functions.text import WHITE_SPACE
 from snipquarry.operators.cache import misses_of
 from snipquarry.operators.inference import _token_counts
-from snipquarry.operators.search import _best, _first_copies
+from snipquarry.operators.search import BLOCK_BYTES, _best, _block_rows, _first_copies
 
 
 @settings(deadline=None, max_examples=150)
@@ -67,3 +67,11 @@ def test_token_counts(texts, limit, slice_cells):
         for token in text.split()[:limit]:
             want[i, int(md5(token.encode()).hexdigest()[:7], 16) % 8] += 1
     assert (got == want).all()
+
+
+def test_block_sizes():
+    # Few rows: enough blocks for the tasks.  Many rows: as large as memory allows.
+    assert _block_rows(100, 400_000, 64, 32) == (12_500, 100)
+    vectors, asks = _block_rows(10**6, 25 * 10**9, 1024, 32_000)
+    assert vectors == asks == BLOCK_BYTES // 4096
+    assert _block_rows(0, 0, 1, 8) == (1024, 1)
