@@ -38,13 +38,14 @@ def current(log: DataFrame) -> DataFrame:
     return first_per_key(log, ["key"], ["written_at", "value"], last=True)
 
 
-def lookup(requests: DataFrame, cache: DataFrame, ts="request_ts", spread=("request_ts",)) -> DataFrame:
+def lookup(requests: DataFrame, cache: DataFrame, spread: list[str], ts="request_ts") -> DataFrame:
     """Requests (key, `ts`) with the live `value` of their key, NULL if there is none.
 
+    `spread` names the columns that tell the requests of one key apart, such as their id.
     `cache` has one row per key.  An entry is live from its writing until just before it expires.
     """
     live = (F.col("written_at") <= F.col(ts)) & (F.col(ts) < F.col("expires_at"))
-    return salted_join(requests, cache, ["key"], list(spread), "left", condition=live)
+    return salted_join(requests, cache, ["key"], spread, "left", condition=live)
 
 
 def delete(cache: DataFrame, removed: DataFrame) -> DataFrame:

@@ -177,28 +177,28 @@ def split_issues(requests: DataFrame):
 
 
 def fix_prompts(requests: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Requests for known snippets, with the `prompt` for a fix."""
+    """Distinct requests for known snippets, with the `prompt` for a fix."""
     source = snippets.select(F.col("id").alias("snippet_id"), "content")
-    known = salted_join(requests, source, ["snippet_id"], ["issue_type", "issue_description"])
+    known = salted_join(requests.distinct(), source, ["snippet_id"], requests.columns)
     prompt = text.fix_prompt(F.col("content"), F.col("issue_type"), F.col("issue_description"))
     return known.withColumn("prompt", prompt).drop("content")
 
 
 def unknown_snippets(requests: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Requests whose snippet does not exist."""
+    """Distinct requests whose snippet does not exist."""
     ids = snippets.select(F.col("id").alias("snippet_id"))
-    return salted_join(requests, ids, ["snippet_id"], ["issue_type", "issue_description"], "left_anti")
+    return salted_join(requests.distinct(), ids, ["snippet_id"], requests.columns, "left_anti")
 
 
 def suggest(
     requests: DataFrame, snippets: DataFrame, provider: Provider = canned_provider,
     confidence=settings.CONFIDENCE, as_of=None,
 ) -> DataFrame:
-    """Suggestion records for valid requests about known snippets."""
+    """Suggestion records for valid requests about known snippets; a repeated request has one record."""
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
-    valid, _ = split_issues(requests)
-    answered = generate(fix_prompts(valid, snippets), provider)
     key = [F.col(c) for c in ("snippet_id", "issue_type", "issue_description")]
+    valid, _ = split_issues(requests.select(*key))
+    answered = generate(fix_prompts(valid, snippets), provider)
     return answered.select(
         keys.stable_id(*key).alias("id"),
         *key,

@@ -58,7 +58,7 @@ def test_unknown_task(spark):
 def test_suggestions(spark):
     snippets = spark.createDataFrame([("s1", "code"), ("s2", "security")], "id string, content string")
     asked = spark.createDataFrame(
-        [("s1", "Security", "d1"), ("s1", "invalid_type", "d"), ("nonexistent-id", "lint", "d"), ("s2", "lint", "d2")],
+        [("s1", "Security", "d1"), ("s1", "Security", "d1"), ("s1", "invalid_type", "d"), ("nonexistent-id", "lint", "d"), ("s2", "lint", "d2")],
         "snippet_id string, issue_type string, issue_description string",
     )
     rows = inference.suggest(asked, snippets).orderBy("snippet_id").collect()

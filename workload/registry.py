@@ -124,11 +124,11 @@ class Views:
 
     @property
     def purge_list(self):
-        """Sources with a toxic document."""
-        toxic = self.labels.filter("toxic = 1").select("doc_id")
-        return self.documents.join(toxic, "doc_id").groupBy(F.col("source").alias("repo_id")).agg(
-            F.count("*").alias("n")
-        ).filter("n >= 2").select("repo_id")
+        """Sources with more than the usual share of toxic documents."""
+        usual = self.labels.agg(F.avg("toxic"))
+        labelled = self.documents.select("doc_id", F.col("source").alias("repo_id")).join(self.labels, "doc_id")
+        shares = labelled.groupBy("repo_id").agg(F.avg("toxic").alias("share"))
+        return shares.filter(F.col("share") > usual.scalar()).select("repo_id")
 
     @property
     def suggestion_requests(self):
@@ -209,8 +209,8 @@ SOURCE_REPOSITORIES = """source_repositories AS (
   SELECT id, 'https://host/' || id || '.git' AS url, upper(id) AS name FROM (
     SELECT DISTINCT source AS id FROM documents UNION ALL SELECT 'page-' || page_id FROM pages))"""
 PURGE_LIST = """purge_list AS (
-  SELECT source AS repo_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
-  GROUP BY source HAVING count(*) >= 2)"""
+  SELECT source AS repo_id FROM documents JOIN labels USING (doc_id)
+  GROUP BY source HAVING avg(toxic) > (SELECT avg(toxic) FROM labels))"""
 SUGGESTION_REQUESTS = f"""suggestion_requests AS (
   SELECT CASE WHEN quality = 0 THEN doc_id + 1000000000 ELSE doc_id END AS snippet_id,
          list_extract({_list(ISSUES)}, doc_id % 6 + 1) AS issue_type,
