@@ -13,6 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from snipquarry import settings
+from snipquarry.plans.scratch import written
 
 _ENTRY = "repo_id string, root string, path string, size long, is_dir boolean"
 
@@ -78,6 +79,8 @@ def list_files(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs
     top = starts.repartition(partitions, "repo_id", "path").mapInArrow(
         _lister(split_levels, prune_dirs), _ENTRY
     )
+    # Read for its files and for its folders; listing is slow, so it is done once.
+    top = written(top, "listing")
     folders = top.filter("is_dir").select("repo_id", "root", "path").repartition(partitions, "path")
     deep = folders.mapInArrow(_lister(None, prune_dirs), _ENTRY)
     files = top.filter("NOT is_dir").unionByName(deep)

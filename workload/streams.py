@@ -7,7 +7,7 @@ from snipquarry.sources.streams import read_stream
 from snipquarry.streaming import audit, indexing, ttl
 from workload.cache import DAY, TTL_REPLAY, request_log
 from workload.files import INDEX_SNIPPETS, _with_md5
-from workload.registry import code_files, query, views
+from workload.registry import code_files, query
 
 
 def _stream(spark, sf, name):

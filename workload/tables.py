@@ -8,7 +8,7 @@ from snipquarry.plans.scratch import scratch_dir
 from snipquarry.sources import tables
 from workload.files import jobs_of, jobs_sql
 from workload.registry import (
-    INDEX_REQUESTS, PURGE_LIST, REPOSITORIES, SNIPPET_VECTORS, SOURCE_REPOSITORIES, SUGGESTION_REQUESTS,
+    PURGE_LIST, REPOSITORIES, SNIPPET_VECTORS, SOURCE_REPOSITORIES, SUGGESTION_REQUESTS,
     query, views,
 )
 
