@@ -1,22 +1,18 @@
 """Shared scratch folders for written intermediate tables and stream checkpoints."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below `spark.checkpoint.dir`.
+    """A new folder below `spark.checkpoint.dir`, which all executors share.
 
-    Without that setting only a local session may go on, in a temporary folder: on a
-    cluster the executors would not share it.
+    A session without that setting uses a folder in its warehouse, which is shared too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="snipquarry-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -30,4 +26,6 @@ def written_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to scratch and read it back: later steps do not recompute it."""
-    return written_rows(df, name)[0]
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

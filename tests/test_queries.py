@@ -9,13 +9,13 @@ import __spark_entry__ as entries
 NO_SQL = {"ivf_trained_recall"}
 
 
-@pytest.mark.parametrize("name", sorted(entries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_same_as_sql(spark, name):
     assert differences(spark, entries.queries()[name], entries.oracle_sql()[name], SMALL) is None
 
 
 def test_names():
-    assert set(entries.oracle_sql()) | NO_SQL == set(entries.queries())
+    assert set(entries.ORACLES) | NO_SQL == set(entries.QUERIES)
 
 
 def test_entry(spark):
