@@ -1,8 +1,9 @@
 """The registered queries of this folder and their SQL forms."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, secrets, topk, url_filter
+from snipquarry.llm import decontaminate, packing, secrets, topk, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -124,3 +125,10 @@ FROM scores QUALIFY rank <= 5"""
 def op9(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return topk.topk(vectors.filter("vec_id % 50 = 0"), vectors, k=5, scale=256)
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    """Tested by its own checks: pieces, gapless sequences, and their number against the sum of lengths."""
+    pieces = packing.tokenised(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
