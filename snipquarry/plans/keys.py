@@ -29,17 +29,17 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, share=
     )
 
 
-def likely_in(rows: DataFrame, ids: DataFrame, key: str, words=65_536) -> DataFrame:
-    """`rows` without most of those whose `key` is not in `ids`; none that is in it gets lost.
+def marked_likely(rows: DataFrame, ids: DataFrame, keys: list[str], name: str, words=65_536) -> DataFrame:
+    """`rows` with a mark `name`: true wherever the key is in `ids`, and false for most other rows.
 
     A bit map of `words` * 64 bits, whatever the size of `ids`, is copied to all tasks: a cheap
-    filter ahead of a shuffle.  Not exact: join afterwards.
+    filter ahead of a shuffle.  Not exact: join the marked rows afterwards.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(words * 64))
+    slot = F.pmod(F.xxhash64(*keys), F.lit(words * 64))
     bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
-    cut = F.floor(F.col("_slot") / 64).cast("int")
-    bits = ids.select(slot.alias("_slot")).select(cut.alias("_word"), bit.alias("_bit"))
-    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = rows.withColumn("_slot", slot).withColumns({"_word": cut, "_bit": bit})
-    kept = marked.join(F.broadcast(bits), "_word")
-    return kept.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*rows.columns)
+    word = F.floor(F.col("_slot") / 64).cast("int")
+    bits = ids.select(slot.alias("_slot")).select(word.alias("_word"), bit.alias("_bit"))
+    bits = F.broadcast(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    joined = rows.withColumn("_slot", slot).withColumns({"_word": word, "_bit": bit}).join(bits, "_word", "left")
+    mark = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return joined.select(*rows.columns, mark.alias(name))
