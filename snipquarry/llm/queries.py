@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, line_dedup, packing, secrets, topk, url_filter
+from snipquarry.llm import decontaminate, line_dedup, packing, secrets, suffix_dedup, topk, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -152,3 +152,13 @@ FROM marked GROUP BY r, doc_id"""
 def op3(spark, sf_dir):
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark, sf_dir):
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
