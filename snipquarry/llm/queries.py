@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, line_dedup, packing, secrets, suffix_dedup, topk, url_filter
+from snipquarry.llm import decontaminate, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, url_filter
 
 QUERIES = {}
 ORACLES = {}
@@ -162,3 +162,8 @@ def op10(spark, sf_dir):
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op4_jaccard_join")
+def op4(spark, sf_dir):
+    return jaccard.similar(table(spark, sf_dir, "documents"), words=4, percent=85)
