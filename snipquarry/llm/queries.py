@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, url_filter
+from snipquarry.llm import decontaminate, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, toxicity, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -167,3 +167,74 @@ def op10(spark, sf_dir):
 @query("op4_jaccard_join")
 def op4(spark, sf_dir):
     return jaccard.similar(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(documents, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.score(documents, model)
+    return found.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+# Pages as records of an archive: each is fetched once, and asked for again later.  The second
+# answer has another spelling of the url; its tag differs in some, is missing in others, and some
+# second requests come before the first.
+def warc_records(pages):
+    def part(kind, url, at, headers):
+        return pages.select(
+            F.concat(F.lit(f"{kind}-"), F.col("page_id").cast("string")).alias("record_id"), F.lit(kind).alias("kind"),
+            url.alias("url"), at.alias("at"), F.map_filter(F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in headers]), lambda _, v: v.isNotNull()).alias("headers"),
+        )
+
+    n = F.col("page_id")
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 8), F.lit('"'))
+    day = F.concat(F.lit("day "), (n % 9).cast("string"))
+    response = part("response", F.col("url"), 10 * n, [
+        "Content-Type", F.lit("text/html"), "Content-Length", F.length("html").cast("string"), "ETag", tag,
+        "Last-Modified", day, "Cache-Control", F.lit("max-age=60"), "Server", F.concat(F.lit("s"), (n % 3).cast("string")),
+    ])
+    later = F.when(n % 13 == 0, -5).otherwise(10 * (n % 97) + 5)
+    revisit = part("revisit", F.concat(F.regexp_replace("url", "^http:", "https:"), F.lit("#again")), 10 * n + later, [
+        "etag", F.when(n % 11 == 0, F.lit(None)).when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag)),
+        "last-modified", F.when(n % 22 == 0, F.lit(None)).otherwise(day), "cache-control", F.lit("max-age=600"),
+        "content-length", F.lit("0"), "date", n.cast("string"),
+    ])
+    return response.unionByName(revisit)
+
+
+WARC_SQL = r"""
+WITH named AS (
+  SELECT page_id AS n, html, regexp_replace(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '')
+    || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS key FROM pages),
+responses AS (
+  SELECT n, key, 10 * n AS at, 'response-' || n AS id, '"' || substr(md5(html), 1, 8) || '"' AS tag, 'day ' || (n % 9) AS day,
+         length(html)::VARCHAR AS len, 's' || (n % 3) AS server FROM named),
+revisits AS (
+  SELECT n, key, 10 * n + CASE WHEN n % 13 = 0 THEN -5 ELSE 10 * (n % 97) + 5 END AS at, 'revisit-' || n AS id,
+         CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 = 0 THEN '"other"' ELSE 'W/"' || substr(md5(html), 1, 8) || '"' END AS tag,
+         CASE WHEN n % 22 = 0 THEN NULL ELSE 'day ' || (n % 9) END AS day FROM named),
+found AS (
+  SELECT v.*, r.id AS rid, r.tag AS rtag, r.day AS rday, r.len AS rlen, r.server AS rserver
+  FROM revisits v LEFT JOIN responses r ON v.key = r.key AND v.key <> '' AND r.at < v.at
+  QUALIFY row_number() OVER (PARTITION BY v.n ORDER BY r.at DESC NULLS LAST, r.id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'missing'
+    WHEN tag IS NOT NULL THEN CASE WHEN regexp_replace(tag, '^W/', '') = rtag THEN 'matched' ELSE 'changed' END
+    WHEN day IS NOT NULL THEN CASE WHEN day = rday THEN 'matched' ELSE 'changed' END
+    ELSE 'unchecked' END AS status FROM found)
+SELECT id AS record_id, CASE WHEN status IN ('matched', 'unchecked') THEN rid END AS refers_to, status,
+  CASE WHEN status IN ('matched', 'unchecked') THEN
+    concat_ws('|', 'cache-control=max-age=600', 'content-length=' || rlen, 'content-type=text/html', 'date=' || n,
+      'etag=' || coalesce(tag, rtag), 'last-modified=' || coalesce(day, rday), 'server=' || rserver)
+  ELSE concat_ws('|', 'cache-control=max-age=600', 'content-length=0', 'date=' || n, 'etag=' || tag, 'last-modified=' || day) END AS headers
+FROM judged"""
+
+
+@query("op8_warc_revisits", WARC_SQL)
+def op8(spark, sf_dir):
+    found = warc.resolve(warc_records(table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select("record_id", "refers_to", "status", F.array_join(fields, "|").alias("headers"))
