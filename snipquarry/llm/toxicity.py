@@ -18,9 +18,12 @@ SAMPLE = 50_000
 # A token counts as itself and by its first 4 and 5 characters; each kind has its hash buckets.
 KINDS = ((0, 1 << 17), (4, 1 << 16), (5, 1 << 16))
 BUCKETS = sum(n for _, n in KINDS)
-# Weight of the prior against the labelled documents, and standard deviations that evidence must exceed.
+# Weight of the prior against the labelled documents, and by how many standard deviations log-odds
+# must differ from zero to count: many tokens are tried, so chance must be rare.
 PRIOR_SHARE = 0.1
-DEVIATIONS = 2.0
+DEVIATIONS = 3.7
+# And by how much at least, so that the language or the subject of toxic texts is no evidence.
+LEAST_ODDS = 1.5
 DRIFT = 0.1
 BINS = 400
 E_VALUE = 0.05
@@ -147,7 +150,8 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
 
 def _evidence(counts: pa.Table) -> np.ndarray:
-    """Log-odds of each bucket with a Dirichlet prior from the whole corpus, less what chance may make."""
+    """Log-odds of each bucket with a Dirichlet prior from the whole corpus, less a standard deviation,
+    where they are sure."""
     n = np.zeros((3, BUCKETS + 1))
     at = counts.column("bucket").to_numpy()
     for i, c in enumerate(("all_n", "toxic_n", "clean_n")):
@@ -160,7 +164,8 @@ def _evidence(counts: pa.Table) -> np.ndarray:
     odds = [np.log((held[i] + prior) / np.maximum(documents[i] - held[i] + strength - prior, 0.5)) for i in (1, 2)]
     gap = odds[0] - odds[1]
     spread = np.sqrt(1 / (held[1] + prior) + 1 / (held[2] + prior))
-    return np.where(held[0] > 0, np.sign(gap) * np.maximum(np.abs(gap) - DEVIATIONS * spread, 0), 0)
+    sure = (np.abs(gap) >= DEVIATIONS * spread) & (np.abs(gap) - spread >= LEAST_ODDS)
+    return np.where(sure, gap - np.sign(gap) * spread, 0)
 
 
 def _rate(values: np.ndarray, share: np.ndarray) -> float:
