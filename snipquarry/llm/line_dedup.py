@@ -135,7 +135,7 @@ def dedup_lines(documents: DataFrame, least_chars=LEAST_CHARS, least_docs=LEAST_
     drops = held.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("dropped"))
     drops = written(drops, "dropped_lines")
     marked = marked_likely(documents.select("doc_id", "text"), drops, ["doc_id"], "_likely")
-    touched = marked.filter("_likely").drop("_likely").join(drops, "doc_id", "left")
+    touched = marked.filter("_likely").drop("_likely").join(drops.hint("merge"), "doc_id", "left")
     others = marked.filter("NOT _likely").drop("_likely").withColumn("dropped", F.lit(None).cast(drops.schema["dropped"].dataType))
 
     def run(batch):
