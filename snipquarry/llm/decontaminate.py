@@ -138,18 +138,20 @@ def without_ranges(text: str | None, ranges) -> str | None:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, most_hit=0.5, **options) -> DataFrame:
-    """Documents (doc_id, text) without benchmark passages.
-
-    A text of which more than `most_hit` of the words are hit goes as a whole, since little is
-    left of it; other texts lose the hit spans.  Clean rows stay as they are.
-    """
+def cut(found: DataFrame, most_hit=0.5) -> DataFrame:
+    """(doc_id, text) of scanned rows without their hit spans; rows of which more than `most_hit` of the
+    words are hit are left out, since little remains of them."""
 
-    def cut(batch):
+    def run(batch):
         texts = [without_ranges(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist())]
         return {"doc_id": batch.column("doc_id"), "text": texts}
 
-    found = scan(documents, benchmark, **options)
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     kept = found.filter(hit <= F.col("n_words") * most_hit)
-    return per_batch(kept.select("doc_id", "text", "ranges"), cut, f"doc_id {dict(documents.dtypes)['doc_id']}, text string")
+    return per_batch(kept.select("doc_id", "text", "ranges"), run, f"doc_id {dict(found.dtypes)['doc_id']}, text string")
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, most_hit=0.5, **options) -> DataFrame:
+    """Documents (doc_id, text) without benchmark passages: mostly hit texts go, others lose the hit
+    spans, and clean rows stay as they are."""
+    return cut(scan(documents, benchmark, **options), most_hit)
