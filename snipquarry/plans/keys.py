@@ -43,3 +43,12 @@ def marked_likely(rows: DataFrame, ids: DataFrame, keys: list[str], name: str, w
     joined = rows.withColumn("_slot", slot).withColumns({"_word": word, "_bit": bit}).join(bits, "_word", "left")
     mark = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
     return joined.select(*rows.columns, mark.alias(name))
+
+
+def cut_points(df: DataFrame, column: str, parts: int) -> list:
+    """About even cuts of a number column into `parts`, rising; none where it has no values."""
+    if parts < 2:
+        return []
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = df.agg(F.percentile_approx(column, shares, 1000)).first()[0]
+    return sorted(set(found or []))
