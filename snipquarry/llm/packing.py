@@ -3,6 +3,7 @@
 import bisect
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,10 @@ WELL_FILLED = 0.995
 
 # --- tokens ----------------------------------------------------------------------------
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 _SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 # Fixed value: how the tokenizer file splits a normalised word, over the safe characters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_IDS = np.dtype("<u4")
 
 
 class _Bounded(dict):
@@ -54,7 +55,11 @@ class _Pieces(_Bounded):
 
     def __missing__(self, piece):
         ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return self.keep(piece, np.array(ids, _IDS).tobytes())
+        return self.keep(piece, _raw(ids))
+
+
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Words(_Bounded):
@@ -65,19 +70,22 @@ class Words(_Bounded):
     lower-cased by rule go part by part, all others through the tokenizer as they are.
     """
 
-    def __init__(self, path, most=400_000):
+    def __init__(self, path, most=300_000, most_pieces=800_000):
         super().__init__(most)
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = _Pieces(path, most)
+        self.pieces = _Pieces(path, most_pieces)
 
     def __missing__(self, word):
         text = word.decode()
-        if _SAFE.fullmatch(text) and "<|" not in text:
+        if plain := _PLAIN.fullmatch(text):
+            letters, sign = plain.groups()
+            ids = self.pieces[letters.lower()] + (self.pieces[sign] if sign else b"")
+        elif _SAFE.fullmatch(text) and "<|" not in text:
             ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
         else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, _IDS).tobytes()
+            ids = _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return self.keep(word, ids)
 
 
@@ -88,7 +96,7 @@ def tokenised(documents: DataFrame, path: str, size=SIZE, end_id=END_ID) -> Data
     `path`, then `end_id`.  Longer documents are cut every `size` ids.  A missing text counts as
     empty and gives one piece of the end id; repeated rows each give their pieces.
     """
-    end = np.array([end_id], _IDS).tobytes()
+    end = _raw([end_id])
 
     def run(batch):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
