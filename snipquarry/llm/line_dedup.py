@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snipquarry.llm.common import WHITE, per_batch, utf8
-from snipquarry.plans.keys import lookup, marked_likely
+from snipquarry.plans.keys import cut_points, lookup, marked_likely
 from snipquarry.plans.scratch import written
 
 LEAST_CHARS = 40
@@ -101,7 +101,7 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
 
 def frequent_lines(keys: DataFrame, least_docs=LEAST_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
     """Frequent keys of stored digests, which go through the runs in batches of falling doc_id."""
-    cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    cuts = cut_points(keys, "doc_id", batches)[::-1]
     runs, above = Runs(keys.sparkSession, fanout), None
     for cut in [*cuts, None]:
         part = keys.filter("doc_id IS NOT NULL")

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from snipquarry.llm.url_filter import canonical, host, path
+from snipquarry.plans.keys import cut_points
 
 # Header fields of a not-modified answer that never replace those of the stored response.
 KEPT_FIELDS = [
@@ -57,7 +58,7 @@ def resolve(records: DataFrame, slices=SLICES) -> DataFrame:
         "record_id", "kind", url_key(F.col("url")).alias("key"), F.col("at").cast("long").alias("at"),
         _fields(F.coalesce("headers", F.create_map().cast("map<string,string>"))).alias("headers"),
     ).filter(F.col("kind").isin("response", "revisit"))
-    cuts = sorted({int(c) for c in rows.approxQuantile("at", [i / slices for i in range(1, slices)], 0.002)})
+    cuts = cut_points(rows, "at", slices)
     slice_ = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c <= F.col("at")))
     # Rows without a url or time match nothing; each is spread by itself.
     usable = F.col("at").isNotNull() & (F.col("key") != "")
