@@ -21,26 +21,39 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import scores
+from snipquarry.plans.keys import marked_likely
 from snipquarry.plans.scratch import written_rows
 from snipquarry.plans.skew import salted_join
 
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
 COPY_ROWS = 16_384
 COPY_BYTES = 32 * 1024 * 1024
-PRUNED_ROUTES = 1_000
 # Most bytes of a block on either side, and fewest vectors that are worth a block.
 BLOCK_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 1_024
 
 
 def _matrix(column) -> np.ndarray:
-    """Vectors of an Arrow list column as rows of a float64 matrix."""
+    """Vectors of an Arrow list column as rows of a float64 matrix.
+
+    The column has no NULLs; vectors of different widths cannot be compared and fail.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
         return np.empty((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if not (widths == widths[0]).all():
+        raise ValueError(f"vectors of {int(widths.min())} to {int(widths.max())} components in one search")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a missing component")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _same_width(one: np.ndarray, two: np.ndarray):
+    if len(one) and len(two) and one.shape[1] != two.shape[1]:
+        raise ValueError(f"vectors of {one.shape[1]} and of {two.shape[1]} components in one search")
 
 
 def _first_copies(vectors, order, keep):
@@ -62,6 +75,7 @@ def _best(queries, k, vectors, order, slice_cells=4_000_000, distinct=False):
     """
     n = len(vectors)
     found = []
+    _same_width(queries, vectors)
     if n == 0 or len(queries) == 0:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
     vector_norms = np.einsum("ij,ij->i", vectors, vectors)
@@ -260,39 +274,50 @@ def nearest(
     """Ranked hits (query_id, rank, id, distance) for asks (query_id, embedding, k, routes).
 
     `vectors` has (id, embedding, route) and should be stored: blocks read it more than once.
-    Rows without an embedding are left out.  `k` is at most the maximum k.  Reads at most
-    `copy_rows` + 1 asks first, to see whether they are few enough to be copied to the tasks.
+    Rows without an embedding are left out; widths that differ fail.  Asks are written once, so
+    that a model which makes their vectors runs once, and their number and bytes decide whether
+    they are copied to the tasks.
     """
+    asks, n_asks = written_rows(asks.select("query_id", "embedding", "k", "routes"), "asks")
     schema = _pairs_schema(asks, vectors)
-    asks = asks.select("query_id", "embedding", "k", "routes")
-    small = asks.limit(copy_rows + 1).toArrow() if copy_rows else None
-    if small is not None and small.num_rows <= copy_rows and small.nbytes <= copy_bytes:
-        asked = pc.unique(small.column("routes").combine_chunks().flatten()).to_pylist()
-        if small.column("routes").null_count == 0 and len(asked) <= PRUNED_ROUTES:
-            # Reaches the scan: only the folders or row groups of these routes are read.
-            vectors = vectors.filter(F.col("route").isin(asked))
-        found = _scan(_present(small, "embedding"), vectors, schema)
+    dim = asks.agg(F.max(F.size("embedding"))).first()[0] or 1
+    everywhere = asks.filter("routes IS NULL")
+    routed = asks.filter("routes IS NOT NULL").withColumn("route", F.explode("routes"))
+    if everywhere.isEmpty():
+        # Reaches the scan: only the folders or row groups of these routes are read.
+        wanted = routed.select(F.col("route").alias("_route")).distinct()
+        vectors = vectors.join(wanted, F.col("route") == F.col("_route"), "left_semi")
+    if n_asks <= copy_rows and n_asks * 4 * max(dim, 1) <= copy_bytes:
+        found = _scan(_present(asks.toArrow(), "embedding"), vectors, schema)
     else:
-        # Read several times from here on; the embedding of the queries should not be.
-        asks, n_asks = written_rows(asks, "asks")
-        dim = asks.agg(F.max(F.size("embedding"))).first()[0] or 1
         tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
         fitting = _block_rows(n_asks, vectors.count(), max(dim, 1), tasks)
         sizes = {"block_vectors": block_vectors or fitting[0], "block_asks": block_asks or fitting[1]}
-        everywhere = asks.filter("routes IS NULL").withColumn("route", F.lit(None))
-        routed = asks.withColumn("route", F.explode("routes"))
-        found = _blocks(everywhere, vectors, schema, routed=False, **sizes)
-        if not routed.isEmpty():
-            by_route = _blocks(routed, vectors, schema, **sizes)
-            found = by_route if everywhere.isEmpty() else found.unionByName(by_route)
-    ranked = Window.partitionBy("query_id").orderBy("distance", "id")
-    best = found.withColumn("rank", F.row_number().over(ranked)).filter(
-        (F.col("rank") <= settings.MAX_K) & (F.col("rank") <= F.col("k"))
-    )
+        found = _blocks(routed, vectors, schema, **sizes)
+        if not everywhere.isEmpty():
+            by_all = _blocks(everywhere.withColumn("route", F.lit(None)), vectors, schema, routed=False, **sizes)
+            found = found.unionByName(by_all)
+    best = _merged(found)
     distance = F.col("distance") if squared else F.sqrt("distance")
     return best.select("query_id", "rank", "id", distance.alias("distance"))
 
 
+MERGE_PARTS = 64
+
+
+def _merged(found: DataFrame) -> DataFrame:
+    """The k best rows of each query, of those that the tasks found.
+
+    In two steps: each task gives up to k rows per query, so one query's rows can be many.  They
+    are cut to k in parts by a hash first, and only what is left of the parts meets.
+    """
+    part = F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS))
+    in_part = Window.partitionBy("query_id", part).orderBy("distance", "id")
+    some = found.withColumn("_place", F.row_number().over(in_part)).filter("_place <= k")
+    ranked = Window.partitionBy("query_id").orderBy("distance", "id")
+    return some.withColumn("rank", F.row_number().over(ranked)).filter("rank <= k")
+
+
 def _asks(queries: DataFrame, route=None) -> DataFrame:
     k = scores.clamp_k(F.col("k")) if "k" in queries.columns else F.lit(settings.DEFAULT_K)
     routes = F.lit(None).cast("array<string>") if route is None else F.when(route.isNotNull(), F.array(route))
@@ -314,7 +339,8 @@ def scoped_topk(queries: DataFrame, vectors: DataFrame, **options) -> DataFrame:
 
 # --- inverted file ---------------------------------------------------------------------
 
-MAX_CENTROID_BYTES = 64 * 1024 * 1024
+# Centroids beyond this size are not copied to the tasks but met in blocks.
+COPY_CENTROID_BYTES = 64 * 1024 * 1024
 
 
 def train_centroids(vectors: DataFrame, cells=settings.NLIST, seed=42, iterations=20, fraction=1.0) -> DataFrame:
@@ -329,16 +355,34 @@ def train_centroids(vectors: DataFrame, cells=settings.NLIST, seed=42, iteration
     return vectors.sparkSession.createDataFrame(rows, "cell int, embedding array<double>")
 
 
+def _centroid_bytes(centroids: DataFrame) -> int:
+    size = centroids.agg(F.sum(F.size("embedding")).alias("n")).first().n
+    return 8 * (size or 0)
+
+
 def _collect_centroids(centroids: DataFrame, *extra):
-    """Centroids as a matrix.  One row per cell: their number is a parameter of the index."""
-    table = centroids.select("cell", "embedding", *extra).limit(100_001).toArrow()
-    if table.num_rows > 100_000 or table.nbytes > MAX_CENTROID_BYTES:
-        raise ValueError("too many centroids to copy to the tasks; use fewer cells")
-    return table.sort_by("cell")
+    """Centroids as a table in the order of their cells.  Their size is checked by the caller."""
+    return centroids.select("cell", "embedding", *extra).toArrow().sort_by("cell")
+
+
+def _masked(values: pa.Array):
+    """(rows that have a vector, their matrix)."""
+    present = values.is_valid().to_numpy(zero_copy_only=False)
+    return np.flatnonzero(present), _matrix(values.drop_null())
+
 
+def assign_cells(vectors: DataFrame, centroids: DataFrame, copy_bytes=COPY_CENTROID_BYTES) -> DataFrame:
+    """Add each vector's nearest `cell` and the squared `cell_distance` to its centroid.
 
-def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add each vector's nearest `cell` and the squared `cell_distance` to its centroid."""
+    Rows without a vector get neither.  Any number of cells will do: beyond `copy_bytes` of
+    centroids, vectors (which then need an `id`) and centroids meet in blocks.
+    """
+    if _centroid_bytes(centroids) > copy_bytes:
+        asks = vectors.select(F.col("id").alias("query_id"), "embedding", F.lit(1).alias("k"), F.lit(None).cast("array<string>").alias("routes"))
+        cells = centroids.select(F.col("cell").alias("id"), "embedding", F.lit(None).cast("string").alias("route"))
+        found = nearest(asks, cells, copy_rows=0)
+        best = found.select(F.col("query_id").alias("id"), F.col("id").alias("cell"), F.col("distance").alias("cell_distance"))
+        return vectors.join(best, "id", "left")
     table = _collect_centroids(centroids)
     shared = vectors.sparkSession.sparkContext.broadcast(
         (_matrix(table.column("embedding")), _plain(table.column("cell")))
@@ -346,10 +390,15 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
     def nearest_cell(embedding: pa.Array) -> pa.Array:
         matrix, cells = shared.value
-        rows = _matrix(embedding)
-        one = np.ones(len(rows), int)
-        _, c, d = _best(rows, one, matrix, np.arange(len(matrix)))
-        return pa.StructArray.from_arrays([cells.take(pa.array(c)), pa.array(d)], ["cell", "distance"])
+        at, rows = _masked(embedding)
+        _, c, d = _best(rows, np.ones(len(rows), int), matrix, np.arange(len(matrix)))
+        cell, distance = np.zeros(len(embedding), int), np.zeros(len(embedding))
+        cell[at], distance[at] = c, d
+        missing = np.ones(len(embedding), bool)
+        missing[at] = False
+        return pa.StructArray.from_arrays(
+            [cells.take(pa.array(cell, mask=missing)), pa.array(distance, mask=missing)], ["cell", "distance"]
+        )
 
     cell_type = centroids.schema["cell"].dataType
     result = T.StructType().add("cell", cell_type).add("distance", T.DoubleType())
@@ -376,22 +425,57 @@ def _probe(queries: DataFrame, centroids: DataFrame, choose) -> DataFrame:
 
     def cells_of(embedding: pa.Array, k: pa.Array) -> pa.Array:
         matrix, cells = shared.value
-        rows = _matrix(embedding)
-        distance = np.stack([np.square(matrix - q).sum(axis=1) for q in rows])
-        chosen = choose(distance, k.to_numpy())
-        ends = np.concatenate([[0], np.cumsum(chosen.sum(axis=1))])
-        picked = cells.take(pa.array(np.nonzero(chosen)[1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), picked)
+        at, rows = _masked(embedding)
+        counts, picked = np.zeros(len(embedding), int), []
+        _same_width(rows, matrix)
+        # A few rows at a time, so that distances to all centroids stay small.
+        step = max(1, 4_000_000 // max(1, matrix.size))
+        limits = k.to_numpy()[at]
+        for i in range(0, len(rows), step):
+            gap = rows[i:i + step, None, :] - matrix[None, :, :]
+            chosen = choose(np.einsum("qcd,qcd->qc", gap, gap), limits[i:i + step])
+            counts[at[i:i + step]] = chosen.sum(axis=1)
+            picked.append(np.nonzero(chosen)[1])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.concatenate(picked) if picked else np.empty(0, int)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells.take(pa.array(flat)))
 
     cell_type = centroids.schema["cell"].dataType
     probe = F.arrow_udf(cells_of, T.ArrayType(cell_type))
-    return _asks(queries).withColumn("routes", probe("embedding", "k"))
+    asks = _asks(queries).withColumn("routes", probe("embedding", "k"))
+    return asks.withColumn("routes", F.transform("routes", lambda c: c.cast("string")))
+
+
+def _in_cells(queries: DataFrame, asks: DataFrame, assigned: DataFrame, **options) -> DataFrame:
+    """Search the cells that asks name; a query with a `repo_id` only sees that repository's part of them."""
+    by_cell = assigned.select("id", "embedding", F.col("cell").cast("string").alias("route"))
+    asks = asks.withColumn("routes", F.transform("routes", lambda c: c.cast("string")))
+    if "repo_id" not in queries.columns:
+        return nearest(asks, by_cell, **options)
+    scopes = queries.select("query_id", F.when(F.col("repo_id") != "", F.col("repo_id")).alias("_scope"))
+    asks, _ = written_rows(asks.join(scopes, "query_id"), "asks")
+    inside = F.transform("routes", lambda c: F.concat(c, F.lit("\u0001"), F.col("_scope")))
+    by_both = assigned.select("id", "embedding", F.concat(F.col("cell").cast("string"), F.lit("\u0001"), "repo_id").alias("route"))
+    everywhere = nearest(asks.filter("_scope IS NULL").drop("_scope"), by_cell, **options)
+    scoped = nearest(asks.filter("_scope IS NOT NULL").withColumn("routes", inside).drop("_scope"), by_both, **options)
+    return everywhere.unionByName(scoped)
 
 
 def ivf_topk(
-    queries: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe=settings.NPROBE, **options
+    queries: DataFrame, assigned: DataFrame, centroids: DataFrame, nprobe=settings.NPROBE,
+    copy_bytes=COPY_CENTROID_BYTES, **options
 ) -> DataFrame:
-    """Top-k inside each query's `nprobe` nearest cells; approximate."""
+    """Top-k inside each query's `nprobe` nearest cells, and inside its `repo_id` if it has one; approximate.
+
+    NULL or empty scopes mean everywhere.  Queries without a vector have no hits.
+    """
+    if _centroid_bytes(centroids) > copy_bytes:
+        ask = _asks(queries)
+        cells = centroids.select(F.col("cell").alias("id"), "embedding", F.lit(None).cast("string").alias("route"))
+        near = nearest(ask.withColumn("k", F.lit(nprobe)), cells, copy_rows=0)
+        probed = near.groupBy("query_id").agg(F.collect_list("id").alias("routes"))
+        asks = ask.drop("routes").join(probed, "query_id").select("query_id", "embedding", "k", "routes")
+        return _in_cells(queries, asks, assigned, **options)
 
     def closest(distance, k):
         width = min(nprobe, distance.shape[1])
@@ -400,17 +484,21 @@ def ivf_topk(
         np.put_along_axis(chosen, place, True, axis=1)
         return chosen
 
-    asks = _probe(queries, centroids, closest)
-    return nearest(asks, assigned.select("id", "embedding", F.col("cell").alias("route")), **options)
+    return _in_cells(queries, _probe(queries, centroids, closest), assigned, **options)
 
 
 def cell_exact_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, **options) -> DataFrame:
     """Exact top-k that leaves out the cells which cannot hold a hit.
 
     All vectors of a cell lie within its radius, so the nearest cells that hold k vectors
-    bound the k-th distance, and cells that begin beyond that bound are skipped.
+    bound the k-th distance, and cells that begin beyond that bound are skipped.  Queries with a
+    `repo_id` are compared with all vectors of that repository.
     """
-    stats = assigned.groupBy("cell").agg(
+    if "repo_id" in queries.columns:
+        scoped = F.coalesce(F.col("repo_id") != "", F.lit(False))
+        inside = scoped_topk(queries.filter(scoped), assigned, **options)
+        return inside.unionByName(cell_exact_topk(queries.filter(~scoped).drop("repo_id"), assigned, centroids, **options))
+    stats = assigned.filter("cell IS NOT NULL").groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.max("cell_distance")).alias("radius")
     )
     table = _collect_centroids(centroids.join(stats, "cell"), "n", "radius")
@@ -427,7 +515,7 @@ def cell_exact_topk(queries: DataFrame, assigned: DataFrame, centroids: DataFram
         return gap - radius <= bound + 1e-9 * (1.0 + bound)
 
     asks = _probe(queries, centroids.join(stats, "cell", "left_semi"), possible)
-    return nearest(asks, assigned.select("id", "embedding", F.col("cell").alias("route")), **options)
+    return nearest(asks, assigned.filter("cell IS NOT NULL").select("id", "embedding", F.col("cell").cast("string").alias("route")), **options)
 
 
 # --- results ---------------------------------------------------------------------------
@@ -441,7 +529,9 @@ def join_hits(hits: DataFrame, single: DataFrame, copy_hits=COPY_HITS) -> DataFr
     hits, rows = written_rows(hits, "hits")
     if rows <= copy_hits:
         return F.broadcast(hits).join(single, "id")
-    return salted_join(hits, single, ["id"], ["query_id", "rank"])
+    # Most snippets are in no hit; they go before any shuffle.
+    found = marked_likely(single, hits.select("id"), ["id"], "_hit").filter("_hit").drop("_hit")
+    return salted_join(hits, found, ["id"], ["query_id", "rank"])
 
 
 RESULT_FIELDS = [

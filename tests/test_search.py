@@ -84,7 +84,7 @@ def cells(spark, data):
 
 @pytest.mark.parametrize("way", WAYS)
 def test_cells_are_exact_when_all_or_bounded(data, cells, way):
-    q = data[1]
+    q = data[1].drop("repo_id")
     centroids, assigned = cells
     want = _brute(data, scoped=False)
     assert _hits(search.ivf_topk(q, assigned, centroids, nprobe=9, **WAYS[way])) == want
@@ -92,7 +92,7 @@ def test_cells_are_exact_when_all_or_bounded(data, cells, way):
 
 
 def test_probing_few_cells(data, cells):
-    q, vectors, queries = data[1], data[2], data[3]
+    q, vectors, queries = data[1].drop("repo_id"), data[2], data[3]
     centroids, assigned = cells
     centre = {r.cell: np.array(r.embedding) for r in centroids.collect()}
     names = sorted(centre)
@@ -108,7 +108,7 @@ def test_probing_few_cells(data, cells):
 
 
 def test_stored_cells(spark, data, cells, tmp_path):
-    q = data[1]
+    q = data[1].drop("repo_id")
     centroids, assigned = cells
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
     try:
@@ -147,3 +147,50 @@ def test_results_and_responses(spark, data, copied, monkeypatch):
     answered = {r.query_id: r for r in search.responses(q.select("query_id"), results).collect()}
     assert {i: r["count"] for i, r in answered.items()} == {i: len(rows) for i, rows in want.items()}
     assert [x.id for x in answered[3].results] == [x[1] for x in want[3]]
+
+
+def test_cells_with_scopes(data, cells):
+    q = data[1]
+    centroids, assigned = cells
+    want = {i: hits for i, hits in _brute(data, scoped=True).items() if hits}
+    assert _hits(search.ivf_topk(q, assigned, centroids, nprobe=9)) == want
+    assert _hits(search.cell_exact_topk(q, assigned, centroids)) == want
+
+
+def test_any_number_of_cells(data, cells):
+    """Centroids that are not copied give the same cells and hits."""
+    v, q = data[0], data[1].drop("repo_id")
+    centroids, assigned = cells
+    met = search.assign_cells(v, centroids, copy_bytes=0)
+    own = {r.id: r.cell for r in assigned.collect()}
+    assert {r.id: r.cell for r in met.collect()} == {**own, "v9998": None}
+    few = _hits(search.ivf_topk(q, assigned, centroids, nprobe=2))
+    assert _hits(search.ivf_topk(q, assigned, centroids, nprobe=2, copy_bytes=0)) == few
+
+
+def test_more_hits_than_a_request_may_ask_for(data):
+    v, q = data[:2]
+    asks = q.limit(1).select("query_id", "embedding", F.lit(150).alias("k"), F.lit(None).cast("array<string>").alias("routes"))
+    found = search.nearest(asks, v.select("id", "embedding", F.lit(None).cast("string").alias("route")))
+    assert [r["rank"] for r in found.orderBy("rank").collect()] == list(range(1, 151))
+
+
+def test_missing_vectors_change_nothing(spark):
+    """Asks and vectors without an embedding are left out, and the others keep their own hits."""
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [10.0, 1.0]), (3, None)], "id int, embedding array<double>")
+    centroids = spark.createDataFrame([(0, [0.0, 0.0]), (1, [10.0, 0.0])], "cell int, embedding array<double>")
+    q = spark.createDataFrame([(7, None), (8, [10.0, 0.0]), (9, None)], "query_id int, embedding array<double>").coalesce(1)
+    assigned = search.assign_cells(v, centroids)
+    assert {r.id: r.cell for r in assigned.collect()} == {1: 0, 2: 1, 3: None}
+    for options in ({}, {"copy_rows": 0}):
+        assert _hits(search.ivf_topk(q.withColumn("k", F.lit(1)), assigned, centroids, nprobe=1, **options)) == {8: [(1, 2, 1.0)]}
+        assert _hits(search.cell_exact_topk(q.withColumn("k", F.lit(1)), assigned, centroids, **options)) == {8: [(1, 2, 1.0)]}
+
+
+def test_widths_that_differ_fail(spark):
+    v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [10.0] * 6)], "id int, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(8, [10.0] * 4)], "query_id int, embedding array<double>")
+    with pytest.raises(Exception, match="components in one search"):
+        search.exact_topk(q, v).collect()
+    with pytest.raises(Exception, match="components in one search"):
+        search.exact_topk(q, v.filter("id = 1")).collect()
