@@ -17,11 +17,12 @@ TOGETHER = 256
 ROUNDS = 3
 # Shingles that are found more than so often by one task count as frequent; the most frequent ones
 # stand last in the order of shingles.  This decides the work, never the result.
-OFTEN = 8
-MOST_FREQUENT = 100_000
+OFTEN = 4
+MOST_FREQUENT = 300_000
 # Members of a chunk of a group, and of a block of queries, that one task opens.
 CHUNK = 64
 QUERIES = 256
+SALTS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
@@ -105,8 +106,7 @@ def _digest_rows(rows: DataFrame, words: int) -> DataFrame:
                 tokens = shingles(text, words, hashes)
                 made["n"].append(len(tokens))
                 both = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64)
-                least = [int(mixed(tokens ^ U64(salt)).min().view(np.int64)) if len(tokens) else 0 for salt in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                for c, v in zip(("s1", "s2", "m1", "m2", "m3"), [*both.tolist(), *least]):
+                for c, v in zip(("s1", "s2", "m1", "m2", "m3"), [*both.tolist(), *_least(tokens)]):
                     made[c].append(v)
                 held.append(tokens)
                 n_held += len(tokens)
@@ -143,8 +143,13 @@ def _prefix(tokens: np.ndarray, percent, frequent, place) -> np.ndarray:
     return tokens[np.lexsort((tokens, late))[:size]]
 
 
+def _least(tokens: np.ndarray) -> list[int]:
+    """Least hashes of a set under three orders."""
+    return [int(mixed(tokens ^ U64(salt)).min().view(np.int64)) if len(tokens) else 0 for salt in SALTS]
+
+
 def _token_rows(rows: DataFrame, words, percent, frequent) -> DataFrame:
-    """(doc_id, s1, s2, n, prefix, tokens) of rows (doc_id, text, full): whole sets where `full`."""
+    """(doc_id, s1, s2, n, m1 to m3, prefix, tokens) of rows (doc_id, text, full): whole sets where `full`."""
     copied = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch):
@@ -154,15 +159,34 @@ def _token_rows(rows: DataFrame, words, percent, frequent) -> DataFrame:
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         full = batch.column("full").to_pylist()
         none = np.empty(0, U64)
+        least = [_least(s) for s in sets]
         return {
             "doc_id": batch.column("doc_id"), "s1": digest[:, 0], "s2": digest[:, 1], "n": [*map(len, sets)],
-            "prefix": lists(prefixes), "tokens": lists([s if f else none for s, f in zip(sets, full)]),
+            **{f"m{i + 1}": [x[i] for x in least] for i in range(3)}, "prefix": lists(prefixes), "tokens": lists([s if f else none for s, f in zip(sets, full)]),
         }
 
-    schema = "doc_id bigint, s1 bigint, s2 bigint, n bigint, prefix array<bigint>, tokens array<bigint>"
+    schema = "doc_id bigint, s1 bigint, s2 bigint, n bigint, m1 bigint, m2 bigint, m3 bigint, prefix array<bigint>, tokens array<bigint>"
     return per_batch(rows.select("doc_id", "text", "full"), run, schema)
 
 
+def _spare(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, s1, s2, again) of rows that do not stand for their class, or more than once (again)."""
+    several = classes.filter("rows > 1").select("s1", "s2", "node", "rows")
+    held = lookup(rows.select("doc_id", "s1", "s2"), several, ["s1", "s2"], "rows").filter("node IS NOT NULL")
+    counted = held.groupBy("doc_id", "s1", "s2", "node").agg(F.count(F.lit(1)).alias("times"))
+    return counted.filter("doc_id <> node OR times > 1").select("doc_id", "s1", "s2", (F.col("doc_id") == F.col("node")).alias("again"))
+
+
+def _representatives(rows: DataFrame, spare: DataFrame) -> DataFrame:
+    """One row for each class, with doc_id as `node`; only rows that may be spare are shuffled."""
+    key, columns = ["doc_id", "s1", "s2"], [c for c in rows.columns if c not in ("s1", "s2")]
+    marked = marked_likely(rows, spare, key, "_spare")
+    some = marked.filter("_spare").drop("_spare").join(spare.hint("merge"), key, "left")
+    some = some.filter("again IS NULL OR again").dropDuplicates(key)
+    out = some.select(*columns).unionByName(marked.filter("NOT _spare").select(*columns))
+    return out.withColumnRenamed("doc_id", "node")
+
+
 # --- groups ----------------------------------------------------------------------------
 
 
@@ -191,23 +215,29 @@ def _bucket_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("bucket", "part").applyInArrow(run, "node bigint, leader bigint")
 
 
-def _group_rounds(held: DataFrame, percent, together, rounds) -> DataFrame | None:
-    """Links (a, b) of documents (node, m1 to m3, tokens) that share a least hash, round by round;
-    only leaders go on.  A bucket of any size is cut into parts by a hash."""
-    links = []
+def _bucket(i: int):
+    """Key of a round: two of the three least hashes, which texts seldom share by one common passage."""
+    return F.xxhash64(f"m{i}", f"m{i % 3 + 1}").alias("bucket")
+
+
+def _group_rounds(nodes: DataFrame, sets: DataFrame, percent, together, rounds) -> DataFrame:
+    """Links (a, b) of documents (node, m1 to m3; node, tokens) that share least hashes, round by round.
+
+    Only leaders go on.  A bucket of any size is cut into parts by a hash.
+    """
+    links = None
     for i in range(1, rounds + 1):
-        sizes = held.groupBy(F.col(f"m{i}").alias("bucket")).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sizes = written(sizes, "buckets")
-        light = lookup(held.select("node", F.col(f"m{i}").alias("bucket")), sizes, ["bucket"], "size").filter("size IS NOT NULL")
+        keyed = nodes.select("node", _bucket(i))
+        sizes = written(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
         part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / together))
-        placed = light.select("node", "bucket", part.alias("part"))
-        found = written(_bucket_links(held.select("node", "tokens").join(placed, "node"), percent).filter("node <> leader"), "bucket_links")
-        links.append(found.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        held = held.join(found.select("node"), "node", "left_anti")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        placed = lookup(keyed, sizes, ["bucket"], "size").filter("size IS NOT NULL").select("node", "bucket", part.alias("part"))
+        placed = written(placed, "placed")
+        near = marked_likely(sets, placed.select("node"), ["node"], "_near").filter("_near").select("node", "tokens")
+        found = _bucket_links(near.join(placed.hint("merge"), "node"), percent).filter("node <> leader")
+        found = written(found.select(F.col("node").alias("a"), F.col("leader").alias("b")), "bucket_links")
+        links = found if links is None else links.unionByName(found)
+        nodes = written(nodes.join(found.select(F.col("a").alias("node")), "node", "left_anti"), "leaders")
+    return links
 
 
 # --- the matrix ------------------------------------------------------------------------
@@ -218,21 +248,20 @@ def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFra
 
     `prefixes` has (node, n, prefix), `groups` (node, component) of nodes that are not alone.  The
     matrix has a row for each token and group, with the sizes of the members that have the token.
-    Of two groups the documents of the smaller are the queries.
+    Of two groups the documents of the smaller are the queries; the tokens that a query shares with
+    a group bound its overlap with every member.
     """
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sized = lookup(groups, written(sizes, "group_sizes"), ["component"], "size")
-    own = prefixes.join(sized, "node", "left").select(
-        F.explode("prefix").alias("token"), "node", "n", F.coalesce("component", "node").alias("group"),
-        F.coalesce("size", F.lit(1)).alias("size"),
-    )
-    rows = written(own, "matrix_rows")
-    tokens = rows.groupBy("token").agg(
-        F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("held"),
-    )
-    tokens = written(tokens.filter("low < high").select("token", "held"), "shared_tokens")
+    rows = prefixes.select(F.explode("prefix").alias("token"), "node", "n")
+    tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    tokens = written(tokens.filter("held > 1"), "shared_tokens")
     likely = marked_likely(rows, tokens, ["token"], "_likely").filter("_likely").drop("_likely")
     rows = written(lookup(likely, tokens, ["token"], "held").filter("held IS NOT NULL").drop("held"), "shared_rows")
+    sizes = written(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "group_sizes")
+    sized = lookup(groups, sizes, ["component"], "size")
+    rows = rows.join(sized, "node", "left").select(
+        "token", "node", "n", F.coalesce("component", "node").alias("group"), F.coalesce("size", F.lit(1)).alias("size")
+    )
+    rows = written(rows, "matrix_rows")
     matrix = rows.groupBy("token", "group", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = written(matrix, "matrix")
     top = matrix.groupBy("token").agg(F.max("size").alias("top"), F.sum("size").alias("weight"))
@@ -244,8 +273,18 @@ def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFra
     target = matrix.select("token", F.col("group").alias("target"), F.col("size").alias("target_size"), "least", "most")
     smaller = (F.col("size") < F.col("target_size")) | (F.col("size") == F.col("target_size")) & (F.col("group") > F.col("target"))
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    pairs = asking.join(target, "token").filter(smaller & fits)
-    return written(pairs.select(F.col("node").alias("query"), F.col("target").alias("group")).distinct(), "candidates")
+    pairs = asking.join(target, "token").filter(smaller & fits).groupBy(F.col("node").alias("query"), F.col("target").alias("group")).agg(
+        F.count(F.lit(1)).alias("common"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
+    # How many of the tokens at the front must be common.  Of two linked sets, all tokens of one's
+    # front that the other has stand in the other's front, so the overlap is at most what the fronts
+    # share and what stands behind the one's front.  Least where the sizes differ most.
+    n, low, high = F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.least("most", F.floor(F.col("n") * 100 / percent))
+    need = F.least(*[
+        F.ceil((n + m) * percent / (100 + percent)) - F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) + 1
+        for m in (low, high)
+    ])
+    return written(pairs.filter(F.col("common") >= need).select("query", "group"), "candidates")
 
 
 def _opened(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,22 +355,22 @@ def similar(
         in_part.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"), *[F.min(f"m{i}").alias(f"m{i}") for i in (1, 2, 3)]),
         "classes",
     )
+    nodes = classes.select("node", "s1", "s2", "m1", "m2", "m3")
     wanted = None
     for i in range(1, rounds + 1):
-        shared = written(classes.groupBy(f"m{i}").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shared_hashes")
-        one = lookup(classes.select("node", f"m{i}"), shared, [f"m{i}"], "many").filter("many IS NOT NULL").select("node")
+        keyed = nodes.select("node", _bucket(i))
+        shared = written(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "shared_hashes")
+        one = lookup(keyed, shared, ["bucket"], "many").filter("many IS NOT NULL").select("node")
         wanted = one if wanted is None else wanted.unionByName(one)
+    wanted = written(wanted.distinct(), "wanted")
     marked = marked_likely(rows, wanted.select(F.col("node").alias("doc_id")), ["doc_id"], "full")
-    # Rows that are surely their class's representative need no join.
-    tokens = _token_rows(marked, words, percent, _frequent(digests, frequent))
-    tokens = written(tokens.filter("n > 0 AND doc_id IS NOT NULL"), "tokens")
-    nodes = classes.select("s1", "s2", F.col("node").alias("doc_id"), "m1", "m2", "m3")
-    prefixes = tokens.select("doc_id", "s1", "s2", "n", "prefix").join(nodes.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
-    prefixes = prefixes.select(F.col("doc_id").alias("node"), "n", "prefix")
-    held = tokens.filter(F.size("tokens") > 0).select("doc_id", "s1", "s2", "tokens").join(nodes, ["doc_id", "s1", "s2"])
-    held = written(held.select(F.col("doc_id").alias("node"), "m1", "m2", "m3", "tokens").dropDuplicates(["node"]), "held")
-
-    links = _group_rounds(held, percent, together, rounds)
+    tokens = _token_rows(marked, words, percent, _frequent(digests, frequent)).filter("n > 0 AND doc_id IS NOT NULL")
+    tokens = written(tokens.select("doc_id", "s1", "s2", "n", "prefix", "tokens"), "tokens")
+    spare = written(_spare(in_part, classes), "spare")
+    prefixes = _representatives(tokens.select("doc_id", "s1", "s2", "n", "prefix"), spare)
+    held = _representatives(tokens.filter(F.size("tokens") > 0).select("doc_id", "s1", "s2", "tokens"), spare)
+
+    links = _group_rounds(nodes.select("node", "m1", "m2", "m3"), held, percent, together, rounds)
     groups = written(components(links), "groups")
     pairs = _candidates(prefixes, groups, percent)
 
@@ -346,8 +385,8 @@ def similar(
     need = written(members.select("node").unionByName(pairs.select(F.col("query").alias("node"))).distinct(), "opened")
     likely = marked_likely(rows, need.select(F.col("node").alias("doc_id")), ["doc_id"], "full").filter("full")
     sets = _token_rows(likely, words, percent, (np.empty(0, U64), np.empty(0, np.int64)))
-    sets = sets.join(nodes.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("node"), "tokens")
-    sets = written(sets.dropDuplicates(["node"]).join(need, "node", "left_semi"), "sets")
+    sets = _representatives(sets.select("doc_id", "s1", "s2", "tokens"), spare)
+    sets = written(sets.join(need.hint("merge"), "node", "left_semi").select("node", "tokens"), "sets")
 
     with_size = pairs.join(sizes, "group", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1)))
     first = F.pmod(F.xxhash64("query"), F.col("chunks"))
