@@ -18,11 +18,10 @@ def per_batch(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     arrow = None
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                made = function(batch)
-                if made is not None:
-                    yield pa.RecordBatch.from_pydict(made, schema=arrow)
+        for batch in sliced(batches):
+            made = function(batch)
+            if made is not None:
+                yield pa.RecordBatch.from_pydict(made, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -31,6 +30,13 @@ def per_batch(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def sliced(batches, rows=1000):
+    """The batches in smaller ones, so that Python holds few texts at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def utf8(column) -> list[bytes]:
     """Whole texts as UTF-8; no text is an empty one."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

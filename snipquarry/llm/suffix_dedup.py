@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from snipquarry.llm.common import U64, mixed, per_batch, signed, utf8
+from snipquarry.llm.common import U64, mixed, per_batch, signed, utf8, worker_state
 from snipquarry.plans.keys import lookup, marked_likely
 from snipquarry.plans.scratch import written
 
@@ -69,16 +69,15 @@ def _segments(texts: list[bytes], length: int):
 
 
 def _digests(views) -> np.ndarray:
-    raw = b"".join(xxhash.xxh3_128_digest(v) for v in views)
-    return np.frombuffer(raw, ">u8").astype(U64).reshape(-1, 2)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, views), U64)
 
 
 def sampled(texts: list[bytes], length: int, q: int, rolling: _Rolling):
-    """Sampled suffixes: (row, at, l1, l2, bucket, u1, u2) as arrays.
+    """Sampled suffixes: (row, at, l1, l2, bucket, whole) as arrays.
 
     Of all q-grams of a window of `length` bytes the one with the least hash (of equals the first)
     is the window's suffix, so equal windows choose equal suffixes at equal offsets.  A suffix at
-    byte `at` is chosen by the windows that begin l1 to l2 bytes before it; u1, u2 are a digest
+    byte `at` is chosen by the windows that begin l1 to l2 bytes before it; `whole` is a digest
     of all bytes of these windows.
     """
     out = []
@@ -102,17 +101,18 @@ def sampled(texts: list[bytes], length: int, q: int, rolling: _Rolling):
         digest = _digests(view[a:b + length] for a, b in zip(first.tolist(), last.tolist()))
         bounds, rows, moves = (np.array(c) for c in zip(*owner))
         own = np.searchsorted(bounds, suffix, side="right") - 1
-        out.append((rows[own], suffix + moves[own], suffix - last, suffix - first, hashes[suffix], digest[:, 0], digest[:, 1]))
+        out.append((rows[own], suffix + moves[own], suffix - last, suffix - first, hashes[suffix], digest))
     if not out:
         return None
     return [np.concatenate(c) for c in zip(*out)]
 
 
-# Items with the same class have the same bytes in all their windows; items with the same core have
-# the same bytes in what all windows of the block share.
-CORE = ["bucket", "block", "c1", "c2"]
-CLASS = [*CORE, "l1", "l2", "u1", "u2"]
-ITEM = "key1 bigint, key2 bigint, at bigint, bucket bigint, block int, c1 bigint, c2 bigint, l1 int, l2 int, u1 bigint, u2 bigint, open boolean"
+# A row for each item: a suffix and its windows l1 to l2.  Items of a bucket with the same `cls` have
+# the same bytes in all their windows; those with the same `core` have the same bytes in what all
+# windows of their block of offsets share.  Both are bucket identifiers of the next refinement; with
+# the bucket they make 128 bits.
+CLASS = ["bucket", "core", "cls"]
+ITEM = "key1 bigint, key2 bigint, at int, bucket bigint, core bigint, cls bigint, l1 int, l2 int, open boolean"
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -122,54 +122,89 @@ def _keyed(documents: DataFrame) -> DataFrame:
     )
 
 
+def _identifier(digest: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    """A digest together with the offsets that it stands for."""
+    for place in places:
+        digest = mixed(digest * U64(_BASE) + place.astype(U64))
+    return digest
+
+
 def _first_items(keyed: DataFrame, length: int, q: int) -> DataFrame:
     def run(batch):
-        from snipquarry.llm.common import worker_state
-
         found = sampled(utf8(batch.column("text")), length, q, worker_state("rolling", _Rolling))
         if found is None:
             return None
-        rows, at, l1, l2, bucket, u1, u2 = found
+        rows, at, l1, l2, bucket, whole = found
         n, rows = len(rows), pa.array(rows)
-        zero = np.zeros(n, np.int64)
         return {
-            "key1": batch.column("key1").take(rows), "key2": batch.column("key2").take(rows), "at": at,
-            "bucket": signed(bucket), "block": zero.astype(np.int32), "c1": zero, "c2": zero,
-            "l1": l1.astype(np.int32), "l2": l2.astype(np.int32), "u1": signed(u1), "u2": signed(u2),
-            "open": np.ones(n, bool),
+            "key1": batch.column("key1").take(rows), "key2": batch.column("key2").take(rows), "at": at.astype(np.int32),
+            "bucket": signed(bucket), "core": np.zeros(n, np.int64), "cls": signed(_identifier(whole, l1, l2)),
+            "l1": l1.astype(np.int32), "l2": l2.astype(np.int32), "open": np.ones(n, bool),
         }
 
     return per_batch(keyed.select("key1", "key2", "text"), run, ITEM)
 
 
-def _refined(items: DataFrame, size: int, length: int) -> DataFrame:
-    """Items with their bytes, cut into blocks of `size` offsets, with the bucket identifiers (core
-    and whole) that follow from the bytes at the later and earlier offsets of the block."""
+class _Cut:
+    """Collects items cut into blocks of `size` offsets, with their identifiers."""
+
+    def __init__(self, size, length):
+        self.size, self.length = size, length
+        self.rows, self.blocks, self.firsts, self.lasts, self.parts, self.cores = [], [], [], [], [], []
+
+    def add(self, row, l1, l2, held, start):
+        """An item of row `row`; `held` has its bytes, with the suffix at `start`."""
+        size, length = self.size, self.length
+        for block in range(l1 // size, l2 // size + 1):
+            low, high = block * size, block * size + size - 1
+            a, b = max(l1, low), min(l2, high)
+            self.rows.append(row)
+            self.blocks.append(block)
+            self.firsts.append(a)
+            self.lasts.append(b)
+            self.parts.append(held[start - b:start + length - a])
+            self.cores.append(held[start - low:start + length - high])
+
+    def columns(self):
+        block, first, last = (np.array(c, np.int32) for c in (self.blocks, self.firsts, self.lasts))
+        return {
+            "core": signed(_identifier(_digests(self.cores), block)),
+            "cls": signed(_identifier(_digests(self.parts), first, last)),
+            "l1": pa.array(first), "l2": pa.array(last),
+        }
+
+
+def _from_texts(texts: DataFrame, size: int, length: int, keep: bool) -> DataFrame:
+    """Items of (key1, key2, text, held) cut into blocks, with their bytes if these are to be kept."""
 
     def run(batch):
-        rows, blocks, firsts, lasts, parts, cores = [], [], [], [], [], []
-        zipped = zip(batch.column("l1").to_pylist(), batch.column("l2").to_pylist(), batch.column("bytes").to_pylist())
-        for row, (l1, l2, held) in enumerate(zipped):
-            for block in range(l1 // size, l2 // size + 1):
-                low, high = block * size, block * size + size - 1
-                a, b = max(l1, low), min(l2, high)
-                # Offset x before the suffix is at l2 - x in the item's bytes.
-                part = held[l2 - b:l2 + length - a]
-                rows.append(row)
-                blocks.append(block)
-                firsts.append(a)
-                lasts.append(b)
-                parts.append(part)
-                cores.append(part[b - low:b + length - high])
-        core, whole = _digests(cores), _digests(parts)
-        taken = pa.array(rows)
-        return {c: batch.column(c).take(taken) for c in ("key1", "key2", "at", "bucket", "open")} | {
-            "block": pa.array(blocks, pa.int32()), "l1": pa.array(firsts, pa.int32()), "l2": pa.array(lasts, pa.int32()),
-            "c1": signed(core[:, 0].copy()), "c2": signed(core[:, 1].copy()),
-            "u1": signed(whole[:, 0].copy()), "u2": signed(whole[:, 1].copy()), "bytes": parts,
-        }
+        cut, owner, held = _Cut(size, length), [], []
+        for row, (text, items) in enumerate(zip(utf8(batch.column("text")), batch.column("held").to_pylist())):
+            for x in items:
+                cut.add(len(held), x["l1"], x["l2"], text, x["at"])
+                owner.append(row)
+                held.append(x)
+        at = np.array(cut.rows, int)
+        own = pa.array(np.array(owner, int)[at])
+        columns = {c: batch.column(c).take(own) for c in ("key1", "key2")}
+        columns |= {c: [held[i][c] for i in cut.rows] for c in ("at", "bucket", "open")}
+        return columns | cut.columns() | ({"bytes": cut.parts} if keep else {})
+
+    return per_batch(texts, run, ITEM + (", bytes binary" if keep else ""))
 
-    return per_batch(items, run, ITEM + ", bytes binary")
+
+def _from_bytes(items: DataFrame, size: int, length: int) -> DataFrame:
+    """Items that carry their bytes, cut into smaller blocks."""
+
+    def run(batch):
+        cut = _Cut(size, length)
+        columns = (batch.column(c).to_pylist() for c in ("l1", "l2", "bytes"))
+        for row, (l1, l2, held) in enumerate(zip(*columns)):
+            cut.add(row, l1, l2, held, l2)
+        own = pa.array(cut.rows, pa.int64())
+        return {c: batch.column(c).take(own) for c in ("key1", "key2", "at", "bucket", "open")} | cut.columns()
+
+    return per_batch(items, run, ITEM)
 
 
 def _step(items: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
@@ -179,22 +214,31 @@ def _step(items: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     with its core is repeated in none.  In the other cores each class goes on with one member;
     what is decided already goes on for comparison only.
     """
-    numbered = items.withColumn("uid", F.xxhash64("key1", "key2", "at", "l1"))
-    classes = written(numbered.groupBy(*CLASS).agg(
-        F.count(F.lit(1)).alias("n"), F.min("uid").alias("uid"), F.max("open").alias("open")
+    items = items.withColumn("uid", F.xxhash64("key1", "key2", "at", "l1"))
+    classes = written(items.groupBy(*CLASS).agg(
+        F.count(F.lit(1)).alias("n"), F.min("uid").alias("first"), F.max("open").alias("wanted")
     ), "classes")
-    repeated = lookup(items.filter("open").select("key1", "key2", "at", *CLASS), classes.filter("n > 1").select(*CLASS, "n"), CLASS, "n")
-    spans = repeated.filter("n IS NOT NULL").select(
-        "key1", "key2", (F.col("at") - F.col("l2")).alias("from"), (F.col("at") + length - F.col("l1")).alias("to")
+    single = F.col("wanted") & (F.col("n") == 1)
+    cores = classes.groupBy("bucket", "core").agg(F.count(F.lit(1)).alias("kinds"), F.max(single).alias("undecided"))
+    cores = written(cores.filter("kinds > 1 AND undecided").drop("undecided"), "cores")
+    told = lookup(classes, cores, ["bucket", "core"], "kinds").filter("n > 1 OR kinds IS NOT NULL")
+    told = written(told.select(*CLASS, "n", F.when(F.col("kinds").isNotNull(), F.col("first")).alias("goes")), "told")
+    known = marked_likely(items, told, CLASS, "_likely").filter("_likely").drop("_likely")
+    decided = written(lookup(known, told, CLASS, "n").filter("n IS NOT NULL"), "decided")
+    spans = decided.filter("open AND n > 1").select(
+        "key1", "key2", (F.col("at") - F.col("l2")).cast("long").alias("from"), (F.col("at") + length - F.col("l1")).cast("long").alias("to")
     )
-    undecided = F.max(F.col("open") & (F.col("n") == 1))
-    cores = classes.groupBy(*CORE).agg(F.count(F.lit(1)).alias("kinds"), undecided.alias("wanted"))
-    cores = written(cores.filter("kinds > 1 AND wanted").select(*CORE, "kinds"), "cores")
-    going = lookup(classes, cores, CORE, "kinds").filter("kinds IS NOT NULL")
-    going = written(going.select("uid", *CLASS, (F.col("open") & (F.col("n") == 1)).alias("still")), "going")
-    # A class goes on with the member that gave the least uid: uid and class name one item.
-    left = numbered.join(going, ["uid", *CLASS]).withColumn("open", F.col("still")).drop("still", "uid")
-    return written(spans, "spans"), left
+    left = decided.filter("uid = goes").withColumn("open", F.col("open") & (F.col("n") == 1))
+    return spans, left.drop("uid", "n", "goes")
+
+
+def _with_texts(keyed: DataFrame, left: DataFrame) -> DataFrame:
+    """(key1, key2, text, held): texts that have undecided items, one for each key, with the items."""
+    held = left.groupBy("key1", "key2").agg(F.collect_list(F.struct("at", "bucket", "l1", "l2", "open")).alias("held"))
+    held = written(held, "undecided")
+    texts = marked_likely(keyed.select("key1", "key2", "text"), held, ["key1", "key2"], "_likely").filter("_likely").drop("_likely")
+    # Rows with one key have one text.
+    return texts.join(held.hint("merge"), ["key1", "key2"]).dropDuplicates(["key1", "key2"])
 
 
 def repeated_spans(documents: DataFrame, length=LENGTH, q=Q) -> tuple[DataFrame, DataFrame]:
@@ -203,33 +247,18 @@ def repeated_spans(documents: DataFrame, length=LENGTH, q=Q) -> tuple[DataFrame,
     first = written(_first_items(keyed, length, q), "suffixes")
     shared = written(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     likely = marked_likely(first, shared, ["bucket"], "_likely").filter("_likely").drop("_likely")
-    items = written(lookup(likely, shared, ["bucket"], "n").filter("n IS NOT NULL").drop("n"), "shared_suffixes")
-    spans, left = _step(items, length)
-    # The bytes are fetched once, for the suffixes that are not decided.
-    wanted = left.groupBy("key1", "key2").agg(F.collect_list(F.struct("at", "bucket", "l1", "l2", "open")).alias("held"))
-    wanted = written(wanted, "undecided")
-    texts = marked_likely(keyed, wanted, ["key1", "key2"], "_likely").filter("_likely").select("key1", "key2", "text")
-    # Rows with one key have one text.
-    texts = texts.join(wanted, ["key1", "key2"]).groupBy("key1", "key2").agg(F.first("text").alias("text"), F.first("held").alias("held"))
-
-    def fetch(batch):
-        rows, held = [], []
-        for row, items in enumerate(batch.column("held").to_pylist()):
-            rows += [row] * len(items)
-            held += items
-        texts = utf8(batch.column("text"))
-        made = {c: [x[c] for x in held] for c in ("at", "bucket", "l1", "l2", "open")}
-        made |= {c: batch.column(c).take(pa.array(rows)) for c in ("key1", "key2")}
-        made["bytes"] = [texts[row][x["at"] - x["l2"]:x["at"] + length - x["l1"]] for row, x in zip(rows, held)]
-        return made
-
-    schema = "key1 bigint, key2 bigint, at bigint, bucket bigint, l1 int, l2 int, open boolean, bytes binary"
-    left = per_batch(texts, fetch, schema)
-    for size in BLOCKS:
-        items = written(_refined(left, size, length), f"refined{size}")
-        more, left = _step(items, length)
-        spans = spans.unionByName(more)
-    return keyed, spans
+    spans, left = _step(likely, length)
+    # Texts are read again for the coarse blocks, and once more for what these leave open.
+    coarse, fine, single = BLOCKS
+    items = written(_from_texts(_with_texts(keyed, left), coarse, length, keep=False), "coarse")
+    more, left = _step(items, length)
+    spans = spans.unionByName(more)
+    items = written(_from_texts(_with_texts(keyed, left), fine, length, keep=True), "fine")
+    more, left = _step(items, length)
+    spans = spans.unionByName(more)
+    items = written(_from_bytes(left, single, length), "single")
+    more, _ = _step(items, length)
+    return keyed, spans.unionByName(more)
 
 
 def remove_repeats(documents: DataFrame, length=LENGTH, q=Q) -> DataFrame:
@@ -251,7 +280,7 @@ def remove_repeats(documents: DataFrame, length=LENGTH, q=Q) -> DataFrame:
     per_row = spans.distinct().groupBy("key1", "key2").agg(F.collect_list(F.array("from", "to")).alias("spans"))
     per_row = written(per_row, "row_spans")
     marked = marked_likely(keyed, per_row, ["key1", "key2"], "_likely")
-    touched = marked.filter("_likely").drop("_likely").join(per_row, ["key1", "key2"], "left")
+    touched = marked.filter("_likely").drop("_likely").join(per_row.hint("merge"), ["key1", "key2"], "left")
     others = marked.filter("NOT _likely").drop("_likely").withColumn("spans", F.lit(None).cast("array<array<bigint>>"))
 
     def cut(batch):
