@@ -5,11 +5,15 @@ from pyspark.sql import DataFrame, functions as F
 from snipquarry import schemas, settings
 from snipquarry.functions import keys
 from snipquarry.operators.chunking import chunk_files
-from snipquarry.operators.files import discover
+from snipquarry.operators.files import discover, with_relative_path
+from snipquarry.operators.inference import embed
 from snipquarry.operators.repositories import register, with_status
+from snipquarry.operators.vectors import embedding_records, split_valid, validate
+from snipquarry.plans.keys import marked_likely
 from snipquarry.plans.scratch import written
-from snipquarry.plans.skew import salted_join
-from snipquarry.sources.tables import append, new_rows, read_table, table_exists
+from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.sources import tree
+from snipquarry.sources.tables import read_table, replace_groups, table_exists
 
 
 def snippet_id():
@@ -83,16 +87,33 @@ def file_results(chunks: DataFrame) -> DataFrame:
     )
 
 
+def first_per_path(files: DataFrame) -> DataFrame:
+    """Files with one row for each path of a repository: of several, the one of the least content.
+
+    Only paths that come more than once are shuffled.
+    """
+    counts = files.groupBy("repo_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    twice = written(counts.filter("n > 1").select("repo_id", "file_path"), "repeated_paths")
+    marked = marked_likely(files, twice, ["repo_id", "file_path"], "_twice")
+    some = first_per_key(marked.filter("_twice").drop("_twice"), ["repo_id", "file_path"], ["content"])
+    return marked.filter("NOT _twice").drop("_twice").unionByName(some)
+
+
 def index_repositories(
     requests: DataFrame, files: DataFrame, table: str, repo_errors: DataFrame | None = None,
     size=settings.CHUNK_LINES, overlap=settings.OVERLAP_LINES, prune_dirs=True, as_of=None,
+    vectors: str | None = None, provider=None, dim=settings.EMBEDDING_DIM,
 ) -> dict:
-    """Index the files of all requested repositories into the snippet table at `table`.
+    """Index the files of all requested repositories into the snippet table at `table`, and with a
+    `provider` their embeddings into the table at `vectors`.
 
     `requests` has (url, project), `files` has (url, file_path, content); files of addresses
-    that were not requested, or are not valid, are left out.  Files are cut once and written;
-    snippets that the table has already are not added again.  Returns the `repositories` and
-    `jobs` tables and the number of `added` snippets.
+    that were not requested, or are not valid, are left out.  What the tables have of a repository
+    is replaced, so changed, shortened and removed files leave nothing behind; a repository with an
+    error keeps what it had.  Embeddings that break a limit are not stored.
+
+    Returns the `repositories` and `jobs` tables, the number of `added` snippets (new, or with
+    another text than before) and of `rejected` embeddings.
     """
     spark = files.sparkSession
     repos = written(register(requests, as_of), "repositories")
@@ -100,13 +121,42 @@ def index_repositories(
     found = files.withColumn("repo_id", keys.stable_id(F.col("url"))).drop("url")
     known = repos.select(F.col("id").alias("repo_id"))
     wanted = salted_join(found, known, ["repo_id"], ["file_path"], "left_semi")
-    chunks = written(index_chunks(wanted, size, overlap, prune_dirs), "chunks")
-    rows = snippets(chunks, as_of)
+    chunks = written(index_chunks(first_per_path(wanted), size, overlap, prune_dirs), "chunks")
+    done = known if repo_errors is None else known.join(repo_errors.select("repo_id").distinct(), "repo_id", "left_anti")
+    done = written(done, "indexed")
+    rows = written(snippets(chunks, as_of).join(done, "repo_id", "left_semi").select(*schemas.CODE_SNIPPETS.names), "snippets")
+    new = rows
     if table_exists(spark, table):
-        rows = new_rows(rows, read_table(spark, table, schemas.CODE_SNIPPETS), ["id"])
-    added = append(rows, table, ["language"])
+        stored = read_table(spark, table).join(done, "repo_id", "left_semi")
+        key = ["id", F.md5("content").alias("_md5")]
+        new = rows.select(*key).join(stored.select(*key), ["id", "_md5"], "left_anti")
+    added = new.count()
+    replace_groups(rows, done, table, "repo_id")
+    rejected = 0
+    if provider is not None:
+        records = embedding_records(embed(rows, provider, "content"))
+        checked = written(validate(records, dim), "embeddings")
+        accepted, broken = split_valid(checked)
+        replace_groups(schemas.conform(accepted, schemas.SNIPPET_VECTORS), done, vectors, "repo_id")
+        rejected = broken.count()
     jobs = written(index_jobs(file_results(chunks), repos, repo_errors), "jobs")
-    return {"repositories": with_status(repos, jobs), "jobs": jobs, "added": added}
+    return {"repositories": with_status(repos, jobs), "jobs": jobs, "added": added, "rejected": rejected}
+
+
+def index_checkouts(checkouts: DataFrame, requests: DataFrame, table: str, partitions: int, prune_dirs=True, **options) -> dict:
+    """From checkouts (url, root) to the tables, see `index_repositories`.
+
+    A checkout that cannot be listed fails its own job and keeps what the tables have of it; a
+    file that cannot be read is counted, and the others go on.
+    """
+    placed = checkouts.select(keys.stable_id(F.col("url")).alias("repo_id"), "root", "url")
+    listed, errors = tree.list_checkouts(placed.select("repo_id", "root"), partitions, prune_dirs=prune_dirs)
+    wanted = discover(with_relative_path(listed), prune_dirs)
+    read = tree.read_contents(wanted, partitions).withColumn("content", tree.decode(F.col("content")))
+    urls = placed.select("repo_id", "url")
+    return index_repositories(
+        requests, read.join(urls, "repo_id").drop("repo_id"), table, errors, prune_dirs=prune_dirs, **options
+    )
 
 
 def job_responses(jobs: DataFrame) -> DataFrame:

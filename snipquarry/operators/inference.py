@@ -108,35 +108,13 @@ def embed(rows: DataFrame, provider: Provider, text_col="text", instruction: Col
     return spread(rows).withColumn("embedding", provider(value))
 
 
-# What the offline generator answers, by the first word it finds in the prompt.
-CANNED = {
-    "security": """# Fixed code with security improvement
-def secure_query(sql, params):
-    cursor.execute(sql, params)  # Use parameterized queries
-    return cursor.fetchall()""",
-    "performance": """# Optimized code
-def efficient_fetch(query):
-    results = cache.get(query)  # Check cache first
-    if not results:
-        results = db.execute(query)
-        cache.set(query, results, ttl=3600)
-    return results""",
-}
-CANNED_OTHERWISE = """# Improved code
-def refactored_function():
-    # More readable and maintainable implementation
-    return process_data()"""
-
-
-def canned_provider(prompt: Column) -> Column:
-    """Stand-in generator without a model: one of three fixed answers."""
-    answer = F.lit(CANNED_OTHERWISE)
-    for word, reply in reversed(CANNED.items()):
-        answer = F.when(F.lower(prompt).contains(word), reply).otherwise(answer)
-    return answer
-
-
-def generate(rows: DataFrame, provider: Provider = canned_provider, prompt_col="prompt") -> DataFrame:
+def fenced_provider(prompt: Column) -> Column:
+    """Stand-in generator without a model: the code that the prompt holds between fences, or all of it."""
+    inside = F.regexp_extract(prompt, r"(?s)```\n(.*)\n```", 1)
+    return F.when(inside != "", inside).otherwise(prompt)
+
+
+def generate(rows: DataFrame, provider: Provider = fenced_provider, prompt_col="prompt") -> DataFrame:
     """Add `generated_text`, without white space around it, and its `tokens_used`."""
     answered = rows.withColumn("generated_text", text.strip(provider(F.col(prompt_col))))
     return answered.withColumn("tokens_used", text.token_count(F.col("generated_text")))
@@ -144,7 +122,7 @@ def generate(rows: DataFrame, provider: Provider = canned_provider, prompt_col="
 
 def batch_infer(
     requests: DataFrame, task: str, embedder: Provider | None = None,
-    generator: Provider = canned_provider, group=("request_id",), order=("position",), slot=None,
+    generator: Provider = fenced_provider, group=("request_id",), order=("position",), slot=None,
 ) -> DataFrame:
     """Results of batch requests: one row per text with its zero-based `id` in the request.
 
@@ -191,7 +169,7 @@ def unknown_snippets(requests: DataFrame, snippets: DataFrame) -> DataFrame:
 
 
 def suggest(
-    requests: DataFrame, snippets: DataFrame, provider: Provider = canned_provider,
+    requests: DataFrame, snippets: DataFrame, provider: Provider = fenced_provider,
     confidence=settings.CONFIDENCE, as_of=None,
 ) -> DataFrame:
     """Suggestion records for valid requests about known snippets; a repeated request has one record."""

@@ -1,13 +1,13 @@
 """Answer search requests the way a cached search service does."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import keys
-from snipquarry.operators import cache as store
+from snipquarry.operators import cache as store, inference
 from snipquarry.operators.search import RESULT_FIELDS, responses, scoped_topk, with_snippets
 from snipquarry.plans.scratch import written
-from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.plans.skew import salted_join
 
 
 def results_type(snippets: DataFrame) -> T.ArrayType:
@@ -25,9 +25,10 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame]:
     """(responses, new cache entries) for requests (query_id, query, k, repo_id, requested_at).
 
-    A live cache entry answers a request.  Of the others, the first of each key is searched
-    and the rest get its answer, as if it had come from the cache.  Without `include_k` the
-    key leaves out `k`, and so the first request of a key decides how many results all get.
+    A live cache entry answers a request.  Of the others, the first of each key is searched, and
+    then the first that comes `ttl` seconds or more after the last searched one; those in between
+    get its answer, as if it had come from the cache.  Without `include_k` the key leaves out `k`,
+    and so a searched request decides how many results those after it get.
     """
     key = keys.search_key(F.col("query"), F.col("repo_id"), F.col("k") if include_k else None)
     answer = T.StructType().add("results", results_type(snippets)).add("count", T.LongType())
@@ -36,7 +37,9 @@ def retrieve(
     looked_up = written(looked_up.select(*asked.columns, "value"), "lookups")
 
     missed = looked_up.filter("value IS NULL").drop("value")
-    first = first_per_key(missed, ["key"], ["requested_at", "query_id"])
+    replayed = store.ttl_replay(missed, ttl, ts="requested_at", id="query_id").withColumnRenamed("id", "query_id")
+    marked = written(missed.join(replayed, "query_id"), "misses")
+    first = marked.filter("NOT hit").drop("hit")
     queries = first.withColumn("embedding", provider(F.col("query")))
     vectors = vectors if "repo_id" in vectors.columns else vectors.withColumn("repo_id", F.lit(None).cast("string"))
     found = with_snippets(scoped_topk(queries, vectors, **options), snippets)
@@ -48,8 +51,54 @@ def retrieve(
     hits = looked_up.filter("value IS NOT NULL").select(
         "query_id", "query", store.from_value(F.col("value"), answer).alias("_a"), F.lit(True).alias("cached")
     ).select("query_id", "query", "_a.results", "_a.count", "cached")
-    by_key = searched.select("key", "results", F.col("count").cast("long"), F.col("query_id").alias("_first"))
-    fresh = salted_join(missed, by_key, ["key"], ["query_id"]).select(
-        "query_id", "query", "results", "count", (F.col("query_id") != F.col("_first")).alias("cached")
+    # Which search answers a request: the last of its key until then.  Searches of a key are at least
+    # `ttl` apart, so the window of a key passes on one number a row.
+    until = Window.partitionBy("key").orderBy("requested_at", "query_id")
+    answered_by = F.last(F.when(~F.col("hit"), F.col("query_id")), ignorenulls=True).over(until)
+    asked_of = marked.select("query_id", "query", "hit", answered_by.alias("_first"))
+    by_first = searched.select(F.col("query_id").alias("_first"), "results", F.col("count").cast("long"))
+    fresh = salted_join(written(asked_of, "answered_by"), by_first, ["_first"], ["query_id"]).select(
+        "query_id", "query", "results", "count", F.col("hit").alias("cached")
     )
     return hits.unionByName(fresh), entries
+
+
+def suggest(
+    requests: DataFrame, snippets: DataFrame, cache: DataFrame, provider: inference.Provider = inference.fenced_provider,
+    ttl=settings.SUGGESTION_TTL_SECONDS, confidence=settings.CONFIDENCE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, new records, new cache entries) for suggestion requests
+    (request_id, snippet_id, issue_type, issue_description, requested_at).
+
+    Requests with an unknown type or snippet get no answer.  A live cache entry answers a
+    request; of the others of a key (snippet and type) the first is generated, and then the first
+    that comes `ttl` seconds or more after the last generated one.
+    """
+    key = keys.suggestion_key(F.col("snippet_id"), F.col("issue_type"))
+    valid, _ = inference.split_issues(requests)
+    ids = snippets.select(F.col("id").alias("snippet_id"))
+    asked = salted_join(written(valid, "valid"), ids, ["snippet_id"], ["request_id"], "left_semi").withColumn("key", key)
+    answer = "suggested_fix string, model_confidence double"
+    looked_up = store.lookup(written(asked, "asked"), cache, ts="requested_at", spread=["request_id"])
+    looked_up = written(looked_up.select(*asked.columns, "value"), "lookups")
+    value = store.from_value(F.col("value"), answer)
+    hits = looked_up.filter("value IS NOT NULL").select("request_id", value["suggested_fix"].alias("suggested_fix"), F.lit(True).alias("cached"))
+
+    missed = looked_up.filter("value IS NULL").drop("value")
+    replayed = store.ttl_replay(missed, ttl, ts="requested_at", id="request_id").withColumnRenamed("id", "request_id")
+    marked = written(missed.join(replayed, "request_id"), "misses")
+    prompts = inference.fix_prompts(marked.filter("NOT hit"), snippets)
+    generated = written(inference.generate(prompts, provider), "generated")
+    records = generated.select(
+        keys.stable_id(F.col("snippet_id"), F.col("issue_type"), F.col("issue_description")).alias("id"),
+        "snippet_id", "issue_type", "issue_description", F.col("generated_text").alias("suggested_fix"),
+        F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("created_at"),
+    )
+    new = generated.select("key", F.col("generated_text").alias("suggested_fix"), F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("written_at"))
+    entries = store.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
+    until = Window.partitionBy("key").orderBy("requested_at", "request_id")
+    by = F.last(F.when(~F.col("hit"), F.col("request_id")), ignorenulls=True).over(until)
+    asked_of = written(marked.select("request_id", "hit", by.alias("_first")), "answered_by")
+    by_first = generated.select(F.col("request_id").alias("_first"), F.col("generated_text").alias("suggested_fix"))
+    fresh = salted_join(asked_of, by_first, ["_first"], ["request_id"]).select("request_id", "suggested_fix", F.col("hit").alias("cached"))
+    return hits.unionByName(fresh), records, entries

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from snipquarry import settings
 from snipquarry.plans.scratch import written
 
-_ENTRY = "repo_id string, root string, path string, size long, is_dir boolean"
+_ENTRY = "repo_id string, root string, path string, size long, is_dir boolean, error string"
 
 
 def _open(uri):
@@ -29,10 +29,9 @@ def _children(uri):
     filesystem, path = _open(uri)
     local = isinstance(filesystem, fs.LocalFileSystem)
     scheme = uri[: len(uri) - len(path)]
-    for info in filesystem.get_file_info(fs.FileSelector(path)):
-        is_dir = info.type == fs.FileType.Directory
-        if not (is_dir and local and os.path.islink(info.path)):
-            yield scheme + info.path, info.size or 0, is_dir
+    infos = filesystem.get_file_info(fs.FileSelector(path))
+    kinds = ((i, i.type == fs.FileType.Directory) for i in infos)
+    return ((scheme + i.path, i.size or 0, d) for i, d in kinds if not (d and local and os.path.islink(i.path)))
 
 
 def _walk(repo_id, root, start, levels, prune_dirs):
@@ -41,11 +40,16 @@ def _walk(repo_id, root, start, levels, prune_dirs):
     while frontier:
         folder, depth = frontier.pop()
         if levels is not None and depth == levels:
-            yield repo_id, root, folder, 0, True
+            yield repo_id, root, folder, 0, True, None
             continue
-        for path, size, is_dir in _children(folder):
+        try:
+            children = _children(folder)
+        except OSError as problem:
+            yield repo_id, root, folder, 0, False, str(problem)
+            continue
+        for path, size, is_dir in children:
             if not is_dir:
-                yield repo_id, root, path, size, False
+                yield repo_id, root, path, size, False, None
             else:
                 name = path.rsplit("/", 1)[-1]
                 hidden = name.startswith(".") or name in settings.IGNORED_DIRS
@@ -54,8 +58,8 @@ def _walk(repo_id, root, start, levels, prune_dirs):
 
 
 def _lister(levels, prune_dirs, step=10_000):
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
-    names = ["repo_id", "root", "path", "size", "is_dir"]
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+    names = ["repo_id", "root", "path", "size", "is_dir", "error"]
 
     def run(batches):
         for batch in batches:
@@ -68,8 +72,11 @@ def _lister(levels, prune_dirs, step=10_000):
     return run
 
 
-def list_files(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs=True) -> DataFrame:
-    """All files below each checkout: (repo_id, root, path, size).
+def list_checkouts(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs=True) -> tuple[DataFrame, DataFrame]:
+    """All files below each checkout: (repo_id, root, path, size), and errors (repo_id, error_message).
+
+    A checkout whose root or any folder cannot be listed has an error; the others go on, and so do
+    the files of it that were found.
 
     `checkouts` has (repo_id, root).  The first `split_levels` levels are listed one checkout
     per row; every folder found there becomes a row of its own, spread over `partitions`
@@ -83,8 +90,14 @@ def list_files(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs
     top = written(top, "listing")
     folders = top.filter("is_dir").select("repo_id", "root", "path").repartition(partitions, "path")
     deep = folders.mapInArrow(_lister(None, prune_dirs), _ENTRY)
-    files = top.filter("NOT is_dir").unionByName(deep)
-    return files.select("repo_id", "root", "path", "size")
+    found = written(top.filter("NOT is_dir").unionByName(deep), "files")
+    errors = found.filter("error IS NOT NULL").groupBy("repo_id").agg(F.min("error").alias("error_message"))
+    return found.filter("error IS NULL").select("repo_id", "root", "path", "size"), errors
+
+
+def list_files(checkouts: DataFrame, partitions: int, split_levels=2, prune_dirs=True) -> DataFrame:
+    """The files alone, see `list_checkouts`."""
+    return list_checkouts(checkouts, partitions, split_levels, prune_dirs)[0]
 
 
 def read_contents(files: DataFrame, partitions: int, batch_bytes=8 * 1024 * 1024) -> DataFrame:

@@ -3,10 +3,14 @@
 from pyspark.sql import DataFrame, functions as F
 
 
-def audit_daily(log: DataFrame, ts="ts", action="action", late="1 day") -> DataFrame:
-    """Number of log entries per day and action.  On a stream, entries later than `late` are dropped."""
+def audit_daily(log: DataFrame, ts="ts", action="action", late=None) -> DataFrame:
+    """Number of log entries per day and action; every entry counts, however late it comes.
+
+    A stream keeps one count a day and action, for update or complete output.  Append output needs
+    a bound `late`, after which a day is closed: later entries are then dropped.
+    """
     timed = log.withColumn(ts, F.col(ts).cast("timestamp"))
-    if log.isStreaming:
+    if log.isStreaming and late:
         timed = timed.withWatermark(ts, late)
     counted = timed.groupBy(F.window(ts, "1 day"), F.col(action)).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("day"), F.col(action), "n")

@@ -85,15 +85,14 @@ def batch_infer_embeddings(spark, sf):
     return done.select("conv_id", "id", _as_text("embedding").alias("embedding"))
 
 
-def canned_sql(prompt):
-    whens = " ".join(
-        f"WHEN contains(lower({prompt}), '{word}') THEN {sql_text(reply)}" for word, reply in inference.CANNED.items()
-    )
-    return f"CASE {whens} ELSE {sql_text(inference.CANNED_OTHERWISE)} END"
+def fenced_sql(prompt):
+    inside = f"regexp_extract({prompt}, '(?s)```\\n(.*)\\n```', 1)"
+    answer = f"CASE WHEN {inside} <> '' THEN {inside} ELSE {prompt} END"
+    return f"regexp_replace({answer}, '^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$', '', 'g')"
 
 
 @query("batch_infer_completions", f"""
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS id, {canned_sql('text')} AS text
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS id, {fenced_sql('text')} AS text
 FROM conversations""")
 def batch_infer_completions(spark, sf):
     asked = views(spark, sf).conversations
@@ -145,7 +144,7 @@ def unknown_snippets(spark, sf):
 
 
 @query("generate_mock", f"""
-WITH {PROMPTS}, g AS (SELECT snippet_id, issue_type, {canned_sql('prompt')} AS generated_text FROM prompts)
+WITH {PROMPTS}, g AS (SELECT snippet_id, issue_type, {fenced_sql('prompt')} AS generated_text FROM prompts)
 SELECT *, len({TOKENS.format('generated_text')}) AS tokens_used FROM g""")
 def generate_mock(spark, sf):
     v = views(spark, sf)
@@ -155,7 +154,7 @@ def generate_mock(spark, sf):
 
 SUGGESTIONS = f"""{PROMPTS}, suggestions AS (
   SELECT md5('=' || snippet_id || chr(1) || '=' || issue_type || chr(1) || '=' || issue_description) AS id,
-         snippet_id, issue_type, issue_description, {canned_sql('prompt')} AS suggested_fix,
+         snippet_id, issue_type, issue_description, {fenced_sql('prompt')} AS suggested_fix,
          0.8::DOUBLE AS model_confidence
   FROM prompts WHERE lower(issue_type) IN ('security', 'lint', 'performance', 'style', 'refactor'))"""
 

@@ -145,9 +145,56 @@ def ivf_recall(spark, sf):
     return found.select("n_hits", F.round("recall", 6).alias("recall"))
 
 
+@query("ivf_trained_exact", f"WITH {PAIRS}\n{HITS}")
+def ivf_trained_exact(spark, sf):
+    """Exact search over trained cells has the same hits whatever the cells are."""
+    v = views(spark, sf)
+    centroids = written(search.train_centroids(v.vectors, cells=16), "centroids")
+    assigned = written(search.assign_cells(v.vectors, centroids), "cells")
+    return _plain_hits(search.cell_exact_topk(v.search_queries, assigned, centroids))
+
+
+@query("ivf_scoped", f"""
+WITH {SNIPPET_VECTORS}, {CELLS.replace("FROM near p JOIN embeddings a ON a.vec_id = p.vec_id", "FROM near p JOIN embeddings a ON a.vec_id = p.vec_id JOIN snippet_vectors sa ON sa.id = p.vec_id").replace("WHERE p.place <= 3", "JOIN snippet_vectors sb ON sb.id = b.vec_id WHERE p.place <= 3 AND (p.vec_id % 3 <> 2 OR sa.repo_id = sb.repo_id)")}
+{HITS.replace('FROM hits', 'FROM approx')}""")
+def ivf_scoped(spark, sf):
+    """Every third query only sees its own repository's part of its cells."""
+    v = views(spark, sf)
+    centroids, assigned = label_cells(v)
+    repos = v.snippet_vectors.select("id", "repo_id")
+    scope = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, "").otherwise(F.col("repo_id"))
+    queries = v.snippet_vectors.select(F.col("id").alias("query_id"), "embedding", scope.alias("repo_id"))
+    return _plain_hits(search.ivf_topk(queries, assigned.join(repos, "id"), centroids, nprobe=3))
+
+
+def with_gaps(v):
+    """Vectors, every seventh of them missing."""
+    return v.vectors.withColumn("embedding", F.when(F.col("id") % 7 != 0, F.col("embedding")))
+
+
+@query("ivf_topk_missing", f"""
+WITH {CELLS.replace("WHERE p.place <= 3", "WHERE p.place <= 3 AND p.vec_id % 7 <> 0 AND b.vec_id % 7 <> 0")}
+{HITS.replace('FROM hits', 'FROM approx')}""")
+def ivf_topk_missing(spark, sf):
+    v = views(spark, sf)
+    centroids = written(v.label_centroids, "centroids")
+    assigned = written(search.assign_cells(with_gaps(v), centroids), "cells")
+    queries = with_gaps(v).withColumnRenamed("id", "query_id")
+    return _plain_hits(search.ivf_topk(queries, assigned, centroids, nprobe=3))
+
+
+@query("assign_missing", f"""
+WITH {CELLS}
+SELECT vec_id AS id, CASE WHEN vec_id % 7 <> 0 THEN cell END::BIGINT AS cell FROM near WHERE place = 1""")
+def assign_missing(spark, sf):
+    v = views(spark, sf)
+    assigned = search.assign_cells(with_gaps(v), written(v.label_centroids, "centroids"))
+    return assigned.select("id", F.col("cell").cast("long"))
+
+
 @query("ivf_trained_recall")
 def ivf_trained_recall(spark, sf):
-    """Recall with trained cells.  Training has no SQL form."""
+    """Recall with trained cells.  Training has no SQL form; `ivf_trained_exact` has."""
     v = views(spark, sf)
     centroids = search.train_centroids(v.vectors, cells=16)
     assigned = written(search.assign_cells(v.vectors, centroids), "cells")
