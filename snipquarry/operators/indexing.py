@@ -137,7 +137,7 @@ def index_repositories(
         records = embedding_records(embed(rows, provider, "content"))
         checked = written(validate(records, dim), "embeddings")
         accepted, broken = split_valid(checked)
-        replace_groups(schemas.conform(accepted, schemas.SNIPPET_VECTORS), done, vectors, "repo_id")
+        replace_groups(accepted.select(*schemas.SNIPPET_VECTORS.names), done, vectors, "repo_id")
         rejected = broken.count()
     jobs = written(index_jobs(file_results(chunks), repos, repo_errors), "jobs")
     return {"repositories": with_status(repos, jobs), "jobs": jobs, "added": added, "rejected": rejected}

@@ -73,6 +73,19 @@ def test_reading_and_indexing(spark, tmp_path):
     assert (job.status, job.total_files, job.processed_files, job.total_snippets) == ("completed", 6, 5, 5)
 
 
+def test_one_bad_checkout_fails_alone(spark, tmp_path):
+    good, bad = tmp_path / "good", tmp_path / "missing"
+    good.mkdir()
+    _checkout(spark, good)
+    urls = ["https://h/good.git", "https://h/bad.git"]
+    checkouts = spark.createDataFrame([(urls[0], str(good)), (urls[1], str(bad))], "url string, root string")
+    requests = spark.createDataFrame([(u, "p") for u in urls], "url string, project string")
+    done = indexing.index_checkouts(checkouts, requests, str(tmp_path / "table"), 2)
+    jobs = {r.status: r for r in done["jobs"].collect()}
+    assert jobs["completed"].processed_files == len(KEPT) and jobs["failed"].error_message
+    assert {r.file_path for r in spark.read.parquet(str(tmp_path / "table")).collect()} == KEPT
+
+
 def test_suffix_and_names(spark):
     names = ["a.py", "a.tar.GZ", ".py", "a.", "x/y.d/z", "..py", "a..py"]
     df = spark.createDataFrame([(n,) for n in names], "p string")

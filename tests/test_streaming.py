@@ -61,3 +61,16 @@ def test_audit_on_a_stream(spark, tmp_path):
     stream.writeStream.format("memory").queryName("audit").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     got = {tuple(r) for r in spark.table("audit").collect()}
     assert got == {tuple(r) for r in audit.audit_daily(log).collect()} and len(got) == 10
+
+
+def test_late_entries_count(spark, tmp_path):
+    def part(hours):
+        return spark.createDataFrame([(h,) for h in hours], "h long").select(F.timestamp_seconds(F.col("h") * 3600).alias("ts"), F.lit("x").alias("action")).coalesce(1)
+
+    part([0, 1, 300]).write.parquet(str(tmp_path / "in"))
+    part([2, 301]).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.read.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    audit.audit_daily(source).writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    last = spark.table("late").groupBy("day", "action").agg(F.max("n").alias("n"))
+    assert {tuple(r) for r in last.collect()} == {tuple(r) for r in audit.audit_daily(log).collect()}

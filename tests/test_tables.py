@@ -52,6 +52,49 @@ def test_indexing_again_adds_nothing(spark, tmp_path):
     assert gone["repositories"].first().status == "failed" and gone["jobs"].first().error_message == "clone failed"
 
 
+def test_reindexing_replaces(spark, tmp_path):
+    """Changed, shortened and removed files; a repeated path; a repository that failed; one without files."""
+    schema = "url string, file_path string, content string"
+    urls = ["https://h/a.git", "https://h/b.git", "https://h/c.git"]
+    requests = spark.createDataFrame([(u, "p") for u in urls], "url string, project string")
+    table, vectors = str(tmp_path / "s"), str(tmp_path / "v")
+    options = {"vectors": vectors, "provider": inference.hash_provider(dim=4), "dim": 4}
+
+    def run(rows, errors=None):
+        return indexing.index_repositories(requests, spark.createDataFrame(rows, schema), table, errors, size=2, overlap=0, **options)
+
+    def state():
+        stored = tables.read_table(spark, table, schemas.CODE_SNIPPETS).collect()
+        known = {r.id for r in tables.read_table(spark, vectors, schemas.SNIPPET_VECTORS).collect()}
+        assert known == {r.id for r in stored} and len(known) == len(stored)
+        return sorted(r.content for r in stored)
+
+    first = [(urls[0], "x.go", "a\nb\nc"), (urls[0], "y.go", "y"), (urls[1], "z.go", "z"), (urls[2], "w.go", "w")]
+    assert run([*first, first[1]])["added"] == 5
+    assert state() == ["a\nb", "c", "w", "y", "z"]
+    b = spark.createDataFrame([(u,) for u in urls], "url string").select(indexing.keys.stable_id(F.col("url")).alias("id"), "url")
+    failed = b.filter(F.col("url") == urls[1]).select(F.col("id").alias("repo_id"), F.lit("gone").alias("error_message"))
+    assert run([(urls[0], "x.go", "A\nB"), (urls[1], "z.go", "other")], failed)["added"] == 1
+    assert state() == ["A\nB", "z"]
+
+
+def test_answers_end_with_their_time_to_live(spark):
+    snippets = spark.createDataFrame([("s1", "one"), ("s2", "two")], "id string, content string")
+    rows = [(1, "s1", "lint", "d1", 0), (2, "s1", "lint", "d2", 100), (3, "s1", "lint", "d3", 90_000), (4, "s2", "lint", "d", 5),
+            (5, "none", "lint", "d", 5), (6, "s1", "odd", "d", 5), (7, "s1", "lint", "d4", 170_000)]
+    asked = spark.createDataFrame(rows, "request_id int, snippet_id string, issue_type string, issue_description string, t long")
+    asked = asked.withColumn("requested_at", F.timestamp_seconds("t")).drop("t")
+    nothing = spark.createDataFrame([], schemas.CACHE)
+    answers, records, entries = service.suggest(asked, snippets, nothing)
+    got = {r.request_id: (r.suggested_fix, r.cached) for r in answers.collect()}
+    assert got == {1: ("one", False), 2: ("one", True), 3: ("one", False), 4: ("two", False), 7: ("one", True)}
+    assert records.count() == 3
+    spans = {(r.expires_at - r.written_at).total_seconds() for r in entries.collect()}
+    assert spans == {86_400}
+    again, more, _ = service.suggest(asked.filter("request_id = 7"), snippets, cache.current(entries))
+    assert [(r.suggested_fix, r.cached) for r in again.collect()] == [("one", True)] and more.count() == 0
+
+
 def test_empty_page(spark):
     rows = spark.createDataFrame([], "id string, created_at timestamp")
     assert repositories.page(rows).collect() == []
@@ -79,6 +122,9 @@ def test_cached_retrieval(spark):
     again, new = service.retrieve(later, stored, vectors, snippets, provider)
     assert new.count() == 0 and all(r.cached for r in again.collect())
     assert {r.query_id: [x.id for x in r.results] for r in again.collect()} == {i: g[0] for i, g in got.items()}
+    apart = asked.filter("query_id <= 2").withColumn("requested_at", F.col("requested_at") + F.when(F.col("query_id") == 2, F.expr("INTERVAL 8 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS")))
+    days, _ = service.retrieve(apart, nothing, vectors, snippets, provider)
+    assert {r.query_id: (r["count"], r.cached) for r in days.collect()} == {1: (2, False), 2: (5, False)}
     expired = asked.withColumn("requested_at", F.col("requested_at") + F.expr("INTERVAL 2 HOURS"))
     assert service.retrieve(expired, stored, vectors, snippets, provider)[1].count() == 3
     apart, _ = service.retrieve(asked, nothing, vectors, snippets, provider, include_k=True)
