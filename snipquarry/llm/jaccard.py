@@ -13,7 +13,7 @@ from snipquarry.plans.scratch import written
 WORDS = 5
 PERCENT = 80
 # Documents that one task compares with each other, and rounds of doing so by other keys.
-TOGETHER = 256
+TOGETHER = 128
 ROUNDS = 3
 # Shingles that are found more than so often by one task count as frequent; the most frequent ones
 # stand last in the order of shingles.  This decides the work, never the result.
@@ -21,7 +21,7 @@ OFTEN = 4
 MOST_FREQUENT = 300_000
 # Members of a chunk of a group, and of a block of queries, that one task opens.
 CHUNK = 64
-QUERIES = 256
+QUERIES = 128
 SALTS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
