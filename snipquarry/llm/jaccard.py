@@ -14,7 +14,7 @@ WORDS = 5
 PERCENT = 80
 # Documents that one task compares with each other, and rounds of doing so by other keys.
 TOGETHER = 128
-ROUNDS = 3
+ROUNDS = 2
 # Shingles that are found more than so often by one task count as frequent; the most frequent ones
 # stand last in the order of shingles.  This decides the work, never the result.
 OFTEN = 4
@@ -221,11 +221,12 @@ def _bucket(i: int):
 
 
 def _group_rounds(nodes: DataFrame, sets: DataFrame, percent, together, rounds) -> DataFrame:
-    """Links (a, b) of documents (node, m1 to m3; node, tokens) that share least hashes, round by round.
+    """Groups (node, component) of documents (node, m1 to m3; node, tokens) that share least hashes and link.
 
-    Only leaders go on.  A bucket of any size is cut into parts by a hash.
+    Round by round, and only leaders go on.  A bucket of any size is cut into parts by a hash.
+    `component` is the group's last leader; documents without a link are in no group.
     """
-    links = None
+    links = []
     for i in range(1, rounds + 1):
         keyed = nodes.select("node", _bucket(i))
         sizes = written(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "buckets")
@@ -234,10 +235,36 @@ def _group_rounds(nodes: DataFrame, sets: DataFrame, percent, together, rounds)
         placed = written(placed, "placed")
         near = marked_likely(sets, placed.select("node"), ["node"], "_near").filter("_near").select("node", "tokens")
         found = _bucket_links(near.join(placed.hint("merge"), "node"), percent).filter("node <> leader")
-        found = written(found.select(F.col("node").alias("a"), F.col("leader").alias("b")), "bucket_links")
-        links = found if links is None else links.unionByName(found)
-        nodes = written(nodes.join(found.select(F.col("a").alias("node")), "node", "left_anti"), "leaders")
-    return links
+        links.append(written(found, "bucket_links"))
+        if i < rounds:
+            nodes = nodes.join(links[-1].select("node"), "node", "left_anti")
+    # A document follows once, so from the last round back each leader's own leader is known.
+    groups = links[-1].select("node", F.col("leader").alias("component"))
+    for earlier in links[-2::-1]:
+        leaders = earlier.groupBy("leader").agg(F.count(F.lit(1)).alias("followers"))
+        known = leaders.join(groups.withColumnRenamed("node", "leader"), "leader", "left")
+        known = written(known.select("leader", "followers", F.coalesce("component", "leader").alias("component")), "leaders")
+        groups = groups.unionByName(lookup(earlier, known, ["leader"], "followers").select("node", "component"))
+    groups = written(groups, "followers")
+    return written(groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct()), "groups")
+
+
+def _components(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, component_id, members) for groups (node, component) and links (a, b) between documents of them
+    or alone: the smallest document of what the links join, for every group and every linked document."""
+
+    def root(end):
+        own = groups.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        return own, F.coalesce(f"_{end}", end).alias(end)
+
+    (left, a), (right, b) = root("a"), root("b")
+    joined = written(components(links.join(left, "a", "left").join(right, "b", "left").select(a, b)), "joined")
+    sizes = groups.groupBy(F.col("component").alias("root")).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("members"))
+    each = written(sizes.join(joined.withColumnRenamed("node", "root"), "root", "full").select(
+        "root", F.coalesce("component", "root").alias("component"), F.coalesce("low", "root").alias("low"), F.coalesce("members", F.lit(1)).alias("members"),
+    ), "roots")
+    lowest = each.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return lookup(each, written(lowest, "lowest"), ["component"], "n").select("root", "component_id", "members")
 
 
 # --- the matrix ------------------------------------------------------------------------
@@ -370,8 +397,7 @@ def similar(
     prefixes = _representatives(tokens.select("doc_id", "s1", "s2", "n", "prefix"), spare)
     held = _representatives(tokens.filter(F.size("tokens") > 0).select("doc_id", "s1", "s2", "tokens"), spare)
 
-    links = _group_rounds(nodes.select("node", "m1", "m2", "m3"), held, percent, together, rounds)
-    groups = written(components(links), "groups")
+    groups = _group_rounds(nodes.select("node", "m1", "m2", "m3"), held, percent, together, rounds)
     pairs = _candidates(prefixes, groups, percent)
 
     # Members of the groups that are asked, cut into chunks; a document that is alone is its group.
@@ -396,10 +422,11 @@ def similar(
     rest = rest.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).filter(F.col("chunk") != first)
     more = written(_opened(rest.select("query", "group", "chunk"), members, sets, percent), "opened_links")
 
-    final = written(components(links.unionByName(found).unionByName(more)), "components")
-    # A class is one row here, so this join has no frequent keys.
-    labels = classes.select("s1", "s2", "node", "rows").join(final, "node", "left")
-    labels = written(labels.select("s1", "s2", F.coalesce("component", "node").alias("component_id"), "rows"), "labels")
+    roots = written(_components(groups, found.unionByName(more)), "components")
+    # A class is one row here; a group of very many classes is looked up apart.
+    rooted = classes.select("s1", "s2", "node", "rows").join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    labels = lookup(rooted.select("s1", "s2", "rows", "root"), roots, ["root"], "members")
+    labels = written(labels.select("s1", "s2", F.coalesce("component_id", "root").alias("component_id"), "rows"), "labels")
     every = lookup(sized.select("doc_id", "n", "s1", "s2"), labels, ["s1", "s2"], "rows")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
