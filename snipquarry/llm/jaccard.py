@@ -14,7 +14,7 @@ WORDS = 5
 PERCENT = 80
 # Documents that one task compares with each other, and rounds of doing so by other keys.
 TOGETHER = 128
-ROUNDS = 2
+ROUNDS = 3
 # Shingles that are found more than so often by one task count as frequent; the most frequent ones
 # stand last in the order of shingles.  This decides the work, never the result.
 OFTEN = 4
@@ -216,8 +216,8 @@ def _bucket_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _bucket(i: int):
-    """Key of a round: two of the three least hashes, which texts seldom share by one common passage."""
-    return F.xxhash64(f"m{i}", f"m{i % 3 + 1}").alias("bucket")
+    """Key of a round: one of the least hashes."""
+    return F.col(f"m{i}").alias("bucket")
 
 
 def _group_rounds(nodes: DataFrame, sets: DataFrame, percent, together, rounds) -> DataFrame:
