@@ -305,12 +305,14 @@ def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFra
     )
     # How many of the tokens at the front must be common.  Of two linked sets, all tokens of one's
     # front that the other has stand in the other's front, so the overlap is at most what the fronts
-    # share and what stands behind the one's front.  Least where the sizes differ most.
+    # share and what stands behind the one's front.  Up to the query's own size this grows with the
+    # member's size m, rounding included, and is least at `low`.  Beyond, rounding makes it go up and
+    # down, but a difference of ceilings is never less than the floor of the plain difference, which
+    # falls with m and is least at `high`.
     n, low, high = F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100)), F.least("most", F.floor(F.col("n") * 100 / percent))
-    need = F.least(*[
-        F.ceil((n + m) * percent / (100 + percent)) - F.greatest(F.ceil(n * percent / 100), F.ceil(m * percent / 100)) + 1
-        for m in (low, high)
-    ])
+    smaller_need = F.ceil((n + low) * percent / (100 + percent)) - F.ceil(n * percent / 100) + 1
+    larger_need = F.floor((n * 100 - high * percent) * percent / (100 * (100 + percent))) + 1
+    need = F.least(F.when(low <= n, smaller_need), F.when(high > n, larger_need))
     return written(pairs.filter(F.col("common") >= need).select("query", "group"), "candidates")
 
 

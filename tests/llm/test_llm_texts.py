@@ -104,6 +104,42 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.similar(table(spark, rows).limit(0)).count() == 0
 
 
+def test_candidates_between_the_sizes_of_a_group(spark):
+    # The bound of 105 and of 107 tokens is 6 common ones, that of 106 is 5.
+    early, shared, late = (np.arange(a, b, dtype=np.uint64) for a, b in ((1, 12), (100, 195), (900, 905)))
+    sets = {1: [shared, late], 2: [early, shared], 3: [early, shared[:-1]], 4: [early, shared, early[:1] + np.uint64(50)]}
+    sets = {node: np.sort(np.concatenate(parts)) for node, parts in sets.items()}
+    common = len(np.intersect1d(sets[1], sets[2]))
+    assert 100 * common >= 85 * (len(sets[1]) + len(sets[2]) - common)
+    nothing = np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = [(node, len(s), jaccard._prefix(s, 85, *nothing).tolist()) for node, s in sets.items()]
+    prefixes = spark.createDataFrame(rows, "node bigint, n bigint, prefix array<bigint>")
+    groups = spark.createDataFrame([(2, 2), (3, 2), (4, 2)], "node bigint, component bigint")
+    assert [tuple(r) for r in jaccard._candidates(prefixes, groups, 85).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 99])
+def test_candidate_bound_holds_for_every_size(spark, percent):
+    # One token for each query size and range of member sizes: as many copies of a row as are common.
+    def least_common_front(n, m):
+        return -(-(n + m) * percent // (100 + percent)) - max(-(-n * percent // 100), -(-m * percent // 100)) + 1
+
+    rng, rows, groups, want = np.random.default_rng(percent), [], [], set()
+    for case in range(60):
+        n = int(rng.integers(2, 400))
+        low, high = -(-n * percent // 100), n * 100 // percent
+        a, b = sorted(rng.integers(low, high + 1, 2).tolist())
+        need = min(least_common_front(n, m) for m in range(a, b + 1))
+        node = 10 * case
+        tokens = [1000 * case + i for i in range(max(need, 1))]
+        rows += [(node, n, tokens), (node + 1, a, tokens), (node + 2, b, tokens)]
+        groups += [(node + 1, node + 1), (node + 2, node + 1)]
+        want.add((node, node + 1))
+    prefixes = spark.createDataFrame(rows, "node bigint, n bigint, prefix array<bigint>")
+    found = jaccard._candidates(prefixes, spark.createDataFrame(groups, "node bigint, component bigint"), percent)
+    assert want <= {tuple(r) for r in found.collect()}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(200, 260)] + [(9, 9), (300, 299)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
