@@ -2,6 +2,7 @@
 
 import math
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -36,15 +37,15 @@ def _class(c: str) -> int:
     return 0 if c in "0123456789abcdef" else 1 if c.isalnum() else 2
 
 
-def entropy_spans(text: str, window=WINDOW, bits=BITS, allowed=None) -> list[tuple[int, int]]:
-    """Maximal spans covered by windows of high Shannon entropy, in candidates that are not allowed.
+def entropy_windows(text: str, window=WINDOW, bits=BITS, allowed=None) -> list[int]:
+    """Where windows of high Shannon entropy start, in candidates that are not allowed.
 
     Counts of characters and of character classes move with the window, one character in and one
     out, so a candidate of any length takes one pass.  A window must hold both letters and digits;
     its class is the widest that it has: hex, letters and digits, or with signs.
     """
     allowed = allowed or re.compile("|".join(f"(?:{p})" for p in ALLOWED))
-    spans = []
+    starts = []
     for found in CANDIDATE.finditer(text):
         run = found.group()
         if allowed.fullmatch(run):
@@ -67,14 +68,25 @@ def entropy_spans(text: str, window=WINDOW, bits=BITS, allowed=None) -> list[tup
                 continue
             need = bits["base64" if kinds[2] else "alnum" if kinds[1] else "hex"]
             if math.log2(window) - weighted / window >= need:
-                a, b = start + i + 1 - window, start + i + 1
-                if spans and a <= spans[-1][1]:
-                    spans[-1] = (spans[-1][0], b)
-                else:
-                    spans.append((a, b))
+                starts.append(start + i + 1 - window)
+    return starts
+
+
+def _covered(starts: list[int], window: int) -> list[tuple[int, int]]:
+    spans = []
+    for a in starts:
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], a + window)
+        else:
+            spans.append((a, a + window))
     return spans
 
 
+def entropy_spans(text: str, window=WINDOW, bits=BITS, allowed=None) -> list[tuple[int, int]]:
+    """Maximal spans covered by windows of high Shannon entropy, in candidates that are not allowed."""
+    return _covered(entropy_windows(text, window, bits, allowed), window)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the fixed patterns, by start and then by kind."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m.group(2)) >= LEAST_ASSIGN]
@@ -87,9 +99,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(documents: DataFrame, window=WINDOW, bits=BITS, allowed=tuple(ALLOWED)) -> DataFrame:
     """(doc_id, spans: array of (start, end, kind)) for every row of documents (doc_id, text).
 
-    Places are code points, the end is exclusive.  Spans of the fixed patterns all stay; an entropy
-    span that touches one of them is left out, since its secret is known already.  A missing or
-    empty text has no spans; repeated rows each give a row; other columns are not looked at.
+    Places are code points, the end is exclusive.  Spans of the fixed patterns all stay.  Of an
+    entropy span what they cover is known already; each part beside them that has a whole window of
+    high entropy stays as a span, and shorter or plainer rests go.  A missing or empty text has no
+    spans; repeated rows each give a row; other columns are not looked at.
     """
     pattern = "|".join(f"(?:{p})" for p in allowed)
 
@@ -97,9 +110,10 @@ def scan(documents: DataFrame, window=WINDOW, bits=BITS, allowed=tuple(ALLOWED))
         known, made = re.compile(pattern), []
         for text in strings(batch.column("text")):
             spans = base_spans(text)
-            more = entropy_spans(text, window, bits, known)
+            starts = entropy_windows(text, window, bits, known)
+            more = _covered(starts, window)
             if more and spans:
-                more = _apart(more, spans)
+                more = _beside(more, spans, starts, window)
             every = sorted([*spans, *((a, b, 3) for a, b in more)], key=lambda s: (s[0], s[2]))
             made.append([{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in every])
         return {"doc_id": batch.column("doc_id"), "spans": made}
@@ -109,13 +123,21 @@ def scan(documents: DataFrame, window=WINDOW, bits=BITS, allowed=tuple(ALLOWED))
     return per_batch(rows, run, f"doc_id {kind}, spans array<struct<start: bigint, end: bigint, kind: string>>")
 
 
-def _apart(spans, taken):
-    """Spans (by start) that touch none of `taken` (by start)."""
-    kept, i, reach = [], 0, -1
+def _beside(spans, taken, starts, window):
+    """Parts of spans (by start) that none of `taken` (by start) covers, where they hold a window."""
+    kept, i, reach = [], 0, 0
     for a, b in spans:
+        parts, at = [], max(a, min(reach, b))
         while i < len(taken) and taken[i][0] < b:
+            if taken[i][0] > at:
+                parts.append((at, taken[i][0]))
             reach = max(reach, taken[i][1])
+            at = max(at, min(reach, b))
             i += 1
-        if reach <= a:
-            kept.append((a, b))
+        if at < b:
+            parts.append((at, b))
+        for c, d in parts:
+            first = bisect_left(starts, c)
+            if first < len(starts) and starts[first] + window <= d:
+                kept.append((c, d))
     return kept
