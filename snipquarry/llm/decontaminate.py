@@ -82,43 +82,49 @@ def _blocks(benchmark: DataFrame, most_items: int, most_bytes: int) -> list[Data
 def scan(
     documents: DataFrame, benchmark: DataFrame, window=WINDOW, block_items=BLOCK_ITEMS, block_bytes=BLOCK_BYTES
 ) -> DataFrame:
-    """(doc_id, text, n_words, ranges, items) for every row of documents (doc_id, text).
+    """(doc_id, text, n_words, ranges, items, unnamed) for every row of documents (doc_id, text).
 
     `ranges` are maximal runs of hit words as (from, to), `items` the ids of the items of
     benchmark (item_id, text) with an occurring window, as sorted strings.  A window is `window`
     consecutive words, or a shorter item as a whole.  A missing text has no words, an item
-    without words or id occurs nowhere.  Repeated rows each give a row; other columns are not used.
+    without words occurs nowhere.  Words of an item without an id are hit like others; it is not
+    among `items`, and `unnamed` says whether one occurs.  Repeated rows each give a row; other
+    columns are not used.
 
     The hash set of a block of the benchmark is copied to the tasks and every text is scanned once
     for each block, so a benchmark of any size is covered; documents are never shuffled.
     """
     spark = documents.sparkSession
     kind = dict(documents.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text string, n_words bigint, ranges array<array<bigint>>, items array<string>"
+    schema = f"doc_id {kind}, text string, n_words bigint, ranges array<array<bigint>>, items array<string>, unnamed boolean"
     rows = documents.select(
         "doc_id", "text", F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<array<bigint>>").alias("ranges"), F.array().cast("array<string>").alias("items"),
+        F.lit(False).alias("unnamed"),
     )
-    items = benchmark.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     for block in _blocks(items, block_items, block_bytes):
         table = block.toArrow()
-        copied = spark.sparkContext.broadcast((windows(table, window), [str(x) for x in table.column("item_id").to_pylist()]))
+        names = [None if x is None else str(x) for x in table.column("item_id").to_pylist()]
+        copied = spark.sparkContext.broadcast((windows(table, window), names))
 
         def run(batch, copied=copied):
             known, names = copied.value
             hashes = worker_state("word_hashes", WordHashes)
-            counts, ranges, items = [], [], []
-            for text, before, had in zip(
-                utf8(batch.column("text")), batch.column("ranges").to_pylist(), batch.column("items").to_pylist()
+            counts, ranges, items, unnamed = [], [], [], []
+            for text, before, had, some in zip(
+                utf8(batch.column("text")), *(batch.column(c).to_pylist() for c in ("ranges", "items", "unnamed"))
             ):
                 w = words(text)
                 found, rows = hits(w, hashes.of(w), known)
                 counts.append(len(w))
                 ranges.append(_merged([*before, *found]) if found else before)
-                items.append(sorted({*had, *(names[r] for r in rows)}) if rows else had)
+                own = {names[r] for r in rows}
+                items.append(sorted({*had, *own} - {None}) if rows else had)
+                unnamed.append(some or None in own)
             return {
                 "doc_id": batch.column("doc_id"), "text": batch.column("text"),
-                "n_words": counts, "ranges": ranges, "items": items,
+                "n_words": counts, "ranges": ranges, "items": items, "unnamed": unnamed,
             }
 
         rows = per_batch(rows, run, schema)

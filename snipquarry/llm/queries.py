@@ -104,8 +104,10 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)"""
 def op6(spark, sf_dir):
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    # Items without an id count as one.
+    n_items = F.size("items").cast("long") + F.col("unnamed").cast("long")
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "n_words", hit.alias("n_hit"), n_items.alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
 

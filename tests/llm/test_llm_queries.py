@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 from oracle import normal
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entries
 import corpus_pipeline
@@ -27,6 +28,24 @@ def test_same_as_sql(spark, name):
     assert got[1] == want[1] and got[1]
 
 
+def test_benchmark_items_without_an_id(spark, tmp_path):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    # Passages of documents without an id, next to the items of the table.
+    more = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id % 40 = 3").select(
+        F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "text"
+    )
+    items.select("item_id", "text").unionByName(more).coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["op6_decontaminate"](spark, str(tmp_path))
+    assert df.filter("contaminated").count() >= more.filter("length(text) > 100").count() > 0
+    got = normal(df.columns, [tuple(r) for r in df.collect()])
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = db.execute(ORACLES["op6_decontaminate"])
+    assert got == normal([c[0] for c in found.description], found.fetchall())
+
+
 def test_registered():
     names = set(entries.queries())
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names}

@@ -192,6 +192,19 @@ def test_decontamination(spark):
     assert not any(r.ranges for r in clean)
 
 
+def test_items_without_an_id_are_hit(spark):
+    rng = np.random.default_rng(11)
+    one, two = prose(rng, 12), prose(rng, 15)
+    texts = [f"aa {one} bb", f"cc {two} dd", f"{one} {two}", "ee ff"]
+    benchmark = spark.createDataFrame([(None, one), (7, two), (None, "ff")], "item_id bigint, text string")
+    for blocks in (100, 1):
+        found = decontaminate.scan(table(spark, enumerate(texts)), benchmark, block_items=blocks).collect()
+        got = {r.doc_id: ([tuple(x) for x in r.ranges], r.items, r.unnamed) for r in found}
+        assert got == {0: ([(1, 13)], [], True), 1: ([(1, 16)], ["7"], False), 2: ([(0, 27)], ["7"], True), 3: ([(1, 2)], [], True)}
+    kept = {r.doc_id: r.text for r in decontaminate.decontaminate(table(spark, enumerate(texts)), benchmark, most_hit=0.9).collect()}
+    assert kept[0] == "aa  bb" and 2 not in kept
+
+
 # --- secrets
 
 
