@@ -62,9 +62,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that at least five of them hold, but for the last of these."""
-    stored, rows = _numbered(docs)
-    found = line_dedup.dedup_lines(rows)
+    """Documents without the lines that at least five of them hold, but for the one of the largest id
+    (of equals, the last row; rows without an id come first)."""
+    stored, _ = _numbered(docs)
+    rows = stored.select(F.col("_row").alias("doc_id"), F.col("_doc.doc_id").alias("_own"), F.col("_doc.text").alias("text"))
+    found = line_dedup.dedup_lines(rows, order="_own")
     changed = written(found.filter("n_dropped > 0").select("doc_id", "text"), "changed")
     return _with_text(stored, changed, docs.columns)
 

@@ -31,8 +31,9 @@ def _digest(key: bytes) -> tuple[int, int]:
     return whole >> 64, whole & 0xFFFFFFFFFFFFFFFF
 
 
-def digests(documents: DataFrame, least: int) -> DataFrame:
-    """(doc_id, h1, h2): the distinct long line keys of each row of documents (doc_id, text)."""
+def digests(documents: DataFrame, least: int, order: str | None = None) -> DataFrame:
+    """(doc_id, h1, h2): the distinct long line keys of each row of documents (doc_id, text), and its `order`."""
+    also = [order] if order else []
 
     def run(batch):
         counts, keys = [], []
@@ -42,10 +43,11 @@ def digests(documents: DataFrame, least: int) -> DataFrame:
             keys.extend(map(_digest, own))
         rows = np.repeat(np.arange(len(counts)), counts)
         both = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-        return {"doc_id": batch.column("doc_id").take(rows), "h1": both[:, 0], "h2": both[:, 1]}
+        return {**{c: batch.column(c).take(rows) for c in ("doc_id", *also)}, "h1": both[:, 0], "h2": both[:, 1]}
 
-    kind = dict(documents.dtypes)["doc_id"]
-    return per_batch(documents.select("doc_id", "text"), run, f"doc_id {kind}, h1 bigint, h2 bigint")
+    kinds = dict(documents.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", *also))
+    return per_batch(documents.select("doc_id", *also, "text"), run, f"{schema}, h1 bigint, h2 bigint")
 
 
 @dataclass
@@ -53,8 +55,8 @@ class Runs:
     """Levelled runs of line keys, each sorted by key: rows (h1, h2, n, keeper).
 
     `n` counts documents.  `keeper` is set in one row of a key over all runs: that of the batch
-    that had it first.  Batches must come from the largest doc_id down, so the keeper is the
-    largest doc_id that holds the key.
+    that had it first.  Batches must come from the last documents down, so the keeper is the
+    last document that holds the key.
     """
 
     spark: SparkSession
@@ -99,22 +101,26 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     return _union(runs).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
 
-def frequent_lines(keys: DataFrame, least_docs=LEAST_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
-    """Frequent keys of stored digests, which go through the runs in batches of falling doc_id."""
-    cuts = cut_points(keys, "doc_id", batches)[::-1]
+def frequent_lines(keys: DataFrame, least_docs=LEAST_DOCS, batches=BATCHES, fanout=FANOUT, order: str | None = None) -> DataFrame:
+    """Frequent keys of stored digests, which go through the runs in batches of falling doc_id, or of
+    falling `order`, where missing ones come last."""
+    by, keeper = order or "doc_id", F.struct(order, "doc_id") if order else F.col("doc_id")
+    cuts = cut_points(keys, by, batches)[::-1]
     runs, above = Runs(keys.sparkSession, fanout), None
     for cut in [*cuts, None]:
         part = keys.filter("doc_id IS NOT NULL")
         if above is not None:
-            part = part.filter(F.col("doc_id") < above)
+            part = part.filter((F.col(by) < above) | F.col(by).isNull())
         if cut is not None:
-            part = part.filter(F.col("doc_id") >= cut)
-        runs.add(part.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")))
+            part = part.filter(F.col(by) >= cut)
+        runs.add(part.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max(keeper).alias("keeper")))
         above = cut
     return runs.frequent(least_docs)
 
 
-def dedup_lines(documents: DataFrame, least_chars=LEAST_CHARS, least_docs=LEAST_DOCS, batches=BATCHES, fanout=FANOUT) -> DataFrame:
+def dedup_lines(
+    documents: DataFrame, least_chars=LEAST_CHARS, least_docs=LEAST_DOCS, batches=BATCHES, fanout=FANOUT, order: str | None = None
+) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): documents (doc_id, text) without their repeated lines.
 
     A line's key is the line stripped of ASCII white space with A-Z in lower case.  Keys of at least
@@ -122,13 +128,17 @@ def dedup_lines(documents: DataFrame, least_chars=LEAST_CHARS, least_docs=LEAST_
     in the document of the largest doc_id (a whole number).  Other lines stay, joined by \\n.  A
     missing or empty text is one empty line.  Each row is a document: rows that share an id count
     each, and keep or lose lines alike.  Rows without an id are not counted and lose nothing.
-    Empty tables give no rows; other columns are not used.
+    Empty tables give no rows; other columns are not used.  `order` names a column of whole numbers
+    by which the keeper is chosen instead, the largest doc_id of equal ones; missing ones are smallest.
 
     Texts are read to hash their lines, and again to cut them; only those that may lose a line
     are shuffled.  A line that very many documents hold is looked up in a copied table.
     """
-    keys = written(digests(documents, least_chars), "line_digests")
-    frequent = written(frequent_lines(keys, least_docs, batches, fanout), "frequent_lines")
+    keys = written(digests(documents, least_chars, order), "line_digests")
+    frequent = frequent_lines(keys, least_docs, batches, fanout, order)
+    if order:
+        frequent = frequent.withColumn("keeper", F.col("keeper.doc_id"))
+    frequent, keys = written(frequent, "frequent_lines"), keys.select("doc_id", *KEY)
     # Most lines are not frequent, and go before the join.
     likely = marked_likely(keys.filter("doc_id IS NOT NULL"), frequent, KEY, "_likely").filter("_likely").drop("_likely")
     held = lookup(likely, frequent, KEY, "n").filter("keeper <> doc_id")

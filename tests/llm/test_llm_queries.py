@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entries
 import corpus_pipeline
+from snipquarry.llm import line_dedup
 from snipquarry.llm.queries import ORACLES, QUERIES
 
 
@@ -46,6 +47,22 @@ def test_benchmark_items_without_an_id(spark, tmp_path):
     assert got == normal([c[0] for c in found.description], found.fetchall())
 
 
+def test_line_stage_keeps_what_the_operator_keeps(spark):
+    # The rows are read in another order than that of their ids.
+    line = "this line stands in each of the documents of the table"
+    rows = [(i * 7 % 30, f"own words {i}\n{line}" + (f"\n{line} {i % 3}" if i % 2 else "")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, SMALL).collect()}
+    assert got == want and [d for d, t in got.items() if line in t.split("\n")] == [29]
+    # Of rows that share the largest id, one keeps the line; a missing id is the smallest.
+    odd = [(None, line), (5, f"a\n{line}"), (5, f"b\n{line}"), (1, line), (2, line), (None, line)]
+    odd = spark.createDataFrame(odd, "doc_id bigint, text string").coalesce(1)
+    texts = [(r.doc_id, r.text) for r in corpus_pipeline.drop_lines(spark, odd, SMALL).collect()]
+    assert sorted(t for d, t in texts if d == 5) in (["a", f"b\n{line}"], [f"a\n{line}", "b"])
+    assert len(texts) == 6 and all(t == "" for d, t in texts if d != 5)
+
+
 def test_registered():
     names = set(entries.queries())
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names}
