@@ -243,18 +243,23 @@ def fit(documents: DataFrame, labels: DataFrame, sample=SAMPLE) -> Model:
     """Learn from documents (doc_id, text) with labels (doc_id, toxic).
 
     A document with both labels counts as toxic; rows without an id or label teach nothing.  At
-    most `sample` labelled rows are used, chosen evenly by a hash of their id; the prior's counts
-    are those of all documents.  Without labels, or with one kind only, every score is that kind's.
+    most `sample` labelled rows are used, chosen evenly by a hash of their id; of rows that share
+    an id, one is, chosen by a hash of its text.  The prior's counts are those of all documents.  Without labels, or with one kind only, every score is that kind's.
     """
     chosen = written(_sample(labels, sample), "toxic_sample")
     shares = chosen.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
     if not shares.n or shares.toxic in (0, shares.n):
         return Model(np.zeros(BUCKETS), constant=1.0 if shares.n and shares.toxic else 0.0)
     texts = documents.select("doc_id", "text")
-    # At most `sample` rows are copied.
-    counts = _counts(texts.join(F.broadcast(chosen), "doc_id", "left")).toArrow()
+    # At most `sample` rows are copied, and so many are left: repeated ids go before the shuffle.
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    labelled = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), one.alias("text"))
+    labelled = written(labelled, "toxic_labelled")
+    every = _counts(texts.withColumn("toxic", F.lit(None).cast("int"))).select("bucket", "all_n", *[F.lit(0).cast("long").alias(c) for c in ("toxic_n", "clean_n")])
+    own = _counts(labelled).withColumn("all_n", F.lit(0).cast("long"))
+    counts = every.unionByName(own).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("all_n", "toxic_n", "clean_n")]).toArrow()
     model = Model(_evidence(counts))
-    measured = written(_measured(texts.join(F.broadcast(chosen), "doc_id"), model), "toxic_measured")
+    measured = written(_measured(labelled, model), "toxic_measured")
     bins = measured.filter("bin IS NOT NULL").groupBy("bin").agg(F.sum("many").alias("many")).toPandas()
     table = measured.filter("bin IS NULL").select("toxic", "n", "best", "total").toPandas()
     if table.empty or table.toxic.nunique() < 2:

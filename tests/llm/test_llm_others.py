@@ -89,6 +89,21 @@ def test_scores(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join([f"w{rng.integers(60)}" for _ in range(20)] + ["vileword"] * 2 * (i % 4 == 0))) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, toxic int")
+    schema, sizes, logistic = "doc_id bigint, text string", [], toxicity._logistic
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y: sizes.append(len(y)) or logistic(x, y))
+    # Exact copies, and other texts of the same id.
+    many = [*rows, *[rows[3]] * 300, *[(5, f"{rows[5][1]} vileword{i}") for i in range(300)]]
+    docs = spark.createDataFrame(many, schema).repartition(3)
+    model = toxicity.fit(docs, labels, sample=100)
+    assert sizes == [100]
+    again = toxicity.fit(docs.repartition(2), labels, sample=100)
+    assert np.array_equal(model.evidence, again.evidence) and np.allclose(model.weights, again.weights)
+
+
 def test_rate_solves_its_equation():
     values, share = np.array([-1.0, 0.5, 2.0]), np.array([0.9, 0.07, 0.03])
     assert math.isclose(float((share * np.exp(toxicity._rate(values, share) * values)).sum()), 1, rel_tol=1e-6)
