@@ -1,6 +1,6 @@
 """Answer search requests the way a cached search service does."""
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import keys
@@ -19,6 +19,28 @@ def results_type(snippets: DataFrame) -> T.ArrayType:
     return T.ArrayType(row.add("score", T.DoubleType()))
 
 
+def _answered_by(marked: DataFrame, ttl, id: str, columns: list[str]) -> DataFrame:
+    """(id, columns, hit, _first) of stored rows (id, key, requested_at, hit): the id of the miss that
+    answers a row, which is the last of its key until then.
+
+    Misses of a key are at least `ttl` apart, so of slices of time that long each has one at most, and
+    that of a hit is in its own slice or in the one before.  So a hit looks up one row of (key,
+    slice), and no key's requests have to be together.
+    """
+    at, step = F.unix_micros(F.col("requested_at").cast("timestamp")), int(ttl or settings.SEARCH_TTL_SECONDS) * 1_000_000
+    slice_ = ((at - F.pmod(at, F.lit(step))) / step).cast("long")
+    # Requests without a key have one in common; no other is empty.
+    marked = marked.withColumns({"key": F.coalesce("key", F.lit("")), "_slice": slice_})
+    own = marked.filter("NOT hit").select("key", "_slice", F.struct(at.alias("at"), F.col(id).alias("id")).alias("_miss"))
+    each = own.withColumn("_later", F.explode(F.array(F.lit(0), F.lit(1))))
+    known = each.groupBy("key", (F.col("_slice") + F.col("_later")).alias("_slice")).agg(
+        F.max(F.when(F.col("_later") == 0, F.col("_miss"))).alias("_own"), F.max(F.when(F.col("_later") == 1, F.col("_miss"))).alias("_before"),
+    )
+    found = salted_join(written(marked, "sliced"), written(known, "misses_by_slice"), ["key", "_slice"], [id], "left")
+    first = F.when(~F.col("hit"), F.col(id)).when(F.col("_own.at") <= at, F.col("_own.id")).otherwise(F.col("_before.id"))
+    return written(found.select(id, *columns, "hit", first.alias("_first")), "answered_by")
+
+
 def retrieve(
     requests: DataFrame, cache: DataFrame, vectors: DataFrame, snippets: DataFrame, provider,
     ttl=settings.SEARCH_TTL_SECONDS, include_k=False, **options,
@@ -51,13 +73,9 @@ def retrieve(
     hits = looked_up.filter("value IS NOT NULL").select(
         "query_id", "query", store.from_value(F.col("value"), answer).alias("_a"), F.lit(True).alias("cached")
     ).select("query_id", "query", "_a.results", "_a.count", "cached")
-    # Which search answers a request: the last of its key until then.  Searches of a key are at least
-    # `ttl` apart, so the window of a key passes on one number a row.
-    until = Window.partitionBy("key").orderBy("requested_at", "query_id")
-    answered_by = F.last(F.when(~F.col("hit"), F.col("query_id")), ignorenulls=True).over(until)
-    asked_of = marked.select("query_id", "query", "hit", answered_by.alias("_first"))
+    asked_of = _answered_by(marked, ttl, "query_id", ["query"])
     by_first = searched.select(F.col("query_id").alias("_first"), "results", F.col("count").cast("long"))
-    fresh = salted_join(written(asked_of, "answered_by"), by_first, ["_first"], ["query_id"]).select(
+    fresh = salted_join(asked_of, by_first, ["_first"], ["query_id"]).select(
         "query_id", "query", "results", "count", F.col("hit").alias("cached")
     )
     return hits.unionByName(fresh), entries
@@ -96,9 +114,7 @@ def suggest(
     )
     new = generated.select("key", F.col("generated_text").alias("suggested_fix"), F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("written_at"))
     entries = store.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
-    until = Window.partitionBy("key").orderBy("requested_at", "request_id")
-    by = F.last(F.when(~F.col("hit"), F.col("request_id")), ignorenulls=True).over(until)
-    asked_of = written(marked.select("request_id", "hit", by.alias("_first")), "answered_by")
+    asked_of = _answered_by(marked, ttl, "request_id", [])
     by_first = generated.select(F.col("request_id").alias("_first"), F.col("generated_text").alias("suggested_fix"))
     fresh = salted_join(asked_of, by_first, ["_first"], ["request_id"]).select("request_id", "suggested_fix", F.col("hit").alias("cached"))
     return hits.unionByName(fresh), records, entries

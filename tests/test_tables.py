@@ -1,5 +1,6 @@
 """Stored tables, registration and service flow."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from snipquarry import schemas
@@ -95,6 +96,24 @@ def test_answers_end_with_their_time_to_live(spark):
     assert [(r.suggested_fix, r.cached) for r in again.collect()] == [("one", True)] and more.count() == 0
 
 
+def test_requests_of_one_key_are_not_put_together(spark, monkeypatch):
+    plans, written = [], service.written
+    monkeypatch.setattr(service, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df, name))
+    rng, ttl = np.random.default_rng(3), 60
+    rows = [(i, f"k{int(rng.integers(4)) if i % 3 else 0}", int(rng.integers(-400, 1500)) * 500_000) for i in range(900)]
+    rows += [(1000 + i, "k0", 30_000_000) for i in range(300)] + [(2000, None, 0), (2001, None, 59_999_999), (2002, None, 60_000_000)]
+    asked = spark.createDataFrame(rows, "id int, key string, t long").withColumn("requested_at", F.timestamp_micros("t"))
+    want, last = {}, {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if key not in last or t - last[key][0] >= ttl * 1_000_000:
+            last[key] = t, i
+        want[i] = last[key][1] != i, last[key][1]
+    hits = spark.createDataFrame([(i, hit) for i, (hit, _) in want.items()], "id int, hit boolean")
+    found = service._answered_by(asked.join(hits, "id"), ttl, "id", ["t"])
+    assert {r.id: (r.hit, r._first) for r in found.collect()} == want
+    assert len(plans) == 3 and not any("Window" in plan for plan in plans)
+
+
 def test_empty_page(spark):
     rows = spark.createDataFrame([], "id string, created_at timestamp")
     assert repositories.page(rows).collect() == []
