@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, toxicity, url_filter, warc
+from snipquarry.llm import decontaminate, importance, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, toxicity, url_filter, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -240,3 +240,48 @@ def op8(spark, sf_dir):
     found = warc.resolve(warc_records(table(spark, sf_dir, "pages")))
     fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.select("record_id", "refers_to", "status", F.array_join(fields, "|").alias("headers"))
+
+
+# crc32 is built from its rule: the reflected polynomial 0xEDB88320, bit by bit for the 256 values of a byte.
+IMPORTANCE_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS start, i AS v, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT start, xor(v >> 1, CASE WHEN (v & 1) = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY start) AS t FROM bits WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+doc_words AS (
+  SELECT r, w, count(*) AS n FROM (
+    SELECT r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM docs) GROUP BY r, w),
+target_words AS (
+  SELECT w, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+named AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM doc_words UNION SELECT w FROM target_words)),
+buckets AS (
+  SELECT w, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 10000 AS b
+  FROM named, crc),
+src AS (SELECT b, sum(n)::DOUBLE AS s FROM doc_words JOIN buckets USING (w) GROUP BY b),
+tgt AS (SELECT b, sum(n)::DOUBLE AS t FROM target_words JOIN buckets USING (w) GROUP BY b),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM src), 0) + 10000)
+    / ((s + 1) * (coalesce((SELECT sum(t) FROM tgt), 0) + 10000))))::BIGINT AS g
+  FROM src LEFT JOIN tgt USING (b)),
+weighed AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * g)::BIGINT AS weight FROM doc_words JOIN buckets USING (w) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weighed USING (r)),
+drawn AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)"""
+
+
+@query("op12_importance", IMPORTANCE_SQL)
+def op12(spark, sf_dir):
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
