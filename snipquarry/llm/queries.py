@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from snipquarry.llm import decontaminate, importance, jaccard, line_dedup, packing, secrets, suffix_dedup, topk, toxicity, url_filter, warc
+from snipquarry.llm import (
+    decontaminate, importance, jaccard, line_dedup, packing, phrases, secrets, suffix_dedup, topk, toxicity, url_filter, warc,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -285,3 +287,35 @@ SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING
 def op12(spark, sf_dir):
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+runs AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (
+    SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM runs, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)),
+freq AS (SELECT lang, size, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cands AS (SELECT *, string_split(g, ' ') AS w FROM freq WHERE size >= 2),
+cuts AS (
+  SELECT lang, g, f AS a, k, array_to_string(w[1:k], ' ') AS g1, array_to_string(w[k + 1:], ' ') AS g2
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cands)),
+scores AS (
+  SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r, ((a::HUGEINT * a * 1000000) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN freq x ON x.lang = c.lang AND x.g = g1 JOIN freq y ON y.lang = c.lang AND y.g = g2),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_runs AS (
+  SELECT lang, f, array_to_string(w[i:i + n - 1], ' ') AS g FROM (
+    SELECT lang, f, w, n, unnest(range(1, size - n + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS n FROM cands))),
+covers AS (SELECT lang, g, max(f) AS f FROM inner_runs GROUP BY lang, g),
+kept AS (SELECT s.* FROM least s LEFT JOIN covers c ON s.lang = c.lang AND s.g = c.g WHERE c.f IS NULL OR 100 * c.f < 50 * s.a),
+sums AS (SELECT lang, sum(len(w))::BIGINT AS n FROM runs GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM kept JOIN sums USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op13_phrases", PHRASES_SQL)
+def op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
