@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from snipquarry.llm import (
-    decontaminate, importance, jaccard, line_dedup, packing, phrases, secrets, suffix_dedup, topk, toxicity, url_filter, warc,
+    decontaminate, importance, jaccard, line_dedup, packing, phrases, pii, secrets, suffix_dedup, topk, toxicity, url_filter,
+    warc,
 )
 
 QUERIES = {}
@@ -319,3 +320,18 @@ FROM kept JOIN sums USING (lang) QUALIFY rank <= 2000"""
 @query("op13_phrases", PHRASES_SQL)
 def op13(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_pii")
+def op11(spark, sf_dir):
+    """Tested by its own checks: base spans by plain patterns, the tagger's on held-out rows."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.scan(documents, pii.fit(documents.select("text")))
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    text = lambda spans: F.array_join(F.transform(spans, one), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
+    )
