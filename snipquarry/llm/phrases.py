@@ -9,9 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from snipquarry.llm.common import U64, mixed, sliced, strings, utf8
-from snipquarry.plans.keys import marked_likely
+from snipquarry.plans.keys import lookup, marked_likely
 from snipquarry.plans.scratch import scratch_dir, written
-from snipquarry.plans.skew import salted_join
 
 UNKNOWN = "und"
 # Shards that a cycle scans.  Lengths are activated between scans, so more shards mean earlier starts and more scans.
@@ -302,57 +301,52 @@ def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: i
     return out
 
 
-def _named(documents: DataFrame, shards: int) -> tuple[DataFrame, int, DataFrame]:
-    """Stored shards, their number of words, and (h, lang, word); another seed where two words share a hash."""
+def _named(documents: DataFrame, shards: int) -> tuple[DataFrame, int]:
+    """Stored shards and their number of words; hashed with another seed where two words share a hash."""
     for seed in itertools.count():
         stored, n_words = _stored(documents, shards, seed)
-        word = F.struct("lang", "word")
-        names = stored.filter("shard = -1 AND h IS NOT NULL").groupBy("h").agg(F.min(word).alias("word"), F.max(word).alias("other"))
-        names = written(names, "names")
-        if names.filter("word <> other").isEmpty():
-            return stored, n_words, names.select("h", "word.lang", "word.word")
+        other = F.xxhash64("lang", "word")
+        found = stored.filter("shard = -1 AND h IS NOT NULL").groupBy("h").agg(F.min(other).alias("least"), F.max(other).alias("most"))
+        if found.filter("least <> most").isEmpty():
+            return stored, n_words
 
 
-def _cut(size: int, k: int) -> tuple[list[str], list[str]]:
-    every = [f"w{i + 1}" for i in range(size)]
-    return every[:k], every[k:]
+def _frequent_words(stored: DataFrame, counts: DataFrame) -> DataFrame:
+    """(w1, n, lang, word) of the frequent words, stored."""
+    wanted = counts.select(F.col("w1").alias("h"), "n")
+    rows = marked_likely(stored.filter("shard = -1 AND h IS NOT NULL"), wanted, ["h"], "_likely").filter("_likely")
+    names = rows.groupBy("h").agg(F.first("lang").alias("lang"), F.first("word").alias("word"))
+    return written(names.join(wanted, "h").select(F.col("h").alias("w1"), "n", "lang", "word"), "frequent_words")
 
 
-def _with_count(rows: DataFrame, counts: DataFrame, words: list[str], name: str) -> DataFrame:
-    own = counts.select(*[F.col(f"w{i + 1}").alias(w) for i, w in enumerate(words)], F.col("n").alias(name))
-    return salted_join(rows, own, words, [f"w{i + 1}" for i in range(sum(c[0] == "w" for c in rows.columns))])
-
-
-def _scored(counts: dict[int, DataFrame], size: int, longest: int, share: int) -> DataFrame:
-    """(w1, ..., a, l, r, score) of the candidates of a length that no longer one covers."""
-    words = [f"w{i + 1}" for i in range(size)]
-    rows = counts[size].withColumnRenamed("n", "a")
-    inner = None
+def _scored(counts: dict[int, DataFrame], words: DataFrame, size: int, longest: int, share: int) -> DataFrame:
+    """(lang, phrase, a, l, r, score) of the candidates of a length that no longer one covers."""
+    keys = [f"w{i + 1}" for i in range(size)]
+    rows, inner = counts[size].withColumnRenamed("n", "a"), None
     for longer in range(size + 1, longest + 1):
-        runs = F.array(*[F.struct(*[F.col(f"w{i + j + 1}").alias(w) for j, w in enumerate(words)]) for i in range(longer - size + 1)])
+        runs = F.array(*[F.struct(*[F.col(f"w{i + j + 1}").alias(w) for j, w in enumerate(keys)]) for i in range(longer - size + 1)])
         held = counts[longer].select(F.explode(runs).alias("run"), "n").select("run.*", "n")
         inner = held if inner is None else inner.unionByName(held)
     if inner is not None:
-        most = inner.groupBy(*words).agg(F.max("n").alias("_longer"))
-        rows = rows.join(most, words, "left").filter(F.coalesce(100 * F.col("_longer") < share * F.col("a"), F.lit(True))).drop("_longer")
-    rows = written(rows, "candidates")
-    for k in range(1, size):
-        first, rest = _cut(size, k)
-        rows = _with_count(rows, counts[k], first, f"l{k}")
-        rows = _with_count(rows, counts[size - k], rest, f"r{k}")
+        most = inner.groupBy(*keys).agg(F.max("n").alias("_longer"))
+        rows = rows.join(most, keys, "left").filter(F.coalesce(100 * F.col("_longer") < share * F.col("a"), F.lit(True))).drop("_longer")
+    # A word's or part's own count tells in how many phrases it can be.
+    for i, w in enumerate(keys):
+        own = words.select(F.col("w1").alias(w), F.col("n").alias(f"_n{i}_1"), F.col("word").alias(f"_word{i}"), *([F.col("lang")] if i == 0 else []))
+        rows = lookup(rows, own, [w], f"_n{i}_1")
+    for part in range(2, size):
+        for i in (0, size - part):
+            own = counts[part].select(*[F.col(f"w{j + 1}").alias(keys[i + j]) for j in range(part)], F.col("n").alias(f"_n{i}_{part}"))
+            rows = lookup(rows, own, keys[i:i + part], f"_n{i}_{part}")
     # Up to 38 digits: exact for counts below 10 ** 16.
-    score = "CAST(a AS DECIMAL(19, 0)) * CAST(a AS DECIMAL(19, 0)) * 1000000 div (CAST(l{0} AS DECIMAL(19, 0)) * CAST(r{0} AS DECIMAL(19, 0)))"
-    cuts = [F.struct(F.expr(score.format(k)).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, size)]
-    return rows.withColumn("_cut", F.array_min(F.array(*cuts))).select(*words, "a", "_cut.l", "_cut.r", "_cut.score")
-
-
-def _texts(rows: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    words = [f"w{i + 1}" for i in range(size)]
-    for i, w in enumerate(words):
-        own = names.select(F.col("h").alias(w), F.col("word").alias(f"_text{i}"), *([F.col("lang")] if i == 0 else []))
-        rows = salted_join(written(rows, "part_named") if i else rows, own, [w], words)
-    phrase = F.concat_ws(" ", *[f"_text{i}" for i in range(size)])
-    return rows.select("lang", phrase.alias("phrase"), "a", "l", "r", "score")
+    score = "CAST(a AS DECIMAL(19, 0)) * CAST(a AS DECIMAL(19, 0)) * 1000000 div (CAST({l} AS DECIMAL(19, 0)) * CAST({r} AS DECIMAL(19, 0)))"
+    cuts = []
+    for k in range(1, size):
+        l, r = f"_n0_{k}", f"_n{k}_{size - k}"
+        cuts.append(F.struct(F.expr(score.format(l=l, r=r)).alias("score"), F.lit(k).alias("k"), F.col(l).alias("l"), F.col(r).alias("r")))
+    phrase = F.concat_ws(" ", *[f"_word{i}" for i in range(size)]).alias("phrase")
+    found = rows.select("lang", phrase, "a", F.array_min(F.array(*cuts)).alias("_cut"))
+    return found.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
 
 
 def collocations(
@@ -370,12 +364,12 @@ def collocations(
     again; empty tables give no rows; ids and other columns are not looked at.
     """
     shortest, longest = lengths
-    stored, n_words, names = _named(documents, shards)
+    stored, n_words = _named(documents, shards)
     counts = frequent_phrases(stored, n_words, threshold, longest, shards, filter_bits)
-    frequent = written(names.join(counts[1].select(F.col("w1").alias("h")), "h", "left_semi"), "frequent_names")
+    words = _frequent_words(stored, counts[1])
     found = None
     for size in range(shortest, longest + 1):
-        own = _texts(written(_scored(counts, size, longest, share), "scored"), frequent, size)
+        own = written(_scored(counts, words, size, longest, share), "scored")
         found = own if found is None else found.unionByName(own)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # First within parts of a language, so that none is ranked in one task as a whole.
