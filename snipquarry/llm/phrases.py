@@ -35,10 +35,12 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """64-bit hashes of the words of one language, 0 for END, and the words that were new since `news` was emptied."""
+    """64-bit hashes of the words of one language, 0 for END; `news` are those that it did not hold, until it is emptied."""
 
-    def __init__(self, lang: str, seed: int, most=150_000):
-        self.seed, self.most, self.news = xxhash.xxh3_64_intdigest(lang.encode(), seed), most, []
+    most = 150_000
+
+    def __init__(self, lang: str, seed: int):
+        self.seed, self.news = xxhash.xxh3_64_intdigest(lang.encode(), seed), []
         self[END] = 0
 
     def __missing__(self, word):
@@ -48,7 +50,7 @@ class _Hashes(dict):
             if word == END:
                 return 0
         self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed) or 1
-        self.news.append(word)
+        self.news.append((value, word))
         return value
 
 
@@ -74,8 +76,8 @@ def _stored(documents: DataFrame, shards: int, seed: int) -> tuple[DataFrame, in
             hashes, waiting, size = held[lang]
             made = np.concatenate(waiting)
             if hashes.news:
-                h = np.fromiter(map(hashes.__getitem__, hashes.news), U64, len(hashes.news)).view(np.int64)
-                yield rows(shard=[-1] * len(h), h=h, lang=[lang] * len(h), word=[w.decode() for w in hashes.news])
+                h = np.array([h for h, _ in hashes.news], U64).view(np.int64)
+                yield rows(shard=[-1] * len(h), h=h, lang=[lang] * len(h), word=[w.decode() for _, w in hashes.news])
                 hashes.news = []
             yield rows(shard=[next(shard) % shards], tokens=[made.tobytes()])
             yield rows(shard=[-1], lang=[lang], n=[int(np.count_nonzero(made))])

@@ -88,6 +88,14 @@ def test_another_seed_where_words_share_a_hash(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows, (2, 3), 10, 50, 30)
 
 
+def test_workers_forget_words(spark, monkeypatch):
+    monkeypatch.setattr(phrases._Hashes, "most", 7)
+    monkeypatch.setattr(phrases, "CHUNK_TOKENS", 500)
+    rows = texts(3, 60)
+    got = phrases.collocations(table(spark, rows, 2), most=30)
+    assert {tuple(r) for r in got.collect()} == brute(rows, (2, 3), 10, 50, 30)
+
+
 def test_empty(spark):
     assert phrases.collocations(table(spark, ODD, 1).limit(0)).count() == 0
     assert phrases.collocations(table(spark, [("en", None), ("de", "...")], 1)).count() == 0
