@@ -6,20 +6,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from snipquarry.llm.common import U64, mixed, sliced, strings, utf8
 from snipquarry.plans.keys import lookup, marked_likely
-from snipquarry.plans.scratch import scratch_dir, written
+from snipquarry.plans.scratch import scratch_dir, written, written_rows
 
 UNKNOWN = "und"
 # Shards that a cycle scans.  Lengths are activated between scans, so more shards mean earlier starts and more scans.
 SHARDS = 4
 # Tokens of a stored row, and of one round of counting in a task (pieces are never cut).
 CHUNK_TOKENS = 1 << 17
-ROUND_TOKENS = 1 << 20
-# Most bits of a filter of phrases that have reached the threshold: 16 MB.
+ROUND_TOKENS = 1 << 18
+# Bits of a filter for each phrase that has reached the threshold when it is first made, and most bits of it: 16 MB.
+PHRASE_BITS = 64
 FILTER_BITS = 1 << 27
+# Hashes of words that a task holds in all.
+HELD_WORDS = 300_000
 PROBES = 3
 
 # White space within a piece becomes a space; what ends a piece becomes a byte that UTF-8 never holds.
@@ -37,10 +40,8 @@ def tokens(text: bytes) -> list[bytes]:
 class _Hashes(dict):
     """64-bit hashes of the words of one language, 0 for END; `news` are those that it did not hold, until it is emptied."""
 
-    most = 150_000
-
-    def __init__(self, lang: str, seed: int):
-        self.seed, self.news = xxhash.xxh3_64_intdigest(lang.encode(), seed), []
+    def __init__(self, lang: str, seed: int, most: int):
+        self.seed, self.news, self.most = xxhash.xxh3_64_intdigest(lang.encode(), seed), [], most
         self[END] = 0
 
     def __missing__(self, word):
@@ -54,8 +55,8 @@ class _Hashes(dict):
         return value
 
 
-def _stored(documents: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
-    """Shards of hashed words, stored, and the number of words.
+def _stored(documents: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Shards of hashed words, stored.
 
     Rows are (shard, tokens) with the hashes of many pieces, ended by 0; and, with shard -1, (h, lang,
     word) for each word of a task and (lang, n) with how many words it read.
@@ -97,7 +98,9 @@ def _stored(documents: DataFrame, shards: int, seed: int) -> tuple[DataFrame, in
                             if held[other][1]:
                                 yield from flush(other)
                         held.clear()
-                    held[lang] = [_Hashes(lang, seed), [], 0]
+                    held[lang] = [_Hashes(lang, seed, HELD_WORDS), [], 0]
+                    for own, _, _ in held.values():
+                        own.most = HELD_WORDS // len(held)
                 own = held[lang]
                 own[1].append(np.fromiter(map(own[0].__getitem__, itertools.chain(w, (END,))), U64, len(w) + 1))
                 own[2] += len(w) + 1
@@ -110,16 +113,15 @@ def _stored(documents: DataFrame, shards: int, seed: int) -> tuple[DataFrame, in
     spark, path = documents.sparkSession, scratch_dir(documents.sparkSession, "shards")
     texts = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     made = texts.mapInArrow(run, "shard int, tokens binary, h bigint, lang string, word string, n bigint")
-    seen = Observation()
-    made.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("n")).write.partitionBy("shard").parquet(path)
-    return spark.read.schema(made.schema).parquet(path), seen.get["n"]
+    made.write.partitionBy("shard").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 class Filter:
     """Bloom filter over 64-bit hashes; phrases are only ever added, and its size stays."""
 
-    def __init__(self, bits: int):
-        self.words = np.zeros(bits // 64, U64)
+    def __init__(self, words: np.ndarray):
+        self.words = words
 
     @staticmethod
     def places(h: np.ndarray, bits: int) -> np.ndarray:
@@ -249,7 +251,7 @@ def _added(old: np.ndarray, reached: DataFrame, size: int) -> np.ndarray:
     return new
 
 
-def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: int, shards: int, filter_bits: int) -> dict[int, DataFrame]:
+def frequent_phrases(stored: DataFrame, threshold: int, longest: int, shards: int, filter_bits: int) -> dict[int, DataFrame]:
     """{length: (w1, ..., n)}, stored: all phrases of 1 to `longest` hashed words that occur `threshold` times.
 
     Shards are scanned one after another, in cycles.  Words are counted from the first scan on.
@@ -260,9 +262,6 @@ def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: i
     a phrase that passes by chance is counted in each shard once, too: all counts are exact.
     """
     spark = stored.sparkSession
-    bits = 1 << 16
-    while bits < min(filter_bits, 16 * n_words // threshold):
-        bits *= 2
     # By length of a phrase: the filter of its parts before each step (none yet: None), and the last step that changed it.
     filters = {size: [] for size in range(2, longest + 1)}
     words = {size: None for size in filters}
@@ -271,8 +270,7 @@ def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: i
     for step in itertools.count():
         for size, history in filters.items():
             if words[size] is not None and changed[size] == step:
-                made = Filter(bits)
-                made.words = words[size]
+                made = Filter(words[size])
                 history.append(spark.sparkContext.broadcast(made))
             else:
                 history.append(history[-1] if history else None)
@@ -290,8 +288,12 @@ def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: i
         for part in range(1, longest):
             if part in active or part == 1 and step < shards:
                 # What is active now was first counted less than a cycle ago.
-                reached = _frequent(tables[max(0, step + 1 - shards):], part, threshold, shards)
-                old = words[part + 1] if words[part + 1] is not None else np.zeros(bits // 64, U64)
+                reached, n = written_rows(_frequent(tables[max(0, step + 1 - shards):], part, threshold, shards), "reached")
+                if not n:
+                    continue
+                old = words[part + 1]
+                if old is None:
+                    old = np.zeros(max(1, (1 << (min(PHRASE_BITS * n, filter_bits) - 1).bit_length()) >> 6), U64)
                 new = _added(old, reached, part)
                 if not np.array_equal(new, old):
                     words[part + 1], changed[part + 1] = new, step + 1
@@ -303,14 +305,14 @@ def frequent_phrases(stored: DataFrame, n_words: int, threshold: int, longest: i
     return out
 
 
-def _named(documents: DataFrame, shards: int) -> tuple[DataFrame, int]:
-    """Stored shards and their number of words; hashed with another seed where two words share a hash."""
+def _named(documents: DataFrame, shards: int) -> DataFrame:
+    """Stored shards, hashed with another seed where two words share a hash."""
     for seed in itertools.count():
-        stored, n_words = _stored(documents, shards, seed)
+        stored = _stored(documents, shards, seed)
         other = F.xxhash64("lang", "word")
         found = stored.filter("shard = -1 AND h IS NOT NULL").groupBy("h").agg(F.min(other).alias("least"), F.max(other).alias("most"))
         if found.filter("least <> most").isEmpty():
-            return stored, n_words
+            return stored
 
 
 def _frequent_words(stored: DataFrame, counts: DataFrame) -> DataFrame:
@@ -366,8 +368,8 @@ def collocations(
     again; empty tables give no rows; ids and other columns are not looked at.
     """
     shortest, longest = lengths
-    stored, n_words = _named(documents, shards)
-    counts = frequent_phrases(stored, n_words, threshold, longest, shards, filter_bits)
+    stored = _named(documents, shards)
+    counts = frequent_phrases(stored, threshold, longest, shards, filter_bits)
     words = _frequent_words(stored, counts[1])
     found = None
     for size in range(shortest, longest + 1):
