@@ -13,7 +13,7 @@ from snipquarry.plans.keys import marked_likely
 from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import first_per_key, salted_join
 from snipquarry.sources import tree
-from snipquarry.sources.tables import read_table, replace_groups, table_exists
+from snipquarry.sources.store import Store
 
 
 def snippet_id():
@@ -100,22 +100,22 @@ def first_per_path(files: DataFrame) -> DataFrame:
 
 
 def index_repositories(
-    requests: DataFrame, files: DataFrame, table: str, repo_errors: DataFrame | None = None,
+    requests: DataFrame, files: DataFrame, store: Store, repo_errors: DataFrame | None = None,
     size=settings.CHUNK_LINES, overlap=settings.OVERLAP_LINES, prune_dirs=True, as_of=None,
-    vectors: str | None = None, provider=None, dim=settings.EMBEDDING_DIM,
+    provider=None, dim=settings.EMBEDDING_DIM,
 ) -> dict:
-    """Index the files of all requested repositories into the snippet table at `table`, and with a
-    `provider` their embeddings into the table at `vectors`.
+    """Index the files of all requested repositories into the tables repositories, jobs and snippets of a
+    store, and with a `provider` their embeddings into vectors: all in one commit.
 
     `requests` has (url, project), `files` has (url, file_path, content); files of addresses
     that were not requested, or are not valid, are left out.  What the tables have of a repository
     is replaced, so changed, shortened and removed files leave nothing behind; a repository with an
-    error keeps what it had.  Embeddings that break a limit are not stored.
+    error keeps its snippets and vectors.  A repository keeps the time of its first request.  Embeddings that
+    break a limit are not stored.  What is written follows what is indexed, not what the store holds.
 
-    Returns the `repositories` and `jobs` tables, the number of `added` snippets (new, or with
-    another text than before) and of `rejected` embeddings.
+    Returns this run's `repositories` and `jobs`, the number of `added` snippets (new, or with
+    another text than before) and of `rejected` embeddings, and the `version` of the store.
     """
-    spark = files.sparkSession
     repos = written(register(requests, as_of), "repositories")
     # The id follows from the address; the join only filters.
     found = files.withColumn("repo_id", keys.stable_id(F.col("url"))).drop("url")
@@ -125,25 +125,37 @@ def index_repositories(
     done = known if repo_errors is None else known.join(repo_errors.select("repo_id").distinct(), "repo_id", "left_anti")
     done = written(done, "indexed")
     rows = written(snippets(chunks, as_of).join(done, "repo_id", "left_semi").select(*schemas.CODE_SNIPPETS.names), "snippets")
-    new = rows
-    if table_exists(spark, table):
-        stored = read_table(spark, table).join(done, "repo_id", "left_semi")
-        key = ["id", F.md5("content").alias("_md5")]
-        new = rows.select(*key).join(stored.select(*key), ["id", "_md5"], "left_anti")
-    added = new.count()
-    replace_groups(rows, done, table, "repo_id")
-    rejected = 0
-    if provider is not None:
-        records = embedding_records(embed(rows, provider, "content"))
-        checked = written(validate(records, dim), "embeddings")
-        accepted, broken = split_valid(checked)
-        replace_groups(accepted.select(*schemas.SNIPPET_VECTORS.names), done, vectors, "repo_id")
-        rejected = broken.count()
     jobs = written(index_jobs(file_results(chunks), repos, repo_errors), "jobs")
-    return {"repositories": with_status(repos, jobs), "jobs": jobs, "added": added, "rejected": rejected}
-
-
-def index_checkouts(checkouts: DataFrame, requests: DataFrame, table: str, partitions: int, prune_dirs=True, **options) -> dict:
+    status, new, rejected = with_status(repos, jobs), rows, 0
+    with store.change() as change:
+        base = change.version - 1
+        if "snippets" in change.tables:
+            stored = store.read("snippets", base).join(done, "repo_id", "left_semi")
+            key = ["id", F.md5("content").alias("_md5")]
+            new = rows.select(*key).join(stored.select(*key), ["id", "_md5"], "left_anti")
+        if "repositories" in change.tables:
+            first = store.read("repositories", base).select("id", F.col("created_at").alias("_first"))
+            status = status.join(first, "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+        status = written(schemas.conform(status, schemas.REPOSITORIES), "statuses")
+        added = new.count()
+        change.replace("repositories", status, status.select("id"))
+        change.replace("jobs", schemas.conform(jobs, schemas.INDEX_JOBS), jobs.select("id"))
+        change.replace("snippets", rows, done, order=["id"], find_by=["id"])
+        if provider is not None:
+            accepted, broken = embedded(rows, provider, dim)
+            change.replace("vectors", accepted, done, order=["id"], find_by=["id"])
+            rejected = broken.count()
+    return {"repositories": status, "jobs": jobs, "added": added, "rejected": rejected, "version": change.version}
+
+
+def embedded(rows: DataFrame, provider, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Records of the vector table for snippets: those that hold all limits, and the others with their reasons."""
+    checked = written(validate(embedding_records(embed(rows, provider, "content")), dim), "embeddings")
+    accepted, broken = split_valid(checked)
+    return accepted.select(*schemas.SNIPPET_VECTORS.names), broken
+
+
+def index_checkouts(checkouts: DataFrame, requests: DataFrame, store: Store, partitions: int, prune_dirs=True, **options) -> dict:
     """From checkouts (url, root) to the tables, see `index_repositories`.
 
     A checkout that cannot be listed fails its own job and keeps what the tables have of it; a
@@ -155,7 +167,7 @@ def index_checkouts(checkouts: DataFrame, requests: DataFrame, table: str, parti
     read = tree.read_contents(wanted, partitions).withColumn("content", tree.decode(F.col("content")))
     urls = placed.select("repo_id", "url")
     return index_repositories(
-        requests, read.join(urls, "repo_id").drop("repo_id"), table, errors, prune_dirs=prune_dirs, **options
+        requests, read.join(urls, "repo_id").drop("repo_id"), store, errors, prune_dirs=prune_dirs, **options
     )
 
 

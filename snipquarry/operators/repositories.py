@@ -6,6 +6,7 @@ from snipquarry import settings
 from snipquarry.functions import keys, paths
 from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.sources.store import Store
 
 
 def split_requests(requests: DataFrame, url="url"):
@@ -130,3 +131,17 @@ def cascade_delete(deleted: DataFrame, repositories, snippets, jobs, suggestions
         "suggestions": suggestions,
         "dangling": salted_join(suggestions, removed, ["snippet_id"], ["id"], "left_semi"),
     }
+
+
+def delete_stored(store: Store, deleted: DataFrame) -> int:
+    """Remove the repositories in `deleted` (repo_id) from a store, with their jobs, snippets and vectors.
+
+    One commit that writes the ids for each table and no rows; suggestions stay.  Returns the
+    new version.
+    """
+    gone = written(deleted.select("repo_id").distinct(), "deleted")
+    with store.change() as change:
+        change.remove("repositories", gone.withColumnRenamed("repo_id", "id"))
+        for table in ("jobs", "snippets", "vectors"):
+            change.remove(table, gone)
+    return change.version

@@ -1,28 +1,13 @@
 """Stored tables: scan, append, idempotent append."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from snipquarry.plans.scratch import written, written_rows
-
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.parquet(path)
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is anything to read at `path`."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException as problem:
-        # Anything else (no rights, broken files) must not look like a missing table.
-        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return False
-    return True
-
-
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None, rebalance=False) -> int:
     """Append rows to a table and return how many, counted during the write itself.
 
@@ -46,31 +31,3 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 def new_rows(df: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not in `existing`: appending them twice changes nothing."""
     return df.join(existing.select(*key), key, "left_anti")
-
-
-PARTS = 64
-
-
-def replace_groups(rows: DataFrame, groups: DataFrame, path: str, by: str, parts=PARTS) -> int:
-    """Replace what the table at `path` has of `groups` (column `by`) by `rows`; returns how many rows that are.
-
-    The table is partitioned by a hash of `by`; only partitions of the given groups are read and
-    written.  Rows of other groups in these partitions are carried over.
-    """
-    spark = rows.sparkSession
-    part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int").alias("part")
-    groups = written(groups.select(by).distinct(), "groups")
-    new, n = written_rows(rows.select("*", part), "rows")
-    touched = [r.part for r in groups.select(part).distinct().collect()]
-    whole = new
-    if table_exists(spark, path):
-        old = read_table(spark, path, new.schema).filter(F.col("part").isin(touched))
-        # Stored first, since the partitions that it comes from are overwritten.
-        kept = written(old.join(groups, by, "left_anti").select(*new.columns), "kept")
-        whole = new.unionByName(kept)
-    replace_partitions(whole.hint("rebalance", "part"), path, ["part"])
-    filled = {r.part for r in whole.select("part").distinct().collect()}
-    for number in set(touched) - filled:
-        empty = spark.createDataFrame([], new.drop("part").schema)
-        empty.write.mode("overwrite").parquet(f"{path}/part={number}")
-    return n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from snipquarry.functions import paths
 from snipquarry.operators import files, indexing
 from snipquarry.sources import tree
+from snipquarry.sources.store import Store
 
 TREE = {
     "pkg/__init__.py": b"",
@@ -80,10 +81,11 @@ def test_one_bad_checkout_fails_alone(spark, tmp_path):
     urls = ["https://h/good.git", "https://h/bad.git"]
     checkouts = spark.createDataFrame([(urls[0], str(good)), (urls[1], str(bad))], "url string, root string")
     requests = spark.createDataFrame([(u, "p") for u in urls], "url string, project string")
-    done = indexing.index_checkouts(checkouts, requests, str(tmp_path / "table"), 2)
+    store = Store(spark, str(tmp_path / "store"))
+    done = indexing.index_checkouts(checkouts, requests, store, 2)
     jobs = {r.status: r for r in done["jobs"].collect()}
     assert jobs["completed"].processed_files == len(KEPT) and jobs["failed"].error_message
-    assert {r.file_path for r in spark.read.parquet(str(tmp_path / "table")).collect()} == KEPT
+    assert {r.file_path for r in store.read("snippets").collect()} == KEPT
 
 
 def test_suffix_and_names(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from snipquarry import schemas
 from snipquarry.operators import cache, indexing, inference, repositories, service
 from snipquarry.sources import tables
+from snipquarry.sources.store import Store
 
 
 def test_append_counts_and_repeats_nothing(spark, tmp_path):
@@ -37,7 +38,7 @@ def test_indexing_again_adds_nothing(spark, tmp_path):
          ("https://h/a.git", "build/w.go", "w")],
         "url string, file_path string, content string",
     )
-    table = str(tmp_path / "snippets")
+    table = Store(spark, str(tmp_path))
     done = indexing.index_repositories(requests, files, table)
     assert done["added"] == 2
     repo, job = done["repositories"].first(), done["jobs"].first()
@@ -46,7 +47,8 @@ def test_indexing_again_adds_nothing(spark, tmp_path):
     assert indexing.index_repositories(requests, files, table)["added"] == 0
     more = files.unionByName(spark.createDataFrame([("https://h/a.git", "n.ts", "n")], files.schema))
     assert indexing.index_repositories(requests, more, table, prune_dirs=False)["added"] == 2
-    stored = tables.read_table(spark, table, schemas.CODE_SNIPPETS)
+    stored = table.read("snippets")
+    assert table.read("jobs").count() == 3 and table.read("repositories").count() == 1
     assert stored.count() == 4 and stored.filter("id <> embedding_id").isEmpty()
     failed = spark.createDataFrame([(repo.id, "clone failed")], "repo_id string, error_message string")
     gone = indexing.index_repositories(requests, files.limit(0), table, failed)
@@ -58,15 +60,15 @@ def test_reindexing_replaces(spark, tmp_path):
     schema = "url string, file_path string, content string"
     urls = ["https://h/a.git", "https://h/b.git", "https://h/c.git"]
     requests = spark.createDataFrame([(u, "p") for u in urls], "url string, project string")
-    table, vectors = str(tmp_path / "s"), str(tmp_path / "v")
-    options = {"vectors": vectors, "provider": inference.hash_provider(dim=4), "dim": 4}
+    store = Store(spark, str(tmp_path))
+    options = {"provider": inference.hash_provider(dim=4), "dim": 4}
 
     def run(rows, errors=None):
-        return indexing.index_repositories(requests, spark.createDataFrame(rows, schema), table, errors, size=2, overlap=0, **options)
+        return indexing.index_repositories(requests, spark.createDataFrame(rows, schema), store, errors, size=2, overlap=0, **options)
 
     def state():
-        stored = tables.read_table(spark, table, schemas.CODE_SNIPPETS).collect()
-        known = {r.id for r in tables.read_table(spark, vectors, schemas.SNIPPET_VECTORS).collect()}
+        stored = store.read("snippets").collect()
+        known = {r.id for r in store.read("vectors").collect()}
         assert known == {r.id for r in stored} and len(known) == len(stored)
         return sorted(r.content for r in stored)
 

@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from snipquarry.operators.inference import hash_provider
 from snipquarry.plans.scratch import scratch_dir
+from snipquarry.sources.store import Store
 from snipquarry.sources.streams import read_stream
 from snipquarry.streaming import audit, indexing, ttl
 from workload.cache import DAY, TTL_REPLAY, request_log
-from workload.files import INDEX_SNIPPETS, _with_md5
-from workload.registry import code_files, query
+from workload.files import INDEX_SNIPPETS, SNIPPETS, STORED, _with_md5, stored_rows
+from workload.registry import code_files, query, views
 
 
 def _stream(spark, sf, name):
@@ -47,6 +49,30 @@ def incremental_index(spark, sf):
     return _with_md5(spark.read.parquet(table), "id", "repo_id", "file_path", "language", "embedding_id")
 
 
+UPSERTED = """(SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN string_split(text, chr(10))[1]
+  WHEN doc_id % 5 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+@query("stream_upsert", f"WITH {SNIPPETS.replace('FROM documents', 'FROM ' + UPSERTED)},{STORED}")
+def stream_upsert(spark, sf):
+    """Files arrive in two batches: all of them, and then some shortened, changed, gone, as they were, or in an older version."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", indexing.STATE_STORE)
+    files, folder = views(spark, sf).code_files, scratch_dir(spark, "arriving")
+    n, text, none = F.col("doc_id"), F.col("content"), F.lit(None).cast("string")
+    again = F.when(n % 7 == 0, none).when(n % 3 == 0, F.split(text, "\n", 2)[0]).when(n % 5 == 0, F.concat(text, F.lit(" changed"))).otherwise(text)
+    second = files.filter("doc_id % 7 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0").withColumn("content", again)
+    old = files.filter("doc_id % 13 = 0").withColumns({"content": F.lit("an older text"), "version": F.lit(0)})
+    arriving = ["repo_id", "file_path", "version", "content"]
+    files.withColumn("version", F.lit(1)).select(*arriving).coalesce(1).write.parquet(folder)
+    second.withColumn("version", F.lit(2)).unionByName(old).select(*arriving).coalesce(1).write.mode("append").parquet(folder)
+    stream = read_stream(spark, folder, spark.read.parquet(folder).schema, 1)
+    store = Store(spark, scratch_dir(spark, "store"))
+    indexing.upsert_stream(
+        stream, store, scratch_dir(spark, "store-state"), provider=hash_provider(dim=64), dim=64, size=16, overlap=4
+    ).awaitTermination()
+    return stored_rows(store)
+
+
 @query("index_progress", "SELECT source AS repo_id, count(*) AS files_seen FROM documents GROUP BY source")
 def index_progress(spark, sf):
     seen = indexing.progress(code_files(_stream(spark, sf, "documents")))

@@ -6,6 +6,7 @@ from snipquarry.functions import paths
 from snipquarry.operators import repositories, vectors
 from snipquarry.plans.scratch import scratch_dir
 from snipquarry.sources import tables
+from snipquarry.sources.store import Store
 from workload.files import jobs_of, jobs_sql
 from workload.registry import (
     PURGE_LIST, REPOSITORIES, SNIPPET_VECTORS, SOURCE_REPOSITORIES, SUGGESTION_REQUESTS,
@@ -143,6 +144,30 @@ def cascade_delete(spark, sf):
     return out
 
 
+@query("cascade_delete_stored", f"""
+WITH {SOURCE_REPOSITORIES}, {PURGE_LIST}, {SNIPPET_VECTORS}
+SELECT 'repositories' AS tbl, id FROM source_repositories WHERE id NOT IN (SELECT repo_id FROM purge_list)
+UNION ALL SELECT 'snippets', doc_id::VARCHAR FROM documents WHERE source NOT IN (SELECT repo_id FROM purge_list)
+UNION ALL SELECT 'jobs', 'job-' || id FROM source_repositories WHERE id NOT IN (SELECT repo_id FROM purge_list)
+UNION ALL SELECT 'vectors', id::VARCHAR FROM snippet_vectors WHERE repo_id NOT IN (SELECT repo_id FROM purge_list)""")
+def cascade_delete_stored(spark, sf):
+    """The same as one commit of a store, which writes the removed ids only."""
+    v, store = views(spark, sf), Store(spark, scratch_dir(spark, "store"))
+    repos = v.source_repositories
+    held = {
+        "repositories": repos.select("id"),
+        "jobs": repos.select(F.concat(F.lit("job-"), "id").alias("id"), F.col("id").alias("repo_id")),
+        "snippets": v.snippets.select(F.col("id").cast("string").alias("id"), "repo_id"),
+        "vectors": v.snippet_vectors.select(F.col("id").cast("string").alias("id"), "repo_id"),
+    }
+    with store.change() as change:
+        for name, rows in held.items():
+            change.append(name, rows)
+    repositories.delete_stored(store, v.purge_list)
+    left = [store.read(name).select(F.lit(name).alias("tbl"), "id") for name in held]
+    return left[0].unionByName(left[1]).unionByName(left[2]).unionByName(left[3])
+
+
 @query("embedding_records", f"""
 WITH {SNIPPET_VECTORS}
 SELECT id, repo_id, file_path, language, coalesce(function_name, '') AS function_name,
