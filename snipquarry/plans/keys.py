@@ -1,5 +1,7 @@
 """Lookups that hold when one key has a large share of the rows, and bounded pre-filters."""
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 # A key with more than this share of all rows counts as hot: there are at most 1 / share of them.
@@ -29,20 +31,45 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], weight: str, share=
     )
 
 
-def marked_likely(rows: DataFrame, ids: DataFrame, keys: list[str], name: str, words=65_536) -> DataFrame:
-    """`rows` with a mark `name`: true wherever the key is in `ids`, and false for most other rows.
+# Bits of a filter for each id, words of 64 bits in a block of it, and most blocks: 64 MB.
+ID_BITS = 16
+BLOCK_WORDS = 64
+MOST_BLOCKS = 131_072
+
 
-    A bit map of `words` * 64 bits, whatever the size of `ids`, is copied to all tasks: a cheap
-    filter ahead of a shuffle.  Not exact: join the marked rows afterwards.
+def marked_likely(rows: DataFrame, ids: DataFrame, keys: list[str], name: str, most_blocks: int | None = None) -> DataFrame:
+    """`rows` with a mark `name`: true wherever the key is in `ids`, and false for nearly all other rows.
+
+    A blocked Bloom filter is copied to all tasks: a cheap filter ahead of a shuffle.  It has 16 bits an id, so
+    that some 2 % of the others pass, and is cut off at 64 MB: beyond 32 million ids more pass (5 % at twice as
+    many, 40 % at eight times), which costs shuffles and no rows.  Not exact: join the marked rows
+    afterwards.  `ids` are counted first and should be stored.
     """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(words * 64))
-    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
-    word = F.floor(F.col("_slot") / 64).cast("int")
-    bits = ids.select(slot.alias("_slot")).select(word.alias("_word"), bit.alias("_bit"))
-    bits = F.broadcast(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
-    joined = rows.withColumn("_slot", slot).withColumns({"_word": word, "_bit": bit}).join(bits, "_word", "left")
-    mark = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
-    return joined.select(*rows.columns, mark.alias(name))
+    wanted = math.ceil(ids.count() * ID_BITS / (BLOCK_WORDS * 64))
+    blocks = min(most_blocks or MOST_BLOCKS, 1 << max(0, wanted - 1).bit_length())
+    size = BLOCK_WORDS * 64
+    # One hash: its lowest bits name the block, and two other runs of its bits a place there each.
+    hashed = F.xxhash64(*keys)
+    block = F.pmod(hashed, F.lit(blocks)).cast("int")
+    places = [F.pmod(F.shiftrightunsigned(hashed, shift), F.lit(size)).cast("int") for shift in (20, 40)]
+
+    def bit(place):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+    def word(place):
+        return F.floor(place / 64).cast("int")
+
+    set_ = ids.select(block.alias("_block"), F.explode(F.array(*places)).alias("_place"))
+    words = set_.groupBy("_block", word(F.col("_place")).alias("_word")).agg(F.bit_or(bit(F.col("_place"))).alias("_bits"))
+    held = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    none = F.lit(0).cast("long")
+    packed = words.groupBy("_block").agg(held.alias("_held")).select(
+        "_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("_held", i), none)).alias("_bits")
+    )
+    # At most `most_blocks` rows of 512 bytes.
+    joined = rows.withColumns({"_block": block, "_a": places[0], "_b": places[1]}).join(F.broadcast(packed), "_block", "left")
+    found = [F.get("_bits", word(F.col(p))).bitwiseAND(bit(F.col(p))) != 0 for p in ("_a", "_b")]
+    return joined.select(*rows.columns, F.coalesce(found[0] & found[1], F.lit(False)).alias(name))
 
 
 def cut_points(df: DataFrame, column: str, parts: int) -> list:

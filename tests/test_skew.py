@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
+from snipquarry.plans import keys
 from snipquarry.plans.numbering import number_in_group
 from snipquarry.plans.skew import first_per_key, hot_keys, salted_join
 from snipquarry.plans.size import broadcast_bytes, spread
@@ -85,3 +86,22 @@ def test_broadcast_setting(spark, setting, size):
         assert broadcast_bytes(spark) == size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("n, most, passing", [(0, None, 0), (1, None, 0.001), (3_000, None, 0.05), (5_000_000, None, 0.05), (200_000, 1, 1)])
+def test_the_filter_grows_with_its_ids(spark, n, most, passing):
+    ids = spark.range(n).select((F.col("id") * 3).cast("string").alias("k"))
+    rows = spark.range(600_000).select(F.col("id").cast("string").alias("k"), "id")
+    marked = keys.marked_likely(rows, ids, ["k"], "m", most)
+    assert marked.columns == ["k", "id", "m"]
+    own = (F.col("id") % 3 == 0) & (F.col("id") < 3 * n)
+    counts = {(r.own, r.m): r["count"] for r in marked.groupBy(own.alias("own"), "m").count().collect()}
+    assert (True, False) not in counts and sum(counts.values()) == 600_000
+    assert counts.get((False, True), 0) <= passing * 600_000
+
+
+def test_the_filter_takes_missing_keys(spark):
+    ids = spark.createDataFrame([(None, 1), ("a", None)], "k string, j int")
+    rows = spark.createDataFrame([(None, 1), ("a", None), ("b", 2), (None, None)], "k string, j int")
+    got = {(r.k, r.j): r.m for r in keys.marked_likely(rows, ids, ["k", "j"], "m").collect()}
+    assert got[None, 1] and got["a", None] and len(got) == 4
