@@ -77,16 +77,30 @@ class Words(_Bounded):
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = _Pieces(path, most_pieces)
 
-    def __missing__(self, word):
+    def _parts(self, word: bytes) -> list[str] | None:
+        """What the ids of a word are made of; None where the tokenizer has to see the whole word."""
         text = word.decode()
         if plain := _PLAIN.fullmatch(text):
             letters, sign = plain.groups()
-            ids = self.pieces[letters.lower()] + (self.pieces[sign] if sign else b"")
-        elif _SAFE.fullmatch(text) and "<|" not in text:
-            ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
-        else:
-            ids = _raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.keep(word, ids)
+            return [letters.lower(), sign] if sign else [letters.lower()]
+        if _SAFE.fullmatch(text) and "<|" not in text:
+            return _PIECE.findall(text.lower())
+        return None
+
+    def __missing__(self, word):
+        parts = self._parts(word)
+        if parts is None:
+            return self.keep(word, _raw(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids))
+        return self.keep(word, b"".join(map(self.pieces.__getitem__, parts)))
+
+    def learn(self, new: set[bytes]) -> None:
+        """Keep the ids of words, with all their unknown parts tokenised in one call."""
+        parts = {word: found for word in new if (found := self._parts(word)) is not None}
+        unknown = list({p for found in parts.values() for p in found if p not in self.pieces})
+        for piece, made in zip(unknown, self.pieces.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+            self.pieces.keep(piece, _raw(made.ids))
+        for word, found in parts.items():
+            self.keep(word, b"".join(map(self.pieces.__getitem__, found)))
 
 
 def tokenised(documents: DataFrame, path: str, size=SIZE, end_id=END_ID) -> DataFrame:
@@ -102,8 +116,10 @@ def tokenised(documents: DataFrame, path: str, size=SIZE, end_id=END_ID) -> Data
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = worker_state("words " + path, lambda: Words(path))
         rows, pieces, starts, lengths, ids = [], [], [], [], []
-        for row, text in enumerate(utf8(batch.column("text"))):
-            raw = b"".join(map(words.__getitem__, text.split())) + end
+        split = [text.split() for text in utf8(batch.column("text"))]
+        words.learn({word for found in split for word in found if word not in words})
+        for row, found in enumerate(split):
+            raw = b"".join(map(words.__getitem__, found)) + end
             n = len(raw) // 4
             for piece, start in enumerate(range(0, n, size)):
                 rows.append(row)
