@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 U64 = np.uint64
@@ -47,11 +48,21 @@ def strings(column) -> list[str]:
 
 
 def worker_state(name: str, make: Callable):
-    """What a Python worker keeps from task to task, e.g. a loaded vocabulary."""
+    """What a Python worker keeps from task to task of one stage, e.g. a loaded vocabulary.
+
+    Workers outlive stages: at the first use in another stage, what earlier ones kept is let go,
+    so that a worker holds no more than its present stage needs.
+    """
     kept = sys.modules.setdefault("_snipquarry_worker_state", types.ModuleType("_snipquarry_worker_state"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    states = vars(kept).setdefault("states", {})
+    if vars(kept).get("stage", stage) != stage:
+        states.clear()
+    kept.stage = stage
+    if name not in states:
+        states[name] = make()
+    return states[name]
 
 
 class WordHashes(dict):

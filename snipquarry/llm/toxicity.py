@@ -137,7 +137,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
                 if toxic is not None:
                     counters[1 if toxic else 2].update(w)
                     documents[1 if toxic else 2] += 1
-                if len(counters[0]) > 1_000_000:
+                if len(counters[0]) > 200_000:
                     yield rows(counters)
                     counters = [Counter(), Counter(), Counter()]
         if counters[0]:

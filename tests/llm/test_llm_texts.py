@@ -326,3 +326,15 @@ def test_long_texts_are_cut_into_segments(monkeypatch):
         return {int(at - x) : int(at) for at, l1, l2 in zip(found[1], found[2], found[3]) for x in range(l1, l2 + 1)}
 
     assert windows(whole) == windows(cut) and len(windows(cut)) == 4901
+
+
+def test_lines_with_a_filter_that_is_far_too_small(spark, monkeypatch):
+    """A full filter lets all rows through to the shuffle; what is kept stays the same."""
+    from snipquarry.plans import keys
+
+    rng = np.random.default_rng(8)
+    hot = "This line stands in very many of the documents, over and over"
+    rows = [(i, "\n".join([prose(rng, 9), hot if i % 3 else prose(rng, 12), f"{hot} {i % 7}"])) for i in range(80)]
+    want = Counter(tuple(r) for r in line_dedup.dedup_lines(table(spark, rows)).collect())
+    monkeypatch.setattr(keys, "ID_BITS", 1e-9)
+    assert Counter(tuple(r) for r in line_dedup.dedup_lines(table(spark, rows)).collect()) == want
