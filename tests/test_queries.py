@@ -6,16 +6,13 @@ from oracle import differences
 
 import __spark_entry__ as entries
 
-NO_SQL = {"ivf_trained_recall"}
-
-
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_same_as_sql(spark, name):
     assert differences(spark, entries.queries()[name], entries.oracle_sql()[name], SMALL) is None
 
 
 def test_names():
-    assert set(entries.ORACLES) | NO_SQL == set(entries.QUERIES)
+    assert set(entries.ORACLES) == set(entries.QUERIES)
 
 
 def test_entry(spark):
@@ -23,7 +20,3 @@ def test_entry(spark):
     assert rows.columns == ["query_id", "rank", "id", "file_path", "language", "content_md5", "score"]
     assert rows.count() > 0
 
-
-def test_trained_cells_find_most(spark):
-    row = entries.queries()["ivf_trained_recall"](spark, SMALL).first()
-    assert row.recall > 0.6
