@@ -1,13 +1,16 @@
 """Result cache as a table of (key, value, written_at, expires_at)."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from snipquarry import settings
 from snipquarry.functions import keys
-from snipquarry.plans.scratch import scratch_dir
+from snipquarry.plans.scratch import scratch_dir, written
 from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.sources.store import Store
 
 JSON_OPTIONS = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
 
@@ -48,6 +51,44 @@ def lookup(requests: DataFrame, cache: DataFrame, spread: list[str], ts="request
     return salted_join(requests, cache, ["key"], spread, "left", condition=live)
 
 
+# --- as a table of a store: one row a key, so that no reader goes through the log of all writes
+
+
+def write_stored(store: Store, rows: DataFrame, table="cache") -> None:
+    """Write entries; of each key the last write stays, whether it is among them or stored before.
+
+    Files are sorted by key and carry Bloom filters of it.  `Store.compact` merges the folders of many
+    writes by size; what they replaced goes then.
+    """
+    with store.change() as change:
+        if table in change.tables:
+            before = store.read(table, change.version - 1).join(rows.select("key").distinct(), "key", "left_semi")
+            rows = rows.unionByName(before.select(*rows.columns))
+        rows = written(current(rows), "entries")
+        change.replace(table, rows, rows.select("key"), order=["key"], find_by=["key"])
+
+
+def delete_stored(store: Store, removed: DataFrame, table="cache") -> None:
+    """Remove the listed keys (key); only they are written."""
+    with store.change() as change:
+        change.remove(table, removed.select("key"))
+
+
+def matching(rows: DataFrame, pattern: str) -> DataFrame:
+    """Rows whose key matches a pattern; of sorted files only those are read that hold its literal beginning."""
+    literal = re.match(r"(?:[^*?\[\\]|\\.)*", pattern, re.S).group()
+    literal = re.sub(r"\\(.)", r"\1", literal, flags=re.S)
+    if literal:
+        rows = rows.filter(F.col("key").startswith(literal))
+    return rows.filter(keys.matches(F.col("key"), pattern))
+
+
+def clear_stored(store: Store, pattern: str, table="cache") -> None:
+    """Remove the entries whose key matches a pattern; only their keys are written."""
+    if table in store.tables():
+        delete_stored(store, written(matching(store.read(table), pattern).select("key"), "cleared"), table)
+
+
 def delete(cache: DataFrame, removed: DataFrame) -> DataFrame:
     """Entries whose key is not listed in `removed` (key)."""
     return cache.join(removed.select("key").distinct(), "key", "left_anti")

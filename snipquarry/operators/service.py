@@ -2,12 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from snipquarry import settings
+from snipquarry import schemas, settings
 from snipquarry.functions import keys
-from snipquarry.operators import cache as store, inference
+from snipquarry.operators import cache as entries_cache, inference
 from snipquarry.operators.search import RESULT_FIELDS, responses, scoped_topk, with_snippets
 from snipquarry.plans.scratch import written
-from snipquarry.plans.skew import salted_join
+from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.sources.store import Store
 
 
 def results_type(snippets: DataFrame) -> T.ArrayType:
@@ -55,11 +56,11 @@ def retrieve(
     key = keys.search_key(F.col("query"), F.col("repo_id"), F.col("k") if include_k else None)
     answer = T.StructType().add("results", results_type(snippets)).add("count", T.LongType())
     asked = requests.withColumn("key", key)
-    looked_up = store.lookup(asked, cache, ts="requested_at", spread=["query_id"])
+    looked_up = entries_cache.lookup(asked, cache, ts="requested_at", spread=["query_id"])
     looked_up = written(looked_up.select(*asked.columns, "value"), "lookups")
 
     missed = looked_up.filter("value IS NULL").drop("value")
-    replayed = store.ttl_replay(missed, ttl, ts="requested_at", id="query_id").withColumnRenamed("id", "query_id")
+    replayed = entries_cache.ttl_replay(missed, ttl, ts="requested_at", id="query_id").withColumnRenamed("id", "query_id")
     marked = written(missed.join(replayed, "query_id"), "misses")
     first = marked.filter("NOT hit").drop("hit")
     queries = first.withColumn("embedding", provider(F.col("query")))
@@ -67,11 +68,11 @@ def retrieve(
     found = with_snippets(scoped_topk(queries, vectors, **options), snippets)
     searched = written(responses(first, found), "responses")
 
-    entries = store.search_entries(
+    entries = entries_cache.search_entries(
         searched.withColumn("written_at", F.col("requested_at")), "written_at", ttl, include_k
     )
     hits = looked_up.filter("value IS NOT NULL").select(
-        "query_id", "query", store.from_value(F.col("value"), answer).alias("_a"), F.lit(True).alias("cached")
+        "query_id", "query", entries_cache.from_value(F.col("value"), answer).alias("_a"), F.lit(True).alias("cached")
     ).select("query_id", "query", "_a.results", "_a.count", "cached")
     asked_of = _answered_by(marked, ttl, "query_id", ["query"])
     by_first = searched.select(F.col("query_id").alias("_first"), "results", F.col("count").cast("long"))
@@ -97,13 +98,13 @@ def suggest(
     ids = snippets.select(F.col("id").alias("snippet_id"))
     asked = salted_join(written(valid, "valid"), ids, ["snippet_id"], ["request_id"], "left_semi").withColumn("key", key)
     answer = "suggested_fix string, model_confidence double"
-    looked_up = store.lookup(written(asked, "asked"), cache, ts="requested_at", spread=["request_id"])
+    looked_up = entries_cache.lookup(written(asked, "asked"), cache, ts="requested_at", spread=["request_id"])
     looked_up = written(looked_up.select(*asked.columns, "value"), "lookups")
-    value = store.from_value(F.col("value"), answer)
+    value = entries_cache.from_value(F.col("value"), answer)
     hits = looked_up.filter("value IS NOT NULL").select("request_id", value["suggested_fix"].alias("suggested_fix"), F.lit(True).alias("cached"))
 
     missed = looked_up.filter("value IS NULL").drop("value")
-    replayed = store.ttl_replay(missed, ttl, ts="requested_at", id="request_id").withColumnRenamed("id", "request_id")
+    replayed = entries_cache.ttl_replay(missed, ttl, ts="requested_at", id="request_id").withColumnRenamed("id", "request_id")
     marked = written(missed.join(replayed, "request_id"), "misses")
     prompts = inference.fix_prompts(marked.filter("NOT hit"), snippets)
     generated = written(inference.generate(prompts, provider), "generated")
@@ -113,8 +114,26 @@ def suggest(
         F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("created_at"),
     )
     new = generated.select("key", F.col("generated_text").alias("suggested_fix"), F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("written_at"))
-    entries = store.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
+    entries = entries_cache.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
     asked_of = _answered_by(marked, ttl, "request_id", [])
     by_first = generated.select(F.col("request_id").alias("_first"), F.col("generated_text").alias("suggested_fix"))
     fresh = salted_join(asked_of, by_first, ["_first"], ["request_id"]).select("request_id", "suggested_fix", F.col("hit").alias("cached"))
     return hits.unionByName(fresh), records, entries
+
+
+def suggest_stored(store: Store, requests: DataFrame, snippets: DataFrame, **options) -> DataFrame:
+    """Answers to suggestion requests from the entries in the table cache of a store, see `suggest`.
+
+    New records go to the table suggestion_requests and new entries to the cache, in one commit; a
+    record that is there already is replaced.
+    """
+    with store.change() as change:
+        held = "cache" in change.tables
+        cache = store.read("cache", change.version - 1) if held else requests.sparkSession.createDataFrame([], schemas.CACHE)
+        answers, records, entries = suggest(requests, snippets, cache, **options)
+        answers = written(answers, "answers")
+        records = written(schemas.conform(first_per_key(records, ["id"], ["created_at"], last=True), schemas.SUGGESTION_REQUESTS), "records")
+        last = written(entries_cache.current(entries), "entries")
+        change.replace("suggestion_requests", records, records.select("id"), order=["id"], find_by=["id"])
+        change.replace("cache", last, last.select("key"), order=["key"], find_by=["key"])
+    return answers

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from snipquarry.functions import keys
 from snipquarry.operators import cache, evaluation
+from snipquarry.plans.scratch import scratch_dir
+from snipquarry.sources.store import Store
 from snipquarry.streaming.audit import audit_daily
 from workload.registry import CACHE_LOG, query, views
 
@@ -64,6 +66,40 @@ def cache_lookup(spark, sf):
     return found.select("event_id", "key", value["event_id"].alias("cached_event"))
 
 
+def _stored(v, ttl=None):
+    """A store of the cache, written in four parts that are not in the order of their times, and merged."""
+    store = Store(v.spark, scratch_dir(v.spark, "cache"))
+    log = cache.entries(v.cache_log, ["event_id", "value", "written_at"], ttl=ttl)
+    for part in (2, 0, 3, 1):
+        cache.write_stored(store, log.filter(F.floor(F.unix_timestamp("written_at") / (5 * DAY)) % 4 == part))
+    store.compact("cache", fanout=3)
+    return store
+
+
+@query("cache_current_stored", f"""
+WITH {_current_sql(HOUR)}
+SELECT key, value, written_us, expires_us FROM cache""")
+def cache_current_stored(spark, sf):
+    """The cache as a table of a store: no reader goes through the log."""
+    return _stored(views(spark, sf), ttl=0).read("cache").select(
+        "key", "value", F.unix_micros("written_at").alias("written_us"), F.unix_micros("expires_at").alias("expires_us"),
+    )
+
+
+@query("cache_clear_stored", f"""
+WITH {_current_sql(HOUR)}
+SELECT key, written_us FROM cache
+WHERE key NOT IN (SELECT user_id || ':' || event_type FROM events WHERE event_type = 'error')
+  AND NOT regexp_full_match(key, '1.*:[vc][^x].*.')""")
+def cache_clear_stored(spark, sf):
+    """Listed keys are deleted, and then those of a pattern."""
+    v, store = views(spark, sf), _stored(views(spark, sf))
+    removed = v.events.filter("event_type = 'error'").select(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_type")).alias("key"))
+    cache.delete_stored(store, removed)
+    cache.clear_stored(store, "1*:[vc][!x]*?")
+    return store.read("cache").select("key", F.unix_micros("written_at").alias("written_us"))
+
+
 @query("cache_delete", f"""
 WITH {_current_sql(HOUR)}
 SELECT key, written_us FROM cache WHERE key NOT IN (

@@ -189,6 +189,65 @@ def suggest_uncached(spark, sf):
     return inference.suggest_once(requests, v.snippets, cache).drop("created_at")
 
 
+EVENT_ISSUES = {"view": "lint", "click": "style", "signup": "Security", "purchase": "refactor", "error": "typo"}
+ASKED = f"""asked AS (
+  SELECT event_id, user_id AS snippet_id, epoch_us(ts) AS t, 'event ' || event_id AS issue_description, text,
+         CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_ISSUES.items())} END AS issue_type
+  FROM events JOIN documents ON doc_id = user_id WHERE event_type <> 'error'),
+e AS (SELECT *, row_number() OVER (PARTITION BY snippet_id, issue_type ORDER BY t, event_id) AS rn FROM asked),
+r AS (
+  SELECT snippet_id, issue_type, rn, event_id, t AS a, event_id AS by_event FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.snippet_id, e.issue_type, e.rn, e.event_id, CASE WHEN e.t < r.a + 86400000000 THEN r.a ELSE e.t END,
+         CASE WHEN e.t < r.a + 86400000000 THEN r.by_event ELSE e.event_id END
+  FROM r JOIN e ON e.snippet_id = r.snippet_id AND e.issue_type = r.issue_type AND e.rn = r.rn + 1),
+answered AS (
+  SELECT r.*, e.issue_description, {fenced_sql("'x```' || chr(10) || text || chr(10) || '```'")} AS suggested_fix
+  FROM r JOIN e USING (event_id))"""
+
+
+@query("suggest_service", f"""
+WITH RECURSIVE {ASKED}
+SELECT 'answer' AS kind, event_id::VARCHAR AS id, md5(suggested_fix) AS fix_md5, event_id <> by_event AS cached, a AS at_us
+FROM answered
+UNION ALL
+SELECT 'record', md5('=' || snippet_id || chr(1) || '=' || issue_type || chr(1) || '=' || issue_description), md5(suggested_fix), false, a
+FROM answered WHERE event_id = by_event
+UNION ALL
+SELECT 'entry', 'suggestion:' || snippet_id || ':' || issue_type, md5(max(suggested_fix)), true, max(a) + 86400000000
+FROM answered GROUP BY snippet_id, issue_type""")
+def suggest_service(spark, sf):
+    """Events as requests for suggestions about their user's document, answered in two runs from one
+    store: answers with the time of the request that they were made for, the records, and the cache entries with their end."""
+    from snipquarry.operators import service
+    from snipquarry.operators.cache import from_value
+    from snipquarry.plans.scratch import scratch_dir
+    from snipquarry.sources.store import Store
+
+    v, store = views(spark, sf), Store(spark, scratch_dir(spark, "store"))
+    kind = F.create_map(*[F.lit(x) for pair in EVENT_ISSUES.items() for x in pair])[F.col("event_type")]
+    requests = v.events.select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("snippet_id"), kind.alias("issue_type"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("issue_description"), F.col("ts").cast("timestamp").alias("requested_at"),
+    )
+    half = F.lit("2024-01-16").cast("timestamp")
+    runs = [service.suggest_stored(store, part, v.snippets) for part in (requests.filter(F.col("requested_at") < half), requests.filter(F.col("requested_at") >= half))]
+    us = F.unix_micros
+    given = runs[0].unionByName(runs[1])
+    # A request that was not answered from the cache is the one that the following are answered by.
+    records = store.read("suggestion_requests").select("id", "snippet_id", "issue_type", "suggested_fix", "created_at")
+    made = requests.select("request_id", F.col("snippet_id").cast("string").alias("snippet_id"), "issue_type", "requested_at")
+    near = given.join(made, "request_id").join(records.select("snippet_id", "issue_type", "created_at"), ["snippet_id", "issue_type"])
+    at = near.filter(F.col("created_at") <= F.col("requested_at")).groupBy("request_id", "suggested_fix", "cached").agg(F.max("created_at").alias("at"))
+    entry = from_value(F.col("value"), "suggested_fix string, model_confidence double")["suggested_fix"]
+    parts = [
+        at.select(F.lit("answer").alias("kind"), F.col("request_id").cast("string").alias("id"), F.md5("suggested_fix").alias("fix_md5"), "cached", us("at").alias("at_us")),
+        records.select(F.lit("record").alias("kind"), "id", F.md5("suggested_fix").alias("fix_md5"), F.lit(False).alias("cached"), us("created_at").alias("at_us")),
+        store.read("cache").select(F.lit("entry").alias("kind"), F.col("key").alias("id"), F.md5(entry).alias("fix_md5"), F.lit(True).alias("cached"), us("expires_at").alias("at_us")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("acceptance_rate", f"""
 WITH {SUGGESTION_REQUESTS.replace('FROM labels', ', quality FROM labels')}
 SELECT issue_type, count(*) AS n, round(avg(quality::DOUBLE), 6) AS acceptance_rate

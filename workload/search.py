@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from snipquarry import schemas
 from snipquarry.operators import cache, cells, evaluation, inference, search, service
 from snipquarry.plans.scratch import written
 from workload.registry import SNIPPET_VECTORS, query, views
@@ -304,6 +305,43 @@ def retrieve_cached(spark, sf):
     return answered.select("query_id", F.col("count").cast("long"), F.coalesce(ids, F.lit("")).alias("ids"), "cached")
 
 
+# A user asks the first turn of the conversation of the same number again and again, or the type of the event without one.
+QUESTIONS = """questions AS (
+  SELECT event_id, epoch_us(ts) AS t, coalesce(c.text, event_type) AS question
+  FROM events LEFT JOIN conversations c ON c.conv_id = user_id AND c.turn = 0 AND c.role = 'user')"""
+
+
+@query("retrieve_cached_events", f"""
+WITH RECURSIVE {QUESTIONS},
+texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'q', min(event_id), question FROM questions GROUP BY question),
+{HASHED},
+pairs AS (SELECT a.text AS question, b.id, {DIST} AS distance FROM hashed a, hashed b WHERE a.kind = 'q' AND b.kind = 'd'),
+hits AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY distance, id) AS rank FROM pairs QUALIFY rank <= 5),
+found AS (SELECT question, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY rank) AS ids FROM hits GROUP BY question),
+e AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY t, event_id) AS rn FROM questions),
+r AS (
+  SELECT question, rn, event_id, t AS a, false AS cached FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.question, e.rn, e.event_id, CASE WHEN e.t < r.a + 3600000000 THEN r.a ELSE e.t END, e.t < r.a + 3600000000
+  FROM r JOIN e ON e.question = r.question AND e.rn = r.rn + 1)
+SELECT event_id AS query_id, n AS "count", ids, cached FROM r JOIN found USING (question)""")
+def retrieve_cached_events(spark, sf):
+    """Events as search requests at their own times, so that answers end with their hour to live."""
+    v = views(spark, sf)
+    first = v.conversations.filter("turn = 0 AND role = 'user'").select(F.col("conv_id").alias("user_id"), F.col("text").alias("_text"))
+    asked = v.events.join(first, "user_id", "left").select(
+        F.col("event_id").alias("query_id"), F.coalesce("_text", "event_type").alias("query"), F.lit(5).alias("k"),
+        F.lit(None).cast("string").alias("repo_id"), F.col("ts").cast("timestamp").alias("requested_at"),
+    )
+    provider = inference.hash_provider(dim=64)
+    vectors = inference.embed(v.snippets.select("id", "content"), provider, "content").select("id", "embedding")
+    answered, _ = service.retrieve(asked, spark.createDataFrame([], schemas.CACHE), vectors, v.snippets, provider)
+    ids = F.array_join(F.transform("results", lambda r: r.id.cast("string")), ",")
+    return answered.select("query_id", F.col("count").cast("long"), F.coalesce(ids, F.lit("")).alias("ids"), "cached")
+
+
 @query("search_text", f"""
 WITH {TEXT_SEARCH}
 SELECT query_id, rank, id, round(1 / (1 + distance), 6) AS score FROM hits""")
