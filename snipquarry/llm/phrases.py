@@ -1,5 +1,6 @@
 """Phrase collocations by dynamic itemset counting over shards of the texts."""
 
+import functools
 import itertools
 
 import numpy as np
@@ -209,22 +210,25 @@ def _scan(shard: DataFrame, single: bool, filters: dict, longest: int) -> DataFr
     return found.groupBy("size", *words).agg(F.sum("n").alias("n"))
 
 
-def _frequent(tables: list[DataFrame], size: int, threshold: int, most: int) -> DataFrame:
-    """(w1, ..., n): phrases of a length whose counts over the tables add up to the threshold.
+def _of_size(tables: list[DataFrame], size: int) -> DataFrame:
+    """(w1, ..., n): the rows of phrases of one length in tables of counts."""
+    rows = [t.filter(F.col("size") == size).select(*[f"w{i + 1}" for i in range(size)], "n") for t in tables]
+    return functools.reduce(DataFrame.unionByName, rows)
 
-    A phrase is in at most `most` of the tables, so one of them has its share of the threshold:
-    rows of phrases that nowhere have so much are left out before they are brought together.
+
+def _summed(rows: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
+    """(w1, ..., n): the sums of `rows` for phrases that are in `wanted` (w1, ...) and reach the threshold.
+
+    Rows of nearly all other phrases are left out before any are brought together.
     """
-    words = [f"w{i + 1}" for i in range(size)]
-    rows = [t.filter(F.col("size") == size).select(*words, "n") for t in tables]
-    if len(rows) == 1:
-        return rows[0].filter(F.col("n") >= threshold)
-    every = rows[0]
-    for more in rows[1:]:
-        every = every.unionByName(more)
-    strong = every.filter(F.col("n") >= -(-threshold // most)).select(*words)
-    likely = marked_likely(every, strong, words, "_likely").filter("_likely")
-    return likely.groupBy(*words).agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
+    likely = marked_likely(rows, wanted, wanted.columns, "_likely").filter("_likely")
+    return likely.groupBy(*wanted.columns).agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold)
+
+
+def _strong(rows: DataFrame, threshold: int, most: int) -> DataFrame:
+    """(w1, ...): phrases that may reach the threshold: each is in at most `most` tables, so one of them
+    has its share of it."""
+    return rows.filter(F.col("n") >= -(-threshold // most)).drop("n")
 
 
 def _added(old: np.ndarray, reached: DataFrame, size: int) -> np.ndarray:
@@ -266,7 +270,8 @@ def frequent_phrases(stored: DataFrame, threshold: int, longest: int, shards: in
     filters = {size: [] for size in range(2, longest + 1)}
     words = {size: None for size in filters}
     changed = {size: None for size in filters}
-    tables = []
+    # By length: stored phrases that have reached the threshold, and the step that first counted any.
+    reached, began, tables = {part: [] for part in range(1, longest)}, {1: 0}, []
     for step in itertools.count():
         for size, history in filters.items():
             if words[size] is not None and changed[size] == step:
@@ -280,24 +285,42 @@ def frequent_phrases(stored: DataFrame, threshold: int, longest: int, shards: in
         }
         if step >= shards and not active:
             break
+        for size in active:
+            began.setdefault(size, step)
         shard = stored.filter(F.col("shard") == step % shards)
         path = scratch_dir(spark, "counted")
-        found = _scan(shard, step < shards, active, longest)
-        found.write.partitionBy("size").parquet(path)
-        tables.append(spark.read.schema(found.schema).parquet(path))
+        counted = _scan(shard, step < shards, active, longest)
+        counted.write.partitionBy("size").parquet(path)
+        tables.append(spark.read.schema(counted.schema).parquet(path))
         for part in range(1, longest):
             if part in active or part == 1 and step < shards:
                 # What is active now was first counted less than a cycle ago.
-                reached, n = written_rows(_frequent(tables[max(0, step + 1 - shards):], part, threshold, shards), "reached")
+                rows = _of_size(tables[max(0, step + 1 - shards):], part)
+                # After a cycle only few are still counted, and only these can get there.
+                late = step >= began[part] + shards
+                maybe = _of_size(tables[-1:], part).drop("n") if late else _strong(rows, threshold, shards)
+                for done in reached[part]:
+                    maybe = maybe.join(done, done.columns, "left_anti")
+                found = _summed(rows, written(maybe, "maybe"), threshold).drop("n")
+                found, n = written_rows(found, "reached")
+                reached[part].append(found)
                 if not n:
                     continue
                 old = words[part + 1]
                 if old is None:
                     old = np.zeros(max(1, (1 << (min(PHRASE_BITS * n, filter_bits) - 1).bit_length()) >> 6), U64)
-                new = _added(old, reached, part)
+                new = _added(old, found, part)
                 if not np.array_equal(new, old):
                     words[part + 1], changed[part + 1] = new, step + 1
-    out = {size: written(_frequent(tables, size, threshold, shards), "frequent") for size in range(1, longest + 1)}
+    out = {}
+    for size in range(1, longest + 1):
+        rows = _of_size(tables, size)
+        if size < longest:
+            # Whatever is frequent has reached the threshold when its cycle ended, if not before.
+            wanted = functools.reduce(DataFrame.unionByName, reached[size]) if reached[size] else rows.limit(0).drop("n")
+        else:
+            wanted = written(_strong(rows, threshold, shards), "maybe")
+        out[size] = written(_summed(rows, wanted, threshold), "frequent")
     for history in filters.values():
         for copied in history:
             if copied is not None:
