@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds, calibrated by extreme values."""
 
 import math
-from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ BUCKETS = sum(n for _, n in KINDS)
 # Weight of the prior against the labelled documents, and by how many standard deviations log-odds
 # must differ from zero to count: many tokens are tried, so chance must be rare.
 PRIOR_SHARE = 0.1
-DEVIATIONS = 3.7
+DEVIATIONS = 3.0
 # And by how much at least, so that the language or the subject of toxic texts is no evidence.
 LEAST_ODDS = 1.5
 DRIFT = 0.1
@@ -110,39 +110,21 @@ def _counts(labelled: DataFrame) -> DataFrame:
     """(bucket, all_n, toxic_n, clean_n): how many of all documents (text, toxic) hold a token of the
     bucket; toxic is NULL where unknown.  Bucket -1 counts the documents themselves.
 
-    A token counts once a document: repetitions in one text are no further evidence.
+    A bucket counts once a document: repetitions in one text are no further evidence.
     """
 
-    def rows(counters):
-        sums = np.zeros((3, BUCKETS), np.int64)
-        known = worker_state("toxicity_buckets", _Buckets)
-        for kind, counter in enumerate(counters):
-            if counter:
-                found = [known[w] for w in counter]
-                each = np.fromiter(counter.values(), np.int64, len(counter))
-                at = np.fromiter((b for f in found for b in f), np.int64)
-                np.add.at(sums[kind], at, np.repeat(each, [*map(len, found)]))
-        used = np.flatnonzero(sums.any(axis=0))
-        return pa.RecordBatch.from_pydict({
-            "bucket": pa.array(used, pa.int64()), "all_n": sums[0, used], "toxic_n": sums[1, used], "clean_n": sums[2, used]
-        })
-
     def run(batches):
-        counters, documents = [Counter(), Counter(), Counter()], [0, 0, 0]
+        known, sums, documents = worker_state("toxicity_buckets", _Buckets), np.zeros((3, BUCKETS), np.int64), [0, 0, 0]
         for batch in batches:
             for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist()):
-                w = set(words(text))
-                counters[0].update(w)
-                documents[0] += 1
-                if toxic is not None:
-                    counters[1 if toxic else 2].update(w)
-                    documents[1 if toxic else 2] += 1
-                if len(counters[0]) > 200_000:
-                    yield rows(counters)
-                    counters = [Counter(), Counter(), Counter()]
-        if counters[0]:
-            yield rows(counters)
+                # Words may share a bucket, e.g. by their first characters: it counts once.
+                held = list(set(chain.from_iterable(map(known.__getitem__, set(words(text))))))
+                for kind in (0,) if toxic is None else (0, 1 if toxic else 2):
+                    sums[kind, held] += 1
+                    documents[kind] += 1
+        used = np.flatnonzero(sums.any(axis=0))
         names = ("all_n", "toxic_n", "clean_n")
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int64())} | {c: sums[i, used] for i, c in enumerate(names)})
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int64())} | {c: pa.array([n], pa.int64()) for c, n in zip(names, documents)})
 
     made = labelled.select("text", "toxic").mapInArrow(run, "bucket bigint, all_n bigint, toxic_n bigint, clean_n bigint")
@@ -160,7 +142,6 @@ def _evidence(counts: pa.Table) -> np.ndarray:
     strength = PRIOR_SHARE * (documents[1] + documents[2])
     share = held[0] / max(documents[0], 1)
     prior = np.maximum(strength * share, 1e-6)
-    # Two tokens of a bucket may count for one document.
     odds = [np.log((held[i] + prior) / np.maximum(documents[i] - held[i] + strength - prior, 0.5)) for i in (1, 2)]
     gap = odds[0] - odds[1]
     spread = np.sqrt(1 / (held[1] + prior) + 1 / (held[2] + prior))

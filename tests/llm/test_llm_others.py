@@ -175,3 +175,48 @@ def test_large_components_use_whole_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = topk.topk(df.filter("vec_id = 0"), df, k=2).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 2 ** 62 + 3 * 2 ** 16), (2, 2, 2 ** 62 + 2 * 2 ** 16)]
+
+
+def test_a_bucket_counts_once_a_document(spark):
+    # Words of one beginning share a bucket.
+    rows = [("toxicity toxic toxicant toxicology toxins", 1), ("plain text", 0), ("toxicology", None)]
+    counts = {r.bucket: r for r in toxicity._counts(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    shared = [b for b in toxicity.buckets_of(b"toxicology") if b in toxicity.buckets_of(b"toxicant")]
+    assert shared and all((counts[b].all_n, counts[b].toxic_n, counts[b].clean_n) == (2, 1, 0) for b in shared)
+    assert (counts[-1].all_n, counts[-1].toxic_n, counts[-1].clean_n) == (3, 1, 1)
+
+
+def _area(scores, labels):
+    values, place = np.unique(scores, return_inverse=True)
+    n = np.bincount(place)
+    rank = (np.cumsum(n) - (n - 1) / 2)[place]
+    many = labels.sum()
+    return (rank[labels == 1].sum() - many * (many + 1) / 2) / (many * (len(labels) - many))
+
+
+def test_held_out_quality(spark):
+    """On held-out rows of a given table: at least as good as the largest log-odds of a word."""
+    from collections import Counter
+
+    from snipquarry.llm.decontaminate import words
+    from snipquarry.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    texts = {r.doc_id: set(words((r.text or "").encode())) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.doc_id in labels}
+    found = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, folder).collect()}
+    held = [d for d in texts if found[d].held_out]
+    seen = [Counter(), Counter()]
+    for d in texts:
+        if not found[d].held_out:
+            seen[labels[d]].update(texts[d])
+    odds = {w: math.log((n + 0.5) / (seen[0][w] + 0.5)) for w, n in seen[1].items()}
+    y = np.array([labels[d] for d in held])
+    plain = _area(np.array([max((odds.get(w, 0) for w in texts[d]), default=0) for d in held]), y)
+    own = _area(np.array([found[d].score for d in held]), y)
+    assert own >= plain > 0.9
+    sure = {w for w, n in seen[1].items() if n >= 50 and not seen[0][w]}
+    with_sure = [d for d in held if texts[d] & sure]
+    assert len(with_sure) > 40 and sum(found[d].predicted for d in with_sure) >= 0.95 * len(with_sure)
+    called = np.array([found[d].predicted for d in held])
+    assert called[y == 1].mean() > 0.85 and called[y == 0].mean() < 0.015
