@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from snipquarry import settings
 from snipquarry.functions import keys, paths
-from snipquarry.plans.scratch import written
+from snipquarry.plans.scratch import scratch_dir, written
 from snipquarry.plans.skew import first_per_key, salted_join
 from snipquarry.sources.store import Store
 
@@ -86,6 +86,33 @@ def page(df: DataFrame, skip=settings.PAGE_SKIP, limit=settings.PAGE_LIMIT, orde
     return df.orderBy(*order).offset(skip).limit(limit).withColumn("total", total.scalar())
 
 
+class Pages:
+    """A table stored in ranges of an order, with how many rows each has: a page reads the ranges that it lies in.
+
+    Rows are cut by the whole order, so that many of one time do not have to be in one range.
+    """
+
+    def __init__(self, df: DataFrame, order=("created_at", "id"), parts=64):
+        spark, self.order, path = df.sparkSession, list(order), scratch_dir(df.sparkSession, "pages")
+        ranged = df.repartitionByRange(parts, *self.order).withColumn("_part", F.spark_partition_id())
+        ranged.write.partitionBy("_part").parquet(path)
+        self.rows = spark.read.schema(ranged.schema).parquet(path)
+        # One row a range.
+        counts = {r["_part"]: r["n"] for r in self.rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.counts = [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
+
+    def page(self, skip=settings.PAGE_SKIP, limit=settings.PAGE_LIMIT) -> DataFrame:
+        """Rows `skip` to `skip + limit` of the order, and with every row of them the table's `total`."""
+        before, first, wanted = 0, None, []
+        for part, n in enumerate(self.counts):
+            if before < skip + limit and before + n > skip:
+                first = before if first is None else first
+                wanted.append(part)
+            before += n
+        rows = self.rows.filter(F.col("_part").isin(wanted)).drop("_part")
+        return rows.orderBy(*self.order).offset(skip - (first or 0) if wanted else 0).limit(limit).withColumn("total", F.lit(before).cast("long"))
+
+
 LISTING = ["id", "name", "url", "project", "status", "last_indexed", "created_at"]
 
 

@@ -150,3 +150,22 @@ def test_cached_retrieval(spark):
     assert service.retrieve(expired, stored, vectors, snippets, provider)[1].count() == 3
     apart, _ = service.retrieve(asked, nothing, vectors, snippets, provider, include_k=True)
     assert {r.query_id: r["count"] for r in apart.collect()} == {1: 2, 2: 5, 3: 2, 4: 1}
+
+
+def test_pages_read_their_own_range(spark):
+    # A third of the rows have one time.
+    rows = spark.range(3000).select(
+        F.md5(F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 37 % 1009).alias("created_at")
+    )
+    pages, want = repositories.Pages(rows, parts=20), [tuple(r) for r in rows.orderBy("created_at", "id").collect()]
+    assert sum(pages.counts) == 3000 and max(pages.counts) < 600
+    for skip, limit in ((0, 5), (2700, 20), (2990, 50), (5000, 3), (140, 400), (10, 0)):
+        page = pages.page(skip, limit)
+        assert [(r.id, r.created_at) for r in page.collect()] == want[skip:skip + limit]
+        assert all(r.total == 3000 for r in page.collect())
+    read = pages.page(2700, 20).inputFiles()
+    assert len({f.split("_part=")[1].split("/")[0] for f in read}) <= 20
+    plan = pages.page(2700, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and plan.split("PartitionFilters: [")[1].split("]")[0].count(",") <= 2
+    nothing = repositories.Pages(rows.limit(0))
+    assert nothing.page(0, 10).count() == 0

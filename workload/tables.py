@@ -53,6 +53,20 @@ def list_repositories(spark, sf):
     )
 
 
+@query("list_repositories_deep", f"""
+WITH {REPOSITORIES}
+SELECT id, name, url, project, 'pending' AS status, -1::BIGINT AS last_indexed_us, created_us,
+       (SELECT count(*) FROM repositories) AS total
+FROM repositories ORDER BY created_us, id LIMIT 20 OFFSET (SELECT count(*) * 9 // 10 FROM repositories)""")
+def list_repositories_deep(spark, sf):
+    """A page nine tenths down, of which only its own range of the table is read and sorted."""
+    pages = repositories.Pages(_registered(views(spark, sf)).select(*repositories.LISTING), parts=16)
+    return pages.page(sum(pages.counts) * 9 // 10, 20).select(
+        "id", "name", "url", "project", "status", F.coalesce(F.unix_micros("last_indexed"), F.lit(-1)).cast("long").alias("last_indexed_us"),
+        F.unix_micros("created_at").alias("created_us"), "total",
+    )
+
+
 @query("unique_violations", """
 SELECT md5(text) AS embedding_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def unique_violations(spark, sf):
