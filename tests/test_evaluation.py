@@ -1,5 +1,7 @@
 """Quality figures on small tables with known results."""
 
+import bisect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,16 @@ def test_job_figures(spark):
     row = evaluation.job_stats(jobs).first()
     assert (row.n_jobs, row.n_completed, row.avg_seconds, row.median_seconds) == (4, 2, 3.0, 2.0)
     assert [r.status for r in repositories.invalid_status(jobs).collect()] == ["lost"]
+
+
+def test_merged_sketches_are_near_the_exact_quantiles(spark):
+    # A third of the values are one.
+    log = spark.range(30_000).select((F.col("id") % 17).alias("day"), F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id")).alias("v"))
+    log = log.unionByName(spark.range(50).select(F.col("id").alias("day"), F.lit(None).cast("long").alias("v")))
+    sketches = evaluation.quantile_sketches(log, "v", ["day"])
+    assert sketches.count() == 17
+    values = sorted(r.v for r in log.filter("v IS NOT NULL").collect())
+    for r in evaluation.merged_quantiles(sketches, [0, 0.1, 0.5, 0.95, 1]).collect():
+        assert r.n == 30_000
+        below, to = bisect.bisect_left(values, r.value), bisect.bisect_right(values, r.value)
+        assert below / 30_000 - 0.03 <= r["rank"] <= to / 30_000 + 0.03

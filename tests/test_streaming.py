@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from snipquarry.operators import cache, indexing
+from snipquarry.sources.store import Store
 from snipquarry.sources.streams import read_stream
 from snipquarry.streaming import audit, indexing as stream_indexing, ttl
 
@@ -74,3 +75,24 @@ def test_late_entries_count(spark, tmp_path):
     audit.audit_daily(source).writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start().awaitTermination()
     last = spark.table("late").groupBy("day", "action").agg(F.max("n").alias("n"))
     assert {tuple(r) for r in last.collect()} == {tuple(r) for r in audit.audit_daily(log).collect()}
+
+
+def test_late_entries_are_kept_apart(spark, tmp_path):
+    source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    schema = "ts timestamp, action string"
+
+    def part(*hours):
+        rows = spark.createDataFrame([(h, a) for h in hours for a in ("x", None)], "h int, action string")
+        rows.select(F.timestamp_seconds(F.col("h") * 3600).alias("ts"), "action").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        audit.audit_stream(stream, store, str(tmp_path / "state")).awaitTermination()
+        log = spark.read.schema(schema).parquet(source)
+        assert sorted(map(str, audit.audit_counts(store).collect())) == sorted(map(str, audit.audit_daily(log).collect()))
+        return {t: store.read(t).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for t in (audit.CLOSED, audit.OPEN, audit.LATE)}
+
+    assert part(1, 2, 30) == {audit.CLOSED: 0, audit.OPEN: 6, audit.LATE: 0}
+    assert part(3, 80) == {audit.CLOSED: 8, audit.OPEN: 2, audit.LATE: 0}
+    closed = sorted(map(str, store.read(audit.CLOSED).collect()))
+    assert part(4, 31, 81) == {audit.CLOSED: 8, audit.OPEN: 4, audit.LATE: 4}
+    assert sorted(map(str, store.read(audit.CLOSED).collect())) == closed
+    assert part(500) == {audit.CLOSED: 12, audit.OPEN: 2, audit.LATE: 4}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from snipquarry.functions import keys
 from snipquarry.operators import cache, evaluation
-from snipquarry.plans.scratch import scratch_dir
+from snipquarry.plans.scratch import scratch_dir, written
 from snipquarry.sources.store import Store
 from snipquarry.streaming.audit import audit_daily
 from workload.registry import CACHE_LOG, query, views
@@ -186,6 +186,21 @@ def batch_size_histogram(spark, sf):
     return buckets.select(F.col("bucket").cast("long"), "n")
 
 
+@query("quantile_sketches", """
+SELECT event_type, rank::DOUBLE AS rank, count(*) AS n, true AS near
+FROM events, (SELECT unnest([0.01, 0.25, 0.5, 0.9, 0.99]) AS rank) WHERE value IS NOT NULL GROUP BY ALL""")
+def quantile_sketches(spark, sf):
+    """Quantiles from a stored sketch for each day and type; each is at its rank, give or take 3 %, among all values."""
+    events = views(spark, sf).events.withColumn("day", F.to_date("ts"))
+    sketches = written(evaluation.quantile_sketches(events, "value", ["event_type", "day"]), "sketches")
+    found = evaluation.merged_quantiles(sketches, [0.01, 0.25, 0.5, 0.9, 0.99], ["event_type"])
+    value, at = F.col("events.value"), F.col("found.value")
+    joined = events.filter("value IS NOT NULL").alias("events").join(F.broadcast(found.alias("found")), "event_type")
+    ranks = joined.groupBy("event_type", "rank", F.col("found.n").alias("n")).agg(
+        F.avg((value < at).cast("int")).alias("below"), F.avg((value <= at).cast("int")).alias("to"))
+    return ranks.select("event_type", "rank", "n", ((F.col("below") - 0.03 <= F.col("rank")) & (F.col("to") + 0.03 >= F.col("rank"))).alias("near"))
+
+
 @query("audit_daily", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def audit_per_day(spark, sf):
