@@ -295,13 +295,17 @@ def frequent_phrases(stored: DataFrame, threshold: int, longest: int, shards: in
         for part in range(1, longest):
             if part in active or part == 1 and step < shards:
                 # What is active now was first counted less than a cycle ago.
-                rows = _of_size(tables[max(0, step + 1 - shards):], part)
-                # After a cycle only few are still counted, and only these can get there.
-                late = step >= began[part] + shards
-                maybe = _of_size(tables[-1:], part).drop("n") if late else _strong(rows, threshold, shards)
-                for done in reached[part]:
-                    maybe = maybe.join(done, done.columns, "left_anti")
-                found = _summed(rows, written(maybe, "maybe"), threshold).drop("n")
+                window = tables[max(began[part], step + 1 - shards):]
+                rows = _of_size(window, part)
+                if len(window) == 1:
+                    found = rows.filter(F.col("n") >= threshold).drop("n")
+                else:
+                    # After a cycle only few are still counted, and only these can get there.
+                    late = step >= began[part] + shards
+                    maybe = _of_size(tables[-1:], part).drop("n") if late else _strong(rows, threshold, shards)
+                    for done in reached[part]:
+                        maybe = maybe.join(done, done.columns, "left_anti")
+                    found = _summed(rows, written(maybe, "maybe"), threshold).drop("n")
                 found, n = written_rows(found, "reached")
                 reached[part].append(found)
                 if not n:
