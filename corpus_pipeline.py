@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from snipquarry.llm import decontaminate, jaccard, line_dedup, packing, toxicity
 from snipquarry.plans.keys import marked_likely
-from snipquarry.plans.scratch import written
+from snipquarry.plans.scratch import noted, remove_scratch, written
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -103,12 +103,30 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+_left: list[str] = []
+
+
+def _tidy(stage, last=False):
+    """A stage that first removes the scratch tables of the stage before it, whose rows are stored by then.
+
+    Those of the last stage stay, since its rows are the result.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_scratch(spark, _left)
+        with noted([] if last else _left):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+# Each stage's rows must be stored before the next one is called.
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_lines),
-    ("ngram_jaccard", drop_near_duplicates),
-    ("decontamination", drop_benchmarks),
-    ("packing", pack),
+    ("toxicity", _tidy(drop_toxic)),
+    ("line_dedup", _tidy(drop_lines)),
+    ("ngram_jaccard", _tidy(drop_near_duplicates)),
+    ("decontamination", _tidy(drop_benchmarks)),
+    ("packing", _tidy(pack, last=True)),
 ]
 
 # Learned scores and token ids have no SQL form; the stages are tested one by one.

@@ -1,6 +1,7 @@
 """Shared scratch folders for written intermediate tables and stream checkpoints."""
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -13,7 +14,32 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for folders in _noting:
+        folders.append(path)
+    return path
+
+
+_noting: list[list[str]] = []
+
+
+@contextmanager
+def noted(folders: list[str]):
+    """Add the scratch folders that are named meanwhile to a list, so that `remove_scratch` can remove them
+    when no result is read from them any more."""
+    _noting.append(folders)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def remove_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Remove scratch folders and empty the list."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while folders:
+        path = hadoop.Path(folders.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:

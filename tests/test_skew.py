@@ -105,3 +105,17 @@ def test_the_filter_takes_missing_keys(spark):
     rows = spark.createDataFrame([(None, 1), ("a", None), ("b", 2), (None, None)], "k string, j int")
     got = {(r.k, r.j): r.m for r in keys.marked_likely(rows, ids, ["k", "j"], "m").collect()}
     assert got[None, 1] and got["a", None] and len(got) == 4
+
+
+def test_scratch_tables_are_removed(spark):
+    from snipquarry.plans.scratch import noted, remove_scratch, written
+
+    folders, other = [], written(spark.range(3), "other")
+    with noted(folders):
+        stored = written(spark.range(5), "noted")
+    more = written(spark.range(2), "more")
+    assert len(folders) == 1 and stored.count() == 5
+    remove_scratch(spark, folders)
+    assert folders == [] and other.count() == 3 and more.count() == 2
+    with pytest.raises(Exception):
+        stored.collect()
