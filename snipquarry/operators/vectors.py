@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from snipquarry import settings
 
+# The fields that are stored with a vector.
 FIELDS = [
     "id", "repo_id", "file_path", "language", "function_name", "class_name", "start_line",
     "end_line", "embedding",
