@@ -9,11 +9,14 @@ an ask without is compared with all vectors.  Two ways to run them:
 * many asks: asks and vectors meet in blocks of bounded size.  A large route is cut into
   many blocks on both sides, so no task holds a whole route.
 
-A task compares whole blocks with one matrix product and gives back at most k rows per query
+A task compares blocks by matrix products and gives back at most k rows per query
 and block; query-vector pairs never become rows.  Distances are recomputed by subtraction
 before they are ranked, and equal distances rank by id.
 """
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,9 +31,6 @@ from snipquarry.plans.skew import salted_join
 # Above either bound the asks are not copied to the tasks but meet the vectors in blocks.
 COPY_ROWS = 16_384
 COPY_BYTES = 32 * 1024 * 1024
-# Most bytes of a block on either side, and fewest vectors that are worth a block.
-BLOCK_BYTES = 64 * 1024 * 1024
-BLOCK_ROWS = 1_024
 
 
 def _matrix(column) -> np.ndarray:
@@ -66,39 +66,94 @@ def _first_copies(vectors, order, keep):
     return np.sort(by[place < keep])
 
 
-def _best(queries, k, vectors, order, slice_cells=4_000_000, distinct=False):
-    """(query row, vector row, squared distance) of each query's k nearest vectors.
+# Most bytes of a block of vectors, and fewest vectors that are worth a block.
+BLOCK_BYTES = 64 * 1024 * 1024
+BLOCK_ROWS = 1_024
+# Asks and vectors that are compared by one matrix product.
+ASK_SLICE = 256
+VECTOR_SLICE = 4_096
+
 
-    `order` ranks equal distances.  The product form of the distance only narrows the choice;
-    its rounding error stays within `slack`.  Where many copies of a vector tie, those that
-    k copies precede are left out first.
+def _best(queries, k, vectors, order, bound=None, slice_cells=4_000_000, distinct=False):
+    """(query row, vector row, squared distance) of each query's k nearest vectors, within its squared `bound`.
+
+    `order` ranks equal distances.  Vectors are taken by their length, from that of the queries
+    outwards: lengths differ by no more than the distance, so those further off than the k-th
+    hit so far need no look.  The product form of the distance only narrows the choice; its
+    rounding error stays within `slack`.  Where many copies of a vector tie, those that k copies
+    precede are left out first.
     """
     n = len(vectors)
-    found = []
     _same_width(queries, vectors)
     if n == 0 or len(queries) == 0:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
-    vector_norms = np.einsum("ij,ij->i", vectors, vectors)
-    top = min(int(k.max()), n)
-    step = max(1, slice_cells // n)
-    for start in range(0, len(queries), step):
-        part = queries[start:start + step]
-        norms = np.einsum("ij,ij->i", part, part)
-        rough = norms[:, None] - 2.0 * (part @ vectors.T) + vector_norms[None, :]
-        limit = np.partition(rough, top - 1, axis=1)[:, top - 1]
-        slack = 1e-9 * (1.0 + norms + vector_norms.max())
-        q, v = np.nonzero(rough <= (limit + slack)[:, None])
-        if len(q) > 2 * top * len(part) and not distinct:
-            kept = _first_copies(vectors, order, top)
-            q, v, distance = _best(queries, k, vectors[kept], order[kept], slice_cells, distinct=True)
-            return q, kept[v], distance
-        exact = np.empty(len(q))
-        width = max(1, slice_cells // max(1, vectors.shape[1]))
-        for i in range(0, len(q), width):
-            gap = part[q[i:i + width]] - vectors[v[i:i + width]]
-            exact[i:i + width] = np.einsum("ij,ij->i", gap, gap)
-        found.append(_cut(q + start, v, exact, order[v], k))
-    return tuple(np.concatenate(c) for c in zip(*found))
+    squares, asked = np.einsum("ij,ij->i", vectors, vectors), np.einsum("ij,ij->i", queries, queries)
+    by = np.argsort(squares, kind="stable")
+    rows, squares = vectors[by], squares[by]
+    lengths, own = np.sqrt(squares), np.sqrt(asked)
+    asking = np.argsort(own, kind="stable")
+    asking = asking[np.isfinite(own[asking])]
+    step = max(ASK_SLICE, min(16 * ASK_SLICE, 1_000_000 // n))
+    step = max(1, min(step, slice_cells // min(n, VECTOR_SLICE)))
+    found = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+    for start in range(0, len(asking), step):
+        at = asking[start:start + step]
+        part, norms, length, most = queries[at], asked[at], own[at], k[at]
+        limit = np.full(len(at), np.inf) if bound is None else bound[at]
+        top = min(int(most.max()), n)
+        low = high = int(np.searchsorted(lengths, np.median(length)))
+        width = n if n <= 1_024 else max(ASK_SLICE, 4 * top)
+        q, v, d = found[0]
+        while True:
+            reach = np.sqrt(limit) * (1 + 1e-9) + 1e-6 * (1 + length)
+            least = int(np.searchsorted(lengths, (length - reach).min(), "left"))
+            last = int(np.searchsorted(lengths, (length + reach).max(), "right"))
+            if low <= least and high >= last:
+                break
+            below = high >= last or (low > least and length[0] - lengths[low - 1] < lengths[high] - length[-1])
+            if below:
+                low, until = max(least, low - width), low
+                first = low
+            else:
+                # Lengths in between are skipped when the nearest one in reach is further off.
+                first, until = high, min(last, high + width)
+                high = until
+            width = min(2 * width, max(VECTOR_SLICE, 4 * top))
+            rough = (-2.0 * part) @ rows[first:until].T
+            rough += squares[first:until]
+            slack = 1e-9 * (1.0 + norms + squares[until - 1])
+            near = limit - norms
+            if top <= until - first and not np.isfinite(limit).all():
+                near = np.minimum(near, np.partition(rough, top - 1, axis=1)[:, top - 1])
+            one, other = np.nonzero(rough <= (near + slack)[:, None])
+            if not len(one):
+                continue
+            if len(one) > 16 * top * len(at) and not distinct:
+                kept = _first_copies(vectors, order, int(k.max()))
+                q, v, d = _best(queries, k, vectors[kept], order[kept], bound, slice_cells, distinct=True)
+                return q, kept[v], d
+            exact, many = np.empty(len(one)), max(1, slice_cells // max(1, rows.shape[1]))
+            for i in range(0, len(one), many):
+                gap = part[one[i:i + many]] - rows[first + other[i:i + many]]
+                exact[i:i + many] = np.einsum("ij,ij->i", gap, gap)
+            within = exact <= limit[one]
+            q, v, d = (np.concatenate(c) for c in ((q, one[within]), (v, by[first + other[within]]), (d, exact[within])))
+            q, v, d = _cut(q, v, d, order[v], most)
+            limit = np.minimum(limit, _last(q, d, most))
+        found.append((at[q], v, d))
+    q, v, d = (np.concatenate(c) for c in zip(*found))
+    by_query = np.argsort(q, kind="stable")
+    return q[by_query], v[by_query], d[by_query]
+
+
+def _last(q, distance, k):
+    """Each query's k-th distance in rows sorted by (query, distance); infinite if it has fewer."""
+    ends = np.searchsorted(q, np.arange(len(k)), side="right")
+    held = np.diff(ends, prepend=0)
+    last = np.full(len(k), np.inf)
+    full = (held >= k) & (held > 0)
+    last[full] = distance[ends[full] - 1]
+    return last
 
 
 def _cut(q, v, distance, order, k):
@@ -119,9 +174,48 @@ def _present(rows, column):
 
 
 def _order_of(ids) -> np.ndarray:
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return ids.to_numpy()
     return pc.rank(ids, tiebreaker="first").to_numpy()
 
 
+class _Running:
+    """The best hits so far of asks (matrix, k), while blocks of vectors come one after another."""
+
+    def __init__(self, matrix, k):
+        self.matrix, self.k = matrix, k
+        self.bound = np.full(len(k), np.inf)
+        self.q, self.distance, self.ids = np.empty(0, int), np.empty(0), None
+
+    def near(self, asking, block, order):
+        """What a block adds to the asks of some rows."""
+        if asking is None:
+            return _best(self.matrix, self.k, block, order, self.bound)
+        q, v, d = _best(self.matrix[asking], self.k[asking], block, order, self.bound[asking])
+        return asking[q], v, d
+
+    def add(self, parts, ids):
+        q, v, d = (np.concatenate(c) for c in zip(*parts))
+        if not len(q):
+            return
+        ids = ids.take(pa.array(v, pa.int64()))
+        self.ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        q, d = np.concatenate([self.q, q]), np.concatenate([self.distance, d])
+        self.q, kept, self.distance = _cut(q, np.arange(len(q)), d, _order_of(self.ids), self.k)
+        self.ids = self.ids.take(pa.array(kept, pa.int64()))
+        self.bound = _last(self.q, self.distance, self.k)
+
+    def pairs(self, query_ids):
+        """Batches of the hits."""
+        for i in range(0, len(self.q), PAIR_ROWS):
+            cut = slice(i, i + PAIR_ROWS)
+            ids = self.ids.slice(i, PAIR_ROWS)
+            yield _pairs(query_ids, ids, self.k, self.q[cut], np.arange(len(ids)), self.distance[cut], pa.RecordBatch.from_pydict)
+
+
+PAIR_ROWS = 100_000
+
+
 def _plain(column):
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -162,21 +256,18 @@ def _scan(asks: pa.Table, vectors: DataFrame, schema) -> DataFrame:
 
     def run(batches):
         copied = shared.value
-        matrix, limit, rows_of = copied["matrix"], copied["k"], copied["rows_of"]
+        rows_of = copied["rows_of"]
         everywhere = rows_of.get(None)
-        # Best so far in this partition: query row, distance, id.
-        q_best, d_best, ids = np.empty(0, int), np.empty(0), None
+        best = _Running(copied["matrix"], copied["k"])
         for batch in batches:
             batch = _present(batch, "embedding")
             if batch.num_rows == 0:
                 continue
             block = _matrix(batch.column("embedding"))
-            block_ids = batch.column("id")
-            order = _order_of(block_ids)
+            order = _order_of(batch.column("id"))
             parts = []
             if everywhere is not None:
-                q, v, d = _best(matrix[everywhere], limit[everywhere], block, order)
-                parts.append((everywhere[q], v, d))
+                parts.append(best.near(everywhere, block, order))
             if len(rows_of) > (everywhere is not None):
                 encoded = pc.dictionary_encode(batch.column("route"))
                 codes = encoded.indices.fill_null(-1).to_numpy()
@@ -184,89 +275,164 @@ def _scan(asks: pa.Table, vectors: DataFrame, schema) -> DataFrame:
                     asking = rows_of.get(route)
                     if asking is not None:
                         at = np.flatnonzero(codes == code)
-                        q, v, d = _best(matrix[asking], limit[asking], block[at], order[at])
-                        parts.append((asking[q], at[v], d))
-            if not parts:
-                continue
-            q, v, d = (np.concatenate(c) for c in zip(*parts))
-            new_ids = block_ids.take(pa.array(v))
-            ids = new_ids if ids is None else pa.concat_arrays([ids, new_ids])
-            q_best, d_best = np.concatenate([q_best, q]), np.concatenate([d_best, d])
-            q_best, kept, d_best = _cut(q_best, np.arange(len(q_best)), d_best, _order_of(ids), limit)
-            ids = ids.take(pa.array(kept))
-        if ids is not None:
-            every = np.arange(len(ids))
-            yield _pairs(copied["ids"], ids, limit, q_best, every, d_best, pa.RecordBatch.from_pydict)
+                        q, v, d = best.near(asking, block[at], order[at])
+                        parts.append((q, at[v], d))
+            if parts:
+                best.add(parts, batch.column("id"))
+        yield from best.pairs(copied["ids"])
 
     return vectors.select("id", "embedding", "route").mapInArrow(run, schema)
 
 
-def _blocks(asks: DataFrame, vectors: DataFrame, schema, block_vectors, block_asks, routed=True) -> DataFrame:
-    """Let asks and vectors of the same route meet in blocks of bounded size.
-
-    With `routed` false every ask meets every vector, and routes are ignored.
+def _groups(batches):
+    """(group, asks, vectors) of batches sorted by group and side: a table of all asks, and an iterator of vector batches."""
+    def pieces():
+        for batch in batches:
+            if batch.num_rows:
+                both = pc.binary_join_element_wise(batch.column("_group"), batch.column("_side").cast(pa.string()), "\u0002")
+                codes = both.dictionary_encode().indices.to_numpy()
+                starts = np.flatnonzero(np.diff(codes, prepend=-1))
+                for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(codes)]):
+                    yield batch.column("_group")[start].as_py(), batch.column("_side")[start].as_py(), batch.slice(start, end - start)
+
+    group, asks, vectors = None, [], []
+    rows = 0
+    for at, side, piece in pieces():
+        if at != group:
+            if asks and vectors:
+                yield group, asks, vectors
+            group, asks, vectors, rows = at, [], [], 0
+        if side == 0:
+            asks.append(piece)
+        elif asks:
+            vectors.append(piece)
+            rows += piece.num_rows
+            if rows >= FLUSH_ROWS:
+                yield group, asks, vectors
+                vectors, rows = [], 0
+    if asks and vectors:
+        yield group, asks, vectors
+
+
+# Vectors of a block that are compared at once while they stream through a task.
+FLUSH_ROWS = 32_768
+
+
+def _meet(batches):
+    """Hits of each group's asks among its vectors.  Asks of a group are held, its vectors stream by."""
+    group, best, query_ids = None, None, None
+    for at, asks, vectors in _groups(batches):
+        if at != group:
+            if best is not None:
+                yield from best.pairs(query_ids)
+            group, held = at, _present(pa.Table.from_batches(asks), "embedding")
+            query_ids = _plain(held.column("query_id"))
+            best = _Running(_matrix(held.column("embedding")), held.column("k").to_numpy().astype(np.int64))
+        block = _present(pa.Table.from_batches(vectors), "embedding")
+        ids = _plain(block.column("id"))
+        best.add([best.near(None, _matrix(block.column("embedding")), _order_of(ids))], ids)
+    if best is not None:
+        yield from best.pairs(query_ids)
+
+
+def _blocks(asks: DataFrame, vectors: DataFrame, schema, sizes, parts, routed=True) -> DataFrame:
+    """Let asks and vectors of the same route meet in blocks.
+
+    `sizes` has functions from a route's rows to its number of blocks, for asks and vectors.  With
+    `routed` false every ask meets every vector, and routes are ignored.
     """
-
-    def blocks(n, size):
-        return F.ceil(n / size).cast("int")
-
     n_rows = F.count(F.lit(1))
+    of_asks, of_vectors = (lambda n, f=f: f(n).cast("int") for f in sizes)
     if routed:
-        sizes = (
-            vectors.groupBy("route").agg(blocks(n_rows, block_vectors).alias("_vn"))
-            .join(asks.groupBy("route").agg(blocks(n_rows, block_asks).alias("_an")), "route")
+        both = (
+            vectors.groupBy("route").agg(of_vectors(n_rows).alias("_vn"))
+            .join(asks.groupBy("route").agg(of_asks(n_rows).alias("_an")), "route")
         )
 
         def with_sizes(side, key):
-            return salted_join(side, sizes, ["route"], [key])
+            return salted_join(side, both, ["route"], [key])
 
     else:
-        vn, an = vectors.agg(blocks(n_rows, block_vectors)), asks.agg(blocks(n_rows, block_asks))
+        vn, an = vectors.agg(of_vectors(n_rows)), asks.agg(of_asks(n_rows))
 
         def with_sizes(side, key):
-            return side.withColumns({"route": F.lit(0), "_vn": vn.scalar(), "_an": an.scalar()})
+            return side.withColumns({"route": F.lit(""), "_vn": vn.scalar(), "_an": an.scalar()})
 
     def pieces(side, own, other, own_no, other_no, key):
         own_block = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
         cut = with_sizes(side, key).withColumn(own_no, own_block)
         repeated = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return cut.filter(f"{other} > 0").withColumn(other_no, repeated).drop("_vn", "_an")
+        return cut.filter(f"{other} > 0").withColumn(other_no, repeated)
 
     left = pieces(asks.select("query_id", "embedding", "k", "route"), "_an", "_vn", "_ab", "_vb", "query_id")
     right = pieces(vectors.select("id", "embedding", "route"), "_vn", "_an", "_vb", "_ab", "id")
-
-    def run(ask_block: pa.Table, vector_block: pa.Table) -> pa.Table:
-        ask_block = _present(ask_block, "_ask_embedding")
-        vector_block = _present(vector_block, "_vec_embedding")
-        q_ids = _plain(ask_block.column("_ask_query_id"))
-        ids = _plain(vector_block.column("_vec_id"))
-        limit = ask_block.column("_ask_k").to_numpy().astype(np.int64)
-        q, v, d = _best(
-            _matrix(ask_block.column("_ask_embedding")), limit,
-            _matrix(vector_block.column("_vec_embedding")), _order_of(ids),
+    kind = asks.schema["embedding"].dataType
+    kind = kind if kind == vectors.schema["embedding"].dataType else T.ArrayType(T.DoubleType())
+    number = F.col("_ab") * F.col("_vn") + F.col("_vb")
+    task = F.pmod(F.xxhash64("route", number), F.lit(parts)) if routed else F.pmod(number, F.lit(parts))
+
+    def side(rows, no):
+        def value(name, type_):
+            return (F.col(name) if name in rows.columns else F.lit(None).cast(type_)).alias(name)
+
+        return rows.select(
+            value("query_id", asks.schema["query_id"].dataType), value("id", vectors.schema["id"].dataType),
+            F.col("embedding").cast(kind).alias("embedding"), value("k", T.IntegerType()),
+            F.concat_ws("\u0001", "route", number.cast("string")).alias("_group"), F.lit(no).alias("_side"), task.cast("int").alias("_task"),
         )
-        return _pairs(q_ids, ids, limit, q, v, d, pa.table)
 
-    keys = ["route", "_vb", "_ab"]
-    # Both sides may come from the same table; new names keep their columns apart.
-    left = left.select(*[F.col(c).alias(f"_ask_{c}") for c in left.columns])
-    right = right.select(*[F.col(c).alias(f"_vec_{c}") for c in right.columns])
-    grouped = left.groupBy(*[f"_ask_{c}" for c in keys])
-    return grouped.cogroup(right.groupBy(*[f"_vec_{c}" for c in keys])).applyInArrow(run, schema)
+    rows = side(left, 0).unionByName(side(right, 1)).repartitionById(parts, "_task").drop("_task")
+    return rows.sortWithinPartitions("_group", "_side").mapInArrow(_meet, schema)
 
 
-def _block_rows(n_asks, n_vectors, dim, tasks):
-    """Rows of a vector block and of an ask block.
+# Most bytes of asks, and most hits, that a task holds.
+ASK_BYTES = 16 * 1024 * 1024
+HELD_HITS = 1_000_000
 
-    Every row is sent once to each block of the other side, so blocks are as large as memory
-    allows, unless that leaves too few pairs of blocks for the `tasks`.
-    """
+
+def _block_rows(n_asks, n_vectors, dim, tasks):
+    """Rows of a vector block and of an ask block that fill the `tasks`, with all asks in as few blocks as can be."""
     most = max(1, BLOCK_BYTES // (4 * dim))
     asks = max(1, min(most, n_asks))
     even = -(-n_vectors * -(-n_asks // asks) // tasks)
     return min(most, max(BLOCK_ROWS, even)), asks
 
 
+def _grid(n_asks, n_vectors, dim, k, tasks):
+    """In how many blocks to cut asks and vectors that all meet.
+
+    Every row is sent once to each block of the other side, and each block of vectors gives k hits for
+    every ask: of the grids with as many pairs as `_block_rows` asks for, the one that sends least.
+    """
+    rows, asks = _block_rows(n_asks, n_vectors, dim, tasks)
+    pairs = -(-n_vectors // rows) * -(-n_asks // asks)
+    least_asks, least_vectors = _bounded(n_asks, dim, k), max(1, -(-n_vectors * 4 * dim // BLOCK_BYTES))
+    grids = [(a, max(least_vectors, -(-pairs // a))) for a in range(least_asks, max(least_asks, pairs) + 1)]
+    return min(grids, key=lambda g: g[0] * n_vectors * 4 * dim + g[1] * n_asks * (4 * dim + 40 * k))
+
+
+def _bounded(n_asks, dim, k):
+    return max(1, -(-n_asks * 4 * dim // ASK_BYTES), -(-n_asks * k // HELD_HITS))
+
+
+def _sizes(n_asks, n_vectors, dim, k, tasks, block_vectors, block_asks):
+    """Functions from a route's rows to its number of blocks, for asks and vectors.
+
+    Given sizes are those of small inputs: a side is cut into no more blocks than the root of
+    the tasks, as it is sent once for each block of the other side, unless memory asks for more.
+    """
+    a, v = _grid(n_asks, n_vectors, dim, k, tasks)
+    most = max(2, math.isqrt(tasks))
+
+    def number(given, blocks, n, bounds):
+        size = given or max(1, -(-n // blocks))
+        most_blocks = F.lit(most if given else blocks)
+        return lambda rows: F.greatest(F.least(F.ceil(rows / size), most_blocks), *[F.ceil(rows / float(b)) for b in bounds])
+
+    in_asks = (max(1, ASK_BYTES // (4 * dim)), max(1, HELD_HITS // k))
+    return number(block_asks, a, n_asks, in_asks), number(block_vectors, v, n_vectors, (max(1, BLOCK_BYTES // (4 * dim)),))
+
+
 def nearest(
     asks: DataFrame, vectors: DataFrame, copy_rows=COPY_ROWS, copy_bytes=COPY_BYTES,
     block_vectors: int | None = None, block_asks: int | None = None, squared=True,
@@ -280,28 +446,35 @@ def nearest(
     """
     asks, n_asks = written_rows(asks.select("query_id", "embedding", "k", "routes"), "asks")
     schema = _pairs_schema(asks, vectors)
-    dim = asks.agg(F.max(F.size("embedding"))).first()[0] or 1
-    everywhere = asks.filter("routes IS NULL")
+    some = asks.agg(F.max(F.size("embedding")).alias("dim"), F.max("k").alias("k"), F.count_if(F.col("routes").isNull()).alias("everywhere")).first()
+    dim, k = max(some.dim or 1, 1), max(some.k or 1, 1)
+    everywhere = asks.filter("routes IS NULL").withColumn("route", F.lit(""))
     routed = asks.filter("routes IS NOT NULL").withColumn("route", F.explode("routes"))
-    if everywhere.isEmpty():
+    if not some.everywhere:
         # Reaches the scan: only the folders or row groups of these routes are read.
         wanted = routed.select(F.col("route").alias("_route")).distinct()
         vectors = vectors.join(wanted, F.col("route") == F.col("_route"), "left_semi")
-    if n_asks <= copy_rows and n_asks * 4 * max(dim, 1) <= copy_bytes:
-        found = _scan(_present(asks.toArrow(), "embedding"), vectors, schema)
+    if n_asks <= copy_rows and n_asks * 4 * dim <= copy_bytes:
+        best = _merged(_scan(_present(asks.toArrow(), "embedding"), vectors, schema))
     else:
-        tasks = 4 * vectors.sparkSession.sparkContext.defaultParallelism
-        fitting = _block_rows(n_asks, vectors.count(), max(dim, 1), tasks)
-        sizes = {"block_vectors": block_vectors or fitting[0], "block_asks": block_asks or fitting[1]}
-        found = _blocks(routed, vectors, schema, **sizes)
-        if not everywhere.isEmpty():
-            by_all = _blocks(everywhere.withColumn("route", F.lit(None)), vectors, schema, routed=False, **sizes)
-            found = found.unionByName(by_all)
-    best = _merged(found)
+        tasks, n = 4 * vectors.sparkSession.sparkContext.defaultParallelism, vectors.count()
+        found = []
+        for rows, by_route in ((routed, True), (everywhere, False)):
+            n_rows = rows.count() if by_route else some.everywhere
+            if n_rows:
+                sizes = _sizes(n_rows, n, dim, k, tasks, block_vectors, block_asks)
+                sent = (n_rows + n) * 4 * dim * math.isqrt(tasks)
+                found.append(_blocks(rows, vectors, schema, sizes, max(tasks, sent // BLOCK_BYTES), by_route))
+        best = _ranked(reduce(DataFrame.unionByName, found)) if found else _ranked(asks.sparkSession.createDataFrame([], schema))
     distance = F.col("distance") if squared else F.sqrt("distance")
     return best.select("query_id", "rank", "id", distance.alias("distance"))
 
 
+def _ranked(found: DataFrame) -> DataFrame:
+    ranked = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(ranked)).filter("rank <= k")
+
+
 MERGE_PARTS = 64
 
 
@@ -314,8 +487,7 @@ def _merged(found: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("id"), F.lit(MERGE_PARTS))
     in_part = Window.partitionBy("query_id", part).orderBy("distance", "id")
     some = found.withColumn("_place", F.row_number().over(in_part)).filter("_place <= k")
-    ranked = Window.partitionBy("query_id").orderBy("distance", "id")
-    return some.withColumn("rank", F.row_number().over(ranked)).filter("rank <= k")
+    return _ranked(some)
 
 
 def _asks(queries: DataFrame, route=None) -> DataFrame:
