@@ -27,6 +27,8 @@ COARSE_SAMPLE, FINE_SAMPLE = 1_000_000, 20_000
 CELL_ROWS, MOST_FINE = 1_000, 1_024
 # Rows of a block that meets the fine centroids of a coarse cell.
 BLOCK = 20_000
+# A query that reaches more fine cells of a coarse one than this is compared with the whole of it: one row, not one a cell.
+MOST_OPENED = 8
 _SHARE = 1 << 20
 
 
@@ -197,7 +199,8 @@ def tree_exact_topk(queries: DataFrame, tree: Tree, nprobe=settings.NPROBE, coar
     """Exact top-k that opens only cells which can hold a hit.
 
     The k-th distance in the cells that `tree_topk` probes bounds the true one.  Coarse cells that begin
-    beyond it are skipped as a whole, and of the others the fine cells that do.  A query
+    beyond it are skipped as a whole, and of the others the fine cells that do, unless the query
+    reaches more than MOST_OPENED of them: so a query names few cells, however many there are.  A query
     whose probed cells hold fewer than k vectors has no bound and is compared with all.  Queries with a
     `repo_id` are compared with all vectors of that repository.
     """
@@ -215,18 +218,31 @@ def tree_exact_topk(queries: DataFrame, tree: Tree, nprobe=settings.NPROBE, coar
     kind = asks.schema["query_id"].dataType
 
     def run(held: pa.Table, cells: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": held.column("query_id").slice(0, 0), "cell": pa.array([], pa.string())})
         if not held.num_rows or not cells.num_rows:
-            return none
+            return pa.table({"query_id": held.column("query_id").slice(0, 0), "cell": pa.array([], pa.string())})
         vectors, bound, at = _matrix(held.column("embedding")), held.column("bound").to_numpy(), _matrix(cells.column("embedding"))
         radius, parts = cells.column("radius").to_numpy(), []
         for i in range(0, len(vectors), 1024):
-            q, c = np.nonzero(_reaching(vectors[i:i + 1024], at, radius, bound[i:i + 1024]))
-            parts.append((q + i, c))
+            reached = _reaching(vectors[i:i + 1024], at, radius, bound[i:i + 1024])
+            many = reached.sum(axis=1) > MOST_OPENED
+            reached[many] = False
+            q, c = np.nonzero(reached)
+            whole = np.flatnonzero(many)
+            parts.append((np.concatenate([q, whole]) + i, np.concatenate([c, np.full(len(whole), len(at))])))
         q, c = (np.concatenate(x) for x in zip(*parts))
-        return pa.table({"query_id": held.column("query_id").take(pa.array(q)), "cell": cells.column("cell").take(pa.array(c))})
+        # The last name is that of the whole coarse cell.
+        names = pa.array([*cells.column("cell").to_pylist(), _whole(held.column("coarse")[0].as_py())], pa.string())
+        return pa.table({"query_id": held.column("query_id").take(pa.array(q)), "cell": names.take(pa.array(c))})
 
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("cell", T.StringType())])
     opened = _meet(rows, tree.fine, run, schema).groupBy("query_id").agg(F.collect_list("cell").alias("routes"))
     asks = asks.drop("routes").join(opened, "query_id").select("query_id", "embedding", "k", "routes")
-    return _in_cells(asks.drop("routes"), asks, tree.assigned, **options)
+    cells = tree.assigned.withColumn("cell", F.explode(F.array("cell", F.concat(F.lit(WHOLE), F.col("coarse").cast("string")))))
+    return _in_cells(asks.drop("routes"), asks, cells, **options)
+
+
+WHOLE = "all of "
+
+
+def _whole(coarse) -> str:
+    return f"{WHOLE}{coarse}"
