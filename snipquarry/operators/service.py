@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from snipquarry import schemas, settings
-from snipquarry.functions import keys
+from snipquarry.functions import keys, scores
 from snipquarry.operators import cache as entries_cache, inference
 from snipquarry.operators.search import RESULT_FIELDS, responses, scoped_topk, with_snippets
 from snipquarry.plans.scratch import written
@@ -62,11 +62,16 @@ def retrieve(
     missed = looked_up.filter("value IS NULL").drop("value")
     replayed = entries_cache.ttl_replay(missed, ttl, ts="requested_at", id="query_id").withColumnRenamed("id", "query_id")
     marked = written(missed.join(replayed, "query_id"), "misses")
-    first = marked.filter("NOT hit").drop("hit")
-    queries = first.withColumn("embedding", provider(F.col("query")))
+    # What is asked again after its time to live is searched once: the answers are the same.
+    same = keys.stable_id(F.col("query"), F.col("repo_id"), scores.clamp_k(F.col("k")))
+    first = written(marked.filter("NOT hit").drop("hit").withColumn("_same", same), "searched")
+    one = first.groupBy("_same").agg(F.min("query_id").alias("query_id"))
+    asks = written(first.join(one, ["_same", "query_id"], "left_semi"), "asks")
+    queries = asks.drop("_same").withColumn("embedding", provider(F.col("query")))
     vectors = vectors if "repo_id" in vectors.columns else vectors.withColumn("repo_id", F.lit(None).cast("string"))
     found = with_snippets(scoped_topk(queries, vectors, **options), snippets)
-    searched = written(responses(first, found), "responses")
+    answers = written(responses(asks.select("_same", "query_id").distinct(), found).select("_same", "results", F.col("count").cast("long")), "responses")
+    searched = salted_join(first, answers, ["_same"], ["query_id"]).drop("_same")
 
     entries = entries_cache.search_entries(
         searched.withColumn("written_at", F.col("requested_at")), "written_at", ttl, include_k
@@ -75,8 +80,9 @@ def retrieve(
         "query_id", "query", entries_cache.from_value(F.col("value"), answer).alias("_a"), F.lit(True).alias("cached")
     ).select("query_id", "query", "_a.results", "_a.count", "cached")
     asked_of = _answered_by(marked, ttl, "query_id", ["query"])
-    by_first = searched.select(F.col("query_id").alias("_first"), "results", F.col("count").cast("long"))
-    fresh = salted_join(asked_of, by_first, ["_first"], ["query_id"]).select(
+    by_first = first.select(F.col("query_id").alias("_first"), "_same")
+    answered = written(salted_join(asked_of, by_first, ["_first"], ["query_id"]).drop("_first"), "answered")
+    fresh = salted_join(answered, answers, ["_same"], ["query_id"]).select(
         "query_id", "query", "results", "count", F.col("hit").alias("cached")
     )
     return hits.unionByName(fresh), entries
