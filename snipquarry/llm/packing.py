@@ -89,18 +89,19 @@ class Words(_Bounded):
         return self.keep(word, ids)
 
 
-def tokenised(documents: DataFrame, path: str, size=SIZE, end_id=END_ID) -> DataFrame:
+def tokenised(documents: DataFrame, path: str, size=SIZE, end_id=END_ID, most_words=300_000, most_pieces=800_000) -> DataFrame:
     """(doc_id, piece, start, length, ids) of every row of documents (doc_id, text).
 
     `ids` are little-endian unsigned 32-bit numbers: the text's ids by the tokenizer file at
     `path`, then `end_id`.  Longer documents are cut every `size` ids.  A missing text counts as
-    empty and gives one piece of the end id; repeated rows each give their pieces.
+    empty and gives one piece of the end id; repeated rows each give their pieces.  A worker keeps the ids of
+    at most `most_words` words and `most_pieces` parts of words.
     """
     end = _raw([end_id])
 
     def run(batch):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = worker_state("words " + path, lambda: Words(path))
+        words = worker_state("words " + path, lambda: Words(path, most_words, most_pieces))
         rows, pieces, starts, lengths, ids = [], [], [], [], []
         for row, text in enumerate(utf8(batch.column("text"))):
             raw = b"".join(map(words.__getitem__, text.split())) + end
