@@ -84,6 +84,10 @@ def _cut(source):
     return found or [whole]
 
 
+# Files that are cut before their chunks become rows of Arrow.
+FILES = 128
+
+
 def _definitions(sources):
     import warnings
 
@@ -94,8 +98,12 @@ def _definitions(sources):
     ]
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        cut = [None if s is None else _cut(s) for s in sources.to_pylist()]
-    return pa.array(cut, pa.list_(pa.struct(fields)))
+        # A few files at a time: chunks of a file repeat its text, as objects and then as rows.
+        kind, parts = pa.list_(pa.struct(fields)), []
+        for start in range(0, len(sources), FILES):
+            cut = [None if s is None else _cut(s) for s in sources.slice(start, FILES).to_pylist()]
+            parts.append(pa.array(cut, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def definitions(source: Column) -> Column:
