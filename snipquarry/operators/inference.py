@@ -24,8 +24,26 @@ from snipquarry.plans.size import spread
 Provider = Callable[[Column], Column]
 
 
-def _token_counts(dim, max_tokens=None, memory=1_000_000, slice_cells=4_000_000):
-    """Function from an Arrow array of texts to token counts by hashed token, one row per text."""
+# Bytes of texts that are cut into tokens at once, and tokens whose place a worker keeps.
+TOKEN_BYTES = 2 * 1024 * 1024
+KNOWN_TOKENS = 250_000
+
+
+def _slices(texts, most_bytes):
+    """The texts in pieces of about `most_bytes`, at least one text each."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        until = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield start, texts.slice(start, until - start)
+        start = until
+
+
+def _token_counts(dim, max_tokens=None, memory=KNOWN_TOKENS, slice_cells=4_000_000, slice_bytes=TOKEN_BYTES):
+    """Function from an Arrow array of texts to token counts by hashed token, one row per text.
+
+    A few texts at a time are cut into tokens, whatever the size of the array."""
     from hashlib import md5
 
     places = {}
@@ -39,6 +57,12 @@ def _token_counts(dim, max_tokens=None, memory=1_000_000, slice_cells=4_000_000)
         return places[token]
 
     def count(texts):
+        out = np.empty((len(texts), dim), np.float32)
+        for start, part in _slices(texts, slice_bytes):
+            fill(part, out[start:start + len(part)])
+        return out
+
+    def fill(texts, out):
         words = pc.utf8_split_whitespace(texts)
         lengths = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False)
         encoded = words.flatten().dictionary_encode()
@@ -49,14 +73,12 @@ def _token_counts(dim, max_tokens=None, memory=1_000_000, slice_cells=4_000_000)
         if max_tokens is not None:
             first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < max_tokens
             row, column = row[first], column[first]
-        out = np.empty((len(texts), dim), np.float32)
         step = max(1, slice_cells // dim)
         for start in range(0, len(texts), step):
             part = out[start:start + step]
             low, high = np.searchsorted(row, [start, start + len(part)])
             cells = (row[low:high] - start) * dim + column[low:high]
             part[:] = np.bincount(cells, minlength=part.size).reshape(part.shape)
-        return out
 
     return count
 
