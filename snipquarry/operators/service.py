@@ -6,6 +6,7 @@ from snipquarry import schemas, settings
 from snipquarry.functions import keys, scores
 from snipquarry.operators import cache as entries_cache, inference
 from snipquarry.operators.search import RESULT_FIELDS, responses, scoped_topk, with_snippets
+from snipquarry.plans.keys import marked_likely
 from snipquarry.plans.scratch import written
 from snipquarry.plans.skew import first_per_key, salted_join
 from snipquarry.sources.store import Store
@@ -113,7 +114,7 @@ def suggest(
     replayed = entries_cache.ttl_replay(missed, ttl, ts="requested_at", id="request_id").withColumnRenamed("id", "request_id")
     marked = written(missed.join(replayed, "request_id"), "misses")
     prompts = inference.fix_prompts(marked.filter("NOT hit"), snippets)
-    generated = written(inference.generate(prompts, provider), "generated")
+    generated = written(inference.generate(prompts, provider).drop("prompt", "tokens_used"), "generated")
     records = generated.select(
         keys.stable_id(F.col("snippet_id"), F.col("issue_type"), F.col("issue_description")).alias("id"),
         "snippet_id", "issue_type", "issue_description", F.col("generated_text").alias("suggested_fix"),
@@ -137,9 +138,14 @@ def suggest_stored(store: Store, requests: DataFrame, snippets: DataFrame, **opt
         held = "cache" in change.tables
         cache = store.read("cache", change.version - 1) if held else requests.sparkSession.createDataFrame([], schemas.CACHE)
         answers, records, entries = suggest(requests, snippets, cache, **options)
-        answers = written(answers, "answers")
-        records = written(schemas.conform(first_per_key(records, ["id"], ["created_at"], last=True), schemas.SUGGESTION_REQUESTS), "records")
-        last = written(entries_cache.current(entries), "entries")
+        # Texts go through few shuffles: only records that come more than once, and what may be the last entry of a key.
+        twice = written(records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated_records")
+        marked = marked_likely(records, twice, ["id"], "_twice")
+        some = first_per_key(marked.filter("_twice").drop("_twice"), ["id"], ["created_at"], last=True)
+        records = schemas.conform(marked.filter("NOT _twice").drop("_twice").unionByName(some), schemas.SUGGESTION_REQUESTS)
+        ends = written(entries.groupBy("key").agg(F.max("written_at").alias("written_at")), "last_entries")
+        ending = marked_likely(entries, ends, ["key", "written_at"], "_last").filter("_last").drop("_last")
+        last = written(entries_cache.current(ending), "entries")
         change.replace("suggestion_requests", records, records.select("id"), order=["id"], find_by=["id"])
         change.replace("cache", last, last.select("key"), order=["key"], find_by=["key"])
     return answers

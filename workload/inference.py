@@ -233,15 +233,15 @@ def suggest_service(spark, sf):
     half = F.lit("2024-01-16").cast("timestamp")
     runs = [service.suggest_stored(store, part, v.snippets) for part in (requests.filter(F.col("requested_at") < half), requests.filter(F.col("requested_at") >= half))]
     us = F.unix_micros
-    given = runs[0].unionByName(runs[1])
+    given = runs[0].unionByName(runs[1]).select("request_id", F.md5("suggested_fix").alias("fix_md5"), "cached")
     # A request that was not answered from the cache is the one that the following are answered by.
     records = store.read("suggestion_requests").select("id", "snippet_id", "issue_type", "suggested_fix", "created_at")
     made = requests.select("request_id", F.col("snippet_id").cast("string").alias("snippet_id"), "issue_type", "requested_at")
     near = given.join(made, "request_id").join(records.select("snippet_id", "issue_type", "created_at"), ["snippet_id", "issue_type"])
-    at = near.filter(F.col("created_at") <= F.col("requested_at")).groupBy("request_id", "suggested_fix", "cached").agg(F.max("created_at").alias("at"))
+    at = near.filter(F.col("created_at") <= F.col("requested_at")).groupBy("request_id", "fix_md5", "cached").agg(F.max("created_at").alias("at"))
     entry = from_value(F.col("value"), "suggested_fix string, model_confidence double")["suggested_fix"]
     parts = [
-        at.select(F.lit("answer").alias("kind"), F.col("request_id").cast("string").alias("id"), F.md5("suggested_fix").alias("fix_md5"), "cached", us("at").alias("at_us")),
+        at.select(F.lit("answer").alias("kind"), F.col("request_id").cast("string").alias("id"), "fix_md5", "cached", us("at").alias("at_us")),
         records.select(F.lit("record").alias("kind"), "id", F.md5("suggested_fix").alias("fix_md5"), F.lit(False).alias("cached"), us("created_at").alias("at_us")),
         store.read("cache").select(F.lit("entry").alias("kind"), F.col("key").alias("id"), F.md5(entry).alias("fix_md5"), F.lit(True).alias("cached"), us("expires_at").alias("at_us")),
     ]
