@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from snipquarry.llm.common import per_batch, utf8, worker_state
+from snipquarry.llm.common import forget, per_batch, sliced, utf8, worker_state
 from snipquarry.llm.decontaminate import words
 from snipquarry.plans.scratch import written
 
@@ -26,6 +26,8 @@ DEVIATIONS = 3.0
 LEAST_ODDS = 1.5
 DRIFT = 0.1
 BINS = 400
+# Words whose buckets, and whose scores, a worker keeps.
+KNOWN_BUCKETS, KNOWN_SCORES = 150_000, 200_000
 E_VALUE = 0.05
 
 
@@ -41,7 +43,7 @@ def buckets_of(word: bytes) -> list[int]:
 
 class _Buckets(dict):
     def __missing__(self, word):
-        if len(self) > 300_000:
+        if len(self) >= KNOWN_BUCKETS:
             self.clear()
         self[word] = found = buckets_of(word)
         return found
@@ -54,7 +56,7 @@ class _Scores(dict):
         self.evidence, self.drift = evidence, drift
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) >= KNOWN_SCORES:
             self.clear()
         own = self.evidence[buckets_of(word)]
         self[word] = score = float(max(own.max(), 0.0) + min(own.min(), 0.0) - self.drift)
@@ -115,7 +117,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         known, sums, documents = worker_state("toxicity_buckets", _Buckets), np.zeros((3, BUCKETS), np.int64), [0, 0, 0]
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(utf8(batch.column("text")), batch.column("toxic").to_pylist()):
                 # Words may share a bucket, e.g. by their first characters: it counts once.
                 held = list(set(chain.from_iterable(map(known.__getitem__, set(words(text))))))
@@ -285,9 +287,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     copied = documents.sparkSession.sparkContext.broadcast(model.plain())
 
     def run(batches):
+        forget()
         model = Model(*copied.value)
         scores = _Scores(model.evidence, model.drift)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_judged(model, scores, t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], passage)
@@ -304,10 +307,12 @@ def is_toxic(text: Column, model: Model, documents: DataFrame) -> Column:
     copied = documents.sparkSession.sparkContext.broadcast(model.plain())
 
     def judge(batches):
+        forget()
         model = Model(*copied.value)
         scores = _Scores(model.evidence, model.drift)
         for texts in batches:
-            yield pa.array([_judged(model, scores, t)[0] >= 0.5 for t in utf8(texts)], pa.bool_())
+            parts = (texts.slice(start, 1000) for start in range(0, len(texts), 1000))
+            yield pa.array([_judged(model, scores, t)[0] >= 0.5 for part in parts for t in utf8(part)], pa.bool_())
 
     from collections.abc import Iterator
 
