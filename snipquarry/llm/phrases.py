@@ -2,6 +2,7 @@
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ PHRASE_BITS = 64
 FILTER_BITS = 1 << 27
 # Hashes of words that a task holds in all.
 HELD_WORDS = 300_000
+# Rows of counts that go to Spark together, and files that a task writes at a time.
+COUNT_ROWS = 50_000
+OPEN_FILES = 32
 PROBES = 3
 
 # White space within a piece becomes a space; what ends a piece becomes a byte that UTF-8 never holds.
@@ -114,10 +118,21 @@ def _stored(documents: DataFrame, shards: int, seed: int) -> DataFrame:
     spark, path = documents.sparkSession, scratch_dir(documents.sparkSession, "shards")
     texts = documents.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     made = texts.mapInArrow(run, "shard int, tokens binary, h bigint, lang string, word string, n bigint")
-    made.write.partitionBy("shard").parquet(path)
+    _write_by(made, "shard", path)
     return spark.read.schema(made.schema).parquet(path)
 
 
+def _write_by(rows: DataFrame, column: str, path: str) -> None:
+    """Write rows in folders by a column of few values, with a file open for each of them instead of a sort."""
+    conf, name = rows.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_FILES)
+    try:
+        rows.write.partitionBy(column).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 class Filter:
     """Bloom filter over 64-bit hashes; phrases are only ever added, and its size stays."""
 
@@ -141,19 +156,18 @@ def _run_hashes(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mixed(h * U64(0x9E3779B97F4A7C15) + last)
 
 
-def _counted(words: np.ndarray, single: bool, filters: dict) -> list[tuple[int, list[np.ndarray], np.ndarray]]:
+def _counted(words: np.ndarray, single: bool, filters: dict) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(length, its words, counts) of the active phrases in hashed words, which 0 ends.
 
     `filters` has, by length, the filter of parts (one word shorter) that have reached the
     threshold by now, and that of a cycle ago: what passed this one has completed its cycle.
     Equal phrases are found by numbering equal parts, not by their hashes.
     """
-    out = []
     distinct, number = np.unique(words, return_inverse=True)
     if single:
         n = np.bincount(number, minlength=len(distinct))
         real = distinct != 0
-        out.append((1, [distinct[real]], n[real]))
+        yield 1, [distinct[real]], n[real]
     h, inside = words, words != 0
     for size in range(2, max(filters, default=1) + 1):
         k = len(words) - size + 1
@@ -175,9 +189,8 @@ def _counted(words: np.ndarray, single: bool, filters: dict) -> list[tuple[int,
                 part = found[2]
             if len(at):
                 first = at[found[1]]
-                out.append((size, [words[first + j] for j in range(size)], found[3]))
+                yield size, [words[first + j] for j in range(size)], found[3]
         h = _run_hashes(h[:k], words[size - 1:])
-    return out
 
 
 def _scan(shard: DataFrame, single: bool, filters: dict, longest: int) -> DataFrame:
@@ -187,11 +200,13 @@ def _scan(shard: DataFrame, single: bool, filters: dict, longest: int) -> DataFr
     def rows(buffer):
         loaded = {size: (now.value, before and before.value) for size, (now, before) in filters.items()}
         for size, columns, n in _counted(np.concatenate(buffer), single, loaded):
-            none = np.zeros(len(n), np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(none + size, pa.int32()), *[pa.array(c.view(np.int64)) for c in columns],
-                *[pa.array(none)] * (longest - size), pa.array(n, pa.int64()),
-            ], names=names)
+            for start in range(0, len(n), COUNT_ROWS):
+                part = slice(start, start + COUNT_ROWS)
+                none = np.zeros(len(n[part]), np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(none + size, pa.int32()), *[pa.array(c[part].view(np.int64)) for c in columns],
+                    *[pa.array(none)] * (longest - size), pa.array(n[part], pa.int64()),
+                ], names=names)
 
     def run(batches):
         buffer, held = [], 0
@@ -290,7 +305,7 @@ def frequent_phrases(stored: DataFrame, threshold: int, longest: int, shards: in
         shard = stored.filter(F.col("shard") == step % shards)
         path = scratch_dir(spark, "counted")
         counted = _scan(shard, step < shards, active, longest)
-        counted.write.partitionBy("size").parquet(path)
+        _write_by(counted, "size", path)
         tables.append(spark.read.schema(counted.schema).parquet(path))
         for part in range(1, longest):
             if part in active or part == 1 and step < shards:
