@@ -76,6 +76,22 @@ def brute_components(rows, words, percent):
     return {doc: (len(sets[doc]), find(doc)) for doc in ids}
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that hang on the smallest node already are not gone through again."""
+    from snipquarry.llm import graph
+
+    names, store = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (names.append(name), store(df, name))[1])
+
+    def found(links):
+        names.clear()
+        return {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+
+    assert found([(1, 2), (3, 1), (1, 3), (7, 5), (4, 4)]) == {1: 1, 2: 1, 3: 1, 5: 5, 7: 5} and names == ["edges"]
+    assert found([(9, 8), (8, 9), (8, 7)]) == {7: 7, 8: 7, 9: 7} and names.count("mins") == 2
+    assert found([]) == {} and names == ["edges"]
+
+
 @pytest.mark.parametrize("words, percent", [(4, 85), (5, 80)])
 def test_jaccard_components(spark, words, percent):
     rng = np.random.default_rng(words)

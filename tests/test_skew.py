@@ -107,6 +107,38 @@ def test_the_filter_takes_missing_keys(spark):
     assert got[None, 1] and got["a", None] and len(got) == 4
 
 
+@pytest.mark.parametrize("weights, broadcasts, shuffled", [
+    ({"a": 30, "b": 20}, True, False), ({f"k{i}": 1 for i in range(40)}, False, True),
+    ({"a": 30, **{f"k{i}": 1 for i in range(20)}}, True, True), ({}, False, True),
+])
+def test_a_lookup_joins_once_where_all_keys_are_alike(spark, weights, broadcasts, shuffled):
+    """Hot keys are those with more than a twentieth of all rows."""
+    rows = [(k, i) for k, n in {**weights, "other": 2}.items() for i in range(n)] + [(None, 0)]
+    table = spark.createDataFrame([(k, n, None if n == 20 else k * 2) for k, n in weights.items()], "k string, n long, name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = keys.lookup(spark.createDataFrame(rows, "k string, i int"), table, ["k"], "n", 0.05)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        got = _rows(found)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.columns == ["k", "i", "n", "name"]
+    own = {k: (n, None if n == 20 else k * 2) for k, n in weights.items()}
+    assert got == sorted([(i, k, *own.get(k, (None, None))) for k, i in rows], key=str)
+    assert (plan.count("BroadcastHashJoin"), plan.count("SortMergeJoin")) == (broadcasts, shuffled)
+    assert "ubquery" not in plan
+
+
+@pytest.mark.parametrize("n, joins", [(0, 0), (10, 1)])
+def test_few_ids_are_copied_without_a_filter(spark, n, joins):
+    ids = spark.range(n).select(F.col("id").alias("k")).unionByName(spark.range(n).select(F.col("id").alias("k")))
+    marked = keys.marked_likely(spark.range(100).select(F.col("id").alias("k")), ids, ["k"], "m")
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == joins and "bit_or" not in plan
+    assert {r.k for r in marked.collect() if r.m} == {*range(n)} and marked.count() == 100
+
+
 def test_scratch_tables_are_removed(spark):
     from snipquarry.plans.scratch import noted, remove_scratch, written
 
