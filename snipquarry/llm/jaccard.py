@@ -23,6 +23,8 @@ MOST_FREQUENT = 300_000
 CHUNK = 64
 QUERIES = 128
 SALTS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
+# Words of 64 bits of a set's parities.
+PARITIES = [f"b{i + 1}" for i in range(8)]
 
 
 def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
@@ -148,8 +150,18 @@ def _least(tokens: np.ndarray) -> list[int]:
     return [int(mixed(tokens ^ U64(salt)).min().view(np.int64)) if len(tokens) else 0 for salt in SALTS]
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set, by bit, whether it has an odd number of tokens with that place: two sets differ by at least
+    as many tokens as these differ by bits."""
+    bits = 64 * len(PARITIES)
+    row = np.repeat(np.arange(len(sets)), [*map(len, sets)])
+    at = row * bits + (np.concatenate(sets) & U64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(len(sets), len(PARITIES))
+
+
 def _token_rows(rows: DataFrame, words, percent, frequent) -> DataFrame:
-    """(doc_id, s1, s2, n, m1 to m3, prefix, tokens) of rows (doc_id, text, full): whole sets where `full`."""
+    """(doc_id, s1, s2, n, b1 to b8, prefix, tokens) of rows (doc_id, text, full): whole sets where `full`."""
     copied = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batch):
@@ -159,13 +171,12 @@ def _token_rows(rows: DataFrame, words, percent, frequent) -> DataFrame:
         digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
         full = batch.column("full").to_pylist()
         none = np.empty(0, U64)
-        least = [_least(s) for s in sets]
         return {
             "doc_id": batch.column("doc_id"), "s1": digest[:, 0], "s2": digest[:, 1], "n": [*map(len, sets)],
-            **{f"m{i + 1}": [x[i] for x in least] for i in range(3)}, "prefix": lists(prefixes), "tokens": lists([s if f else none for s, f in zip(sets, full)]),
+            **dict(zip(PARITIES, _parities(sets).T)), "prefix": lists(prefixes), "tokens": lists([s if f else none for s, f in zip(sets, full)]),
         }
 
-    schema = "doc_id bigint, s1 bigint, s2 bigint, n bigint, m1 bigint, m2 bigint, m3 bigint, prefix array<bigint>, tokens array<bigint>"
+    schema = ", ".join(f"{c} bigint" for c in ("doc_id", "s1", "s2", "n", *PARITIES)) + ", prefix array<bigint>, tokens array<bigint>"
     return per_batch(rows.select("doc_id", "text", "full"), run, schema)
 
 
@@ -270,15 +281,34 @@ def _components(groups: DataFrame, links: DataFrame) -> DataFrame:
 # --- the matrix ------------------------------------------------------------------------
 
 
+def _asked(asking: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(query, group, n, least, most) for each token of a query that the matrix has for a larger group.
+
+    Where one member alone has the token, the parities bound how many tokens it differs by from the query, and
+    too many give no row.  So documents that are alike, but too little to link, are not paired token by token.
+    """
+    bits = [b for b in PARITIES if b in matrix.columns]
+    target = matrix.select(
+        "token", F.col("group").alias("target"), F.col("size").alias("target_size"), "least", "most", "holders", *[F.col(b).alias(f"_{b}") for b in bits]
+    )
+    smaller = (F.col("size") < F.col("target_size")) | (F.col("size") == F.col("target_size")) & (F.col("group") > F.col("target"))
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
+    differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"_{b}"))) for b in bits), F.lit(0))
+    near = (F.col("holders") > 1) | (differ * (100 + percent) <= (F.col("n") + F.col("most")) * (100 - percent))
+    joined = asking.join(target, "token").filter(smaller & fits & near)
+    return joined.select(F.col("node").alias("query"), F.col("target").alias("group"), "n", "least", "most")
+
+
 def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(query, group): documents and other groups that share a token which linked ones must share.
 
-    `prefixes` has (node, n, prefix), `groups` (node, component) of nodes that are not alone.  The
-    matrix has a row for each token and group, with the sizes of the members that have the token.
+    `prefixes` has (node, n, prefix) and may have b1 to b8, `groups` (node, component) of nodes that are not alone.
+    The matrix has a row for each token and group, with the sizes of the members that have the token.
     Of two groups the documents of the smaller are the queries; the tokens that a query shares with
     a group bound its overlap with every member.
     """
-    rows = prefixes.select(F.explode("prefix").alias("token"), "node", "n")
+    bits = [b for b in PARITIES if b in prefixes.columns]
+    rows = prefixes.select(F.explode("prefix").alias("token"), "node", "n", *bits)
     tokens = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     tokens = written(tokens.filter("held > 1"), "shared_tokens")
     likely = marked_likely(rows, tokens, ["token"], "_likely").filter("_likely").drop("_likely")
@@ -286,10 +316,12 @@ def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFra
     sizes = written(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "group_sizes")
     sized = lookup(groups, sizes, ["component"], "size")
     rows = rows.join(sized, "node", "left").select(
-        "token", "node", "n", F.coalesce("component", "node").alias("group"), F.coalesce("size", F.lit(1)).alias("size")
+        "token", "node", "n", F.coalesce("component", "node").alias("group"), F.coalesce("size", F.lit(1)).alias("size"), *bits
     )
     rows = written(rows, "matrix_rows")
-    matrix = rows.groupBy("token", "group", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = rows.groupBy("token", "group", "size").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("holders"), *[F.min(b).alias(b) for b in bits]
+    )
     matrix = written(matrix, "matrix")
     top = matrix.groupBy("token").agg(F.max("size").alias("top"), F.sum("size").alias("weight"))
     # A document of the only largest group of a token asks nobody.
@@ -297,10 +329,7 @@ def _candidates(prefixes: DataFrame, groups: DataFrame, percent: int) -> DataFra
     alone = top.join(largest.select("token", F.col("size").alias("top"), "as_large"), ["token", "top"])
     alone = written(alone.select("token", F.when(F.col("as_large") == 1, F.col("top")).otherwise(F.col("top") + 1).alias("below"), "weight"), "largest")
     asking = written(lookup(rows, alone, ["token"], "weight").filter("size < below").drop("below", "weight"), "asking")
-    target = matrix.select("token", F.col("group").alias("target"), F.col("size").alias("target_size"), "least", "most")
-    smaller = (F.col("size") < F.col("target_size")) | (F.col("size") == F.col("target_size")) & (F.col("group") > F.col("target"))
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100)
-    pairs = asking.join(target, "token").filter(smaller & fits).groupBy(F.col("node").alias("query"), F.col("target").alias("group")).agg(
+    pairs = _asked(asking, matrix, percent).groupBy("query", "group").agg(
         F.count(F.lit(1)).alias("common"), F.min("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
     )
     # How many of the tokens at the front must be common.  Of two linked sets, all tokens of one's
@@ -371,7 +400,8 @@ def similar(
        a group, and its leader goes on to the next round with another hash.
     3. The token-group matrix holds, for each group, the tokens of its members of which two linked
        documents must share one (prefixes in an order that puts frequent shingles last).
-       Documents whose tokens meet those of a larger group are that group's queries.
+       Documents whose tokens meet those of a larger group are that group's queries, unless the parities of
+       the two sets tell that they differ by too much.
     4. A query's overlap with the token union of a chunk of the group is bounded, and the chunk
        opened only if the bound allows a link.  Further chunks are opened only for queries without
        a link to the first.
@@ -394,9 +424,9 @@ def similar(
     wanted = written(wanted.distinct(), "wanted")
     marked = marked_likely(rows, wanted.select(F.col("node").alias("doc_id")), ["doc_id"], "full")
     tokens = _token_rows(marked, words, percent, _frequent(digests, frequent)).filter("n > 0 AND doc_id IS NOT NULL")
-    tokens = written(tokens.select("doc_id", "s1", "s2", "n", "prefix", "tokens"), "tokens")
+    tokens = written(tokens.select("doc_id", "s1", "s2", "n", *PARITIES, "prefix", "tokens"), "tokens")
     spare = written(_spare(in_part, classes), "spare")
-    prefixes = _representatives(tokens.select("doc_id", "s1", "s2", "n", "prefix"), spare)
+    prefixes = _representatives(tokens.select("doc_id", "s1", "s2", "n", *PARITIES, "prefix"), spare)
     held = _representatives(tokens.filter(F.size("tokens") > 0).select("doc_id", "s1", "s2", "tokens"), spare)
 
     groups = _group_rounds(nodes.select("node", "m1", "m2", "m3"), held, percent, together, rounds)

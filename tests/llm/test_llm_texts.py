@@ -120,6 +120,43 @@ def test_jaccard_odd_tables(spark):
     assert jaccard.similar(table(spark, rows).limit(0)).count() == 0
 
 
+def test_jaccard_alike_but_not_linked(spark, monkeypatch):
+    """Documents that share most words but link with few give no row for each token of each pair."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for doc in range(120):
+        words = list(base)
+        for i in rng.choice(150, rng.integers(4, 9), replace=False):
+            words[i] = f"x{rng.integers(8)}" if doc % 3 else f"y{doc}-{i}"
+        rows.append((doc, " ".join(words)))
+        if doc % 20 == 0:
+            words[75] = "z"
+            rows.append((1000 + doc, " ".join(words)))
+    seen = []
+    joined = jaccard._asked
+    monkeypatch.setattr(jaccard, "_asked", lambda *a: (seen.append((joined(*a).count(), joined(a[0].drop(*jaccard.PARITIES), a[1].drop(*jaccard.PARITIES), a[2]).count())), joined(*a))[1])
+    got = jaccard.similar(table(spark, rows), 4, 85, rounds=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 4, 85)
+    (paired, before), = seen
+    assert before > 2000 and paired * 10 < before
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_parities_never_bound_too_much(percent):
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        common, a, b = (rng.integers(0, 2**63, rng.integers(0, k)).astype(np.uint64) for k in (900, 200, 200))
+        one, two = (np.unique(np.concatenate([common, x])) for x in (a, b))
+        bits = jaccard._parities([one, np.empty(0, np.uint64), two])
+        assert bits.shape == (3, len(jaccard.PARITIES)) and not bits[1].any()
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in bits[0] ^ bits[2])
+        exact = len(np.setxor1d(one, two))
+        assert differ <= exact and (differ - exact) % 2 == 0
+        if len(one) and 100 * len(np.intersect1d(one, two)) >= percent * len(np.union1d(one, two)):
+            assert differ * (100 + percent) <= (len(one) + len(two)) * (100 - percent)
+
+
 def test_candidates_between_the_sizes_of_a_group(spark):
     # The bound of 105 and of 107 tokens is 6 common ones, that of 106 is 5.
     early, shared, late = (np.arange(a, b, dtype=np.uint64) for a, b in ((1, 12), (100, 195), (900, 905)))
