@@ -17,8 +17,9 @@ from snipquarry.plans.scratch import scratch_dir, written, written_rows
 UNKNOWN = "und"
 # Shards that a cycle scans.  Lengths are activated between scans, so more shards mean earlier starts and more scans.
 SHARDS = 4
-# Tokens of a stored row, and of one round of counting in a task (pieces are never cut).
-CHUNK_TOKENS = 1 << 17
+# Tokens of a stored row, 256 KB of them, and of one round of counting in a task (pieces are never cut).  Arrays of more
+# than half a region of a small heap, 512 KB, take whole regions of it.
+CHUNK_TOKENS = 1 << 15
 ROUND_TOKENS = 1 << 18
 # Bits of a filter for each phrase that has reached the threshold when it is first made, and most bits of it: 16 MB.
 PHRASE_BITS = 64

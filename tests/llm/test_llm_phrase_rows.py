@@ -40,3 +40,11 @@ def test_folders_are_written_without_a_sort(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, back.select("id", "part").collect())) == sorted(map(tuple, rows.collect()))
     assert len(list((tmp_path / "out").glob("part=*/*.parquet"))) == 3
+
+
+def test_stored_rows_stay_small(spark):
+    """No row of hashed words takes whole regions of an executor's heap, and none is left out."""
+    texts = [("en", " ".join(f"w{(7 * i + j) % 900}" for j in range(2000))) for i in range(60)]
+    documents = spark.createDataFrame(texts, "lang string, text string").coalesce(1)
+    rows = phrases._stored(documents, 2, 0).filter("shard >= 0").selectExpr("length(tokens) AS n").collect()
+    assert max(r.n for r in rows) <= 512 << 10 and sum(r.n for r in rows) == 8 * 60 * 2001
