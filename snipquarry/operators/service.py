@@ -1,16 +1,19 @@
 """Answer search requests the way a cached search service does."""
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from snipquarry import schemas, settings
 from snipquarry.functions import keys, scores
 from snipquarry.operators import cache as entries_cache, inference
 from snipquarry.operators.search import RESULT_FIELDS, responses, scoped_topk, with_snippets
 from snipquarry.plans.keys import marked_likely
-from snipquarry.plans.scratch import written
-from snipquarry.plans.skew import first_per_key, salted_join
+from snipquarry.plans.scratch import noted, remove_scratch, written, written_once
+from snipquarry.plans.skew import first_per_key, hot_keys, salted_join
 from snipquarry.sources.store import Store
 
+# Bytes of texts that a task sorts when it writes rows with their texts.
+PIECE_BYTES = 128 * 1024 * 1024
+
 
 def results_type(snippets: DataFrame) -> T.ArrayType:
     """Type of the result list of a response."""
@@ -89,63 +92,154 @@ def retrieve(
     return hits.unionByName(fresh), entries
 
 
-def suggest(
-    requests: DataFrame, snippets: DataFrame, cache: DataFrame, provider: inference.Provider = inference.fenced_provider,
-    ttl=settings.SUGGESTION_TTL_SECONDS, confidence=settings.CONFIDENCE,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(answers, new records, new cache entries) for suggestion requests
-    (request_id, snippet_id, issue_type, issue_description, requested_at).
+def _text_id(text) -> Column:
+    """Id of a text by what it holds; a missing text has the empty id."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
 
-    Requests with an unknown type or snippet get no answer.  A live cache entry answers a
-    request; of the others of a key (snippet and type) the first is generated, and then the first
-    that comes `ttl` seconds or more after the last generated one.
+
+def _suggested(requests: DataFrame, snippets: DataFrame, cache: DataFrame, provider: inference.Provider, ttl) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answered, generated, texts) for suggestion requests, see `suggest`.
+
+    `answered` (request_id, text_id, cached) and `generated` (what was asked, generated_text, text_id, bytes) name their
+    texts by id, and `texts` (text_id, suggested_fix) has each once: texts are sent and stored by text and not by request.
     """
     key = keys.suggestion_key(F.col("snippet_id"), F.col("issue_type"))
     valid, _ = inference.split_issues(requests)
     ids = snippets.select(F.col("id").alias("snippet_id"))
     asked = salted_join(written(valid, "valid"), ids, ["snippet_id"], ["request_id"], "left_semi").withColumn("key", key)
-    answer = "suggested_fix string, model_confidence double"
-    looked_up = entries_cache.lookup(written(asked, "asked"), cache, ts="requested_at", spread=["request_id"])
+    # Only ids of values go through the lookup.
+    held = cache.select("key", F.sha2("value", 256).alias("value"), "written_at", "expires_at")
+    looked_up = entries_cache.lookup(written(asked, "asked"), held, ts="requested_at", spread=["request_id"])
     looked_up = written(looked_up.select(*asked.columns, "value"), "lookups")
-    value = entries_cache.from_value(F.col("value"), answer)
-    hits = looked_up.filter("value IS NOT NULL").select("request_id", value["suggested_fix"].alias("suggested_fix"), F.lit(True).alias("cached"))
+    found = looked_up.filter("value IS NOT NULL")
+    hits = found.select("request_id", F.concat(F.lit("cache:"), "value").alias("text_id"), F.lit(True).alias("cached"))
+    ids = written(found.select(F.col("value").alias("_value")).distinct(), "hit_values")
+    values = marked_likely(cache.select(F.sha2("value", 256).alias("_value"), "value"), ids, ["_value"], "_hit")
+    value = entries_cache.from_value(F.col("value"), "suggested_fix string, model_confidence double")
+    hit_texts = first_per_key(values.filter("_hit").drop("_hit"), ["_value"], ["value"]).select(
+        F.concat(F.lit("cache:"), "_value").alias("text_id"), value["suggested_fix"].alias("suggested_fix")
+    )
 
     missed = looked_up.filter("value IS NULL").drop("value")
     replayed = entries_cache.ttl_replay(missed, ttl, ts="requested_at", id="request_id").withColumnRenamed("id", "request_id")
     marked = written(missed.join(replayed, "request_id"), "misses")
-    prompts = inference.fix_prompts(marked.filter("NOT hit"), snippets)
-    generated = written(inference.generate(prompts, provider).drop("prompt", "tokens_used"), "generated")
-    records = generated.select(
-        keys.stable_id(F.col("snippet_id"), F.col("issue_type"), F.col("issue_description")).alias("id"),
-        "snippet_id", "issue_type", "issue_description", F.col("generated_text").alias("suggested_fix"),
-        F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("created_at"),
-    )
-    new = generated.select("key", F.col("generated_text").alias("suggested_fix"), F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("written_at"))
-    entries = entries_cache.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
+    sources = snippets.select("id", "content")
+    if dict(marked.dtypes)["snippet_id"] == dict(sources.dtypes)["id"]:
+        # Of the snippets those are sent that a prompt needs.
+        ids = written(marked.filter("NOT hit").select(F.col("snippet_id").alias("id")).distinct(), "asked_snippets")
+        sources = marked_likely(sources, ids, ["id"], "_asked").filter("_asked").drop("_asked")
+    prompts = inference.fix_prompts(marked.filter("NOT hit"), sources)
+    generated = inference.generate(prompts, provider).drop("prompt", "tokens_used")
+    size = F.coalesce(F.octet_length("generated_text"), F.lit(0)).cast("long")
+    generated = written_once(generated.withColumns({"text_id": _text_id(F.col("generated_text")), "bytes": size}), "generated")
+    # One row of each text.
+    one = written(generated.groupBy("text_id").agg(F.min("request_id").alias("request_id")), "text_rows")
+    some = marked_likely(generated.select("text_id", "request_id", F.col("generated_text").alias("suggested_fix")), one, ["text_id", "request_id"], "_one")
+    texts = first_per_key(some.filter("_one"), ["text_id"], ["request_id"]).select("text_id", "suggested_fix")
+    texts = written(texts.unionByName(hit_texts), "texts")
+
     asked_of = _answered_by(marked, ttl, "request_id", [])
-    by_first = generated.select(F.col("request_id").alias("_first"), F.col("generated_text").alias("suggested_fix"))
-    fresh = salted_join(asked_of, by_first, ["_first"], ["request_id"]).select("request_id", "suggested_fix", F.col("hit").alias("cached"))
-    return hits.unionByName(fresh), records, entries
+    by_first = generated.select(F.col("request_id").alias("_first"), "text_id")
+    fresh = salted_join(asked_of, by_first, ["_first"], ["request_id"]).select("request_id", "text_id", F.col("hit").alias("cached"))
+    return written(hits.unionByName(fresh), "answered"), generated, texts
+
+
+def suggest(
+    requests: DataFrame, snippets: DataFrame, cache: DataFrame, provider: inference.Provider = inference.fenced_provider,
+    ttl=settings.SUGGESTION_TTL_SECONDS, confidence=settings.CONFIDENCE,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, new records, new cache entries) for suggestion requests
+    (request_id, snippet_id, issue_type, issue_description, requested_at).
+
+    Requests with an unknown type or snippet get no answer.  A live cache entry answers a
+    request; of the others of a key (snippet and type) the first is generated, and then the first
+    that comes `ttl` seconds or more after the last generated one.
+    """
+    answered, generated, texts = _suggested(requests, snippets, cache, provider, ttl)
+    generated = generated.withColumnRenamed("generated_text", "suggested_fix")
+    return _answers(answered, texts), _records(generated, confidence).drop("text_id", "bytes"), _entries(generated, confidence, ttl)
+
 
+def _answers(answered: DataFrame, texts: DataFrame) -> DataFrame:
+    return salted_join(answered, texts, ["text_id"], ["request_id"]).select("request_id", "suggested_fix", "cached")
 
-def suggest_stored(store: Store, requests: DataFrame, snippets: DataFrame, **options) -> DataFrame:
+
+def _records(generated: DataFrame, confidence) -> DataFrame:
+    """Records of generated suggestions, with their texts or without."""
+    id = keys.stable_id(F.col("snippet_id"), F.col("issue_type"), F.col("issue_description")).alias("id")
+    own = [c for c in ("snippet_id", "issue_type", "issue_description", "suggested_fix", "text_id", "bytes") if c in generated.columns]
+    return generated.select(id, *own, F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("created_at"))
+
+
+def _entries(generated: DataFrame, confidence, ttl) -> DataFrame:
+    new = generated.select("key", "suggested_fix", F.lit(float(confidence)).alias("model_confidence"), F.col("requested_at").alias("written_at"))
+    return entries_cache.entries(new, ["suggested_fix", "model_confidence"], "written_at", ttl)
+
+
+def _with_texts(rows: DataFrame, texts: DataFrame, spread: list[str]) -> DataFrame:
+    """Stored rows (text_id, bytes) with their texts, in as many partitions as keep the texts of one small enough to be sorted.
+
+    Rows with one text are together, unless they are very many, so that a file can hold the text once.
+    """
+    spark = rows.sparkSession
+    pieces = -(-(rows.agg(F.sum("bytes")).first()[0] or 0) // PIECE_BYTES)
+    # Few texts are spread over the cores by Spark itself.
+    parts = [pieces] if pieces > spark.sparkContext.defaultParallelism else []
+    hot = F.broadcast(hot_keys(rows, ["text_id"]))
+    salt = F.pmod(F.xxhash64(*spread), F.coalesce("_parts", F.lit(1))).cast("int")
+    salted = rows.join(hot, "text_id", "left").withColumn("_salt", salt).drop("_parts")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    repeated = texts.join(hot, "text_id", "left").withColumn("_salt", every).drop("_parts")
+    joined = salted.repartition(*parts, "text_id", "_salt").join(repeated.repartition(*parts, "text_id", "_salt").hint("merge"), ["text_id", "_salt"])
+    return joined.drop("text_id", "_salt", "bytes")
+
+
+def _last_entries(generated: DataFrame, texts: DataFrame, confidence, ttl) -> tuple[DataFrame, DataFrame]:
+    """The last cache entry of each key, and the keys: texts are compared only where a key has several at its last time."""
+    at = F.col("requested_at").cast("timestamp")
+    last = F.max(F.struct(at.alias("at"), "text_id", "bytes")).alias("_last")
+    other = F.min(F.struct((-F.unix_micros(at)).alias("at"), "text_id")).alias("_other")
+    ends = generated.groupBy("key").agg(last, other).select(
+        "key", F.col("_last.at").alias("requested_at"), "_last.text_id", "_last.bytes", (F.col("_last.text_id") != F.col("_other.text_id")).alias("_several"),
+    )
+    ends = written(ends, "last_entries")
+    found = _entries(_with_texts(ends.filter("NOT _several").drop("_several"), texts, ["key"]), confidence, ttl)
+    several = ends.filter("_several").select("key", F.col("requested_at").alias("_at"))
+    if several.isEmpty():
+        return found, ends.select("key")
+    same = (F.col("key") == F.col("_key")) & (at == F.col("_at"))
+    rows = generated.select("key", "requested_at", "text_id").join(several.withColumnRenamed("key", "_key"), same, "left_semi").distinct()
+    rows = written(rows, "several_entries")
+    chosen = entries_cache.current(_entries(salted_join(rows, texts, ["text_id"], ["key"]), confidence, ttl))
+    return found.unionByName(chosen), ends.select("key")
+
+
+def suggest_stored(
+    store: Store, requests: DataFrame, snippets: DataFrame, provider: inference.Provider = inference.fenced_provider,
+    ttl=settings.SUGGESTION_TTL_SECONDS, confidence=settings.CONFIDENCE,
+) -> DataFrame:
     """Answers to suggestion requests from the entries in the table cache of a store, see `suggest`.
 
     New records go to the table suggestion_requests and new entries to the cache, in one commit; a
-    record that is there already is replaced.
+    record that is there already is replaced.  A file holds a text once, however many of its rows have it.
     """
-    with store.change() as change:
+    scratch = []
+    with noted(scratch), store.change() as change:
         held = "cache" in change.tables
         cache = store.read("cache", change.version - 1) if held else requests.sparkSession.createDataFrame([], schemas.CACHE)
-        answers, records, entries = suggest(requests, snippets, cache, **options)
-        # Texts go through few shuffles: only records that come more than once, and what may be the last entry of a key.
+        answered, generated, texts = _suggested(requests, snippets, cache, provider, ttl)
+        made = generated.drop("generated_text")
+        records = _records(made, confidence)
+        # Only records that come more than once are compared.
         twice = written(records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated_records")
         marked = marked_likely(records, twice, ["id"], "_twice")
         some = first_per_key(marked.filter("_twice").drop("_twice"), ["id"], ["created_at"], last=True)
-        records = schemas.conform(marked.filter("NOT _twice").drop("_twice").unionByName(some), schemas.SUGGESTION_REQUESTS)
-        ends = written(entries.groupBy("key").agg(F.max("written_at").alias("written_at")), "last_entries")
-        ending = marked_likely(entries, ends, ["key", "written_at"], "_last").filter("_last").drop("_last")
-        last = written(entries_cache.current(ending), "entries")
-        change.replace("suggestion_requests", records, records.select("id"), order=["id"], find_by=["id"])
-        change.replace("cache", last, last.select("key"), order=["key"], find_by=["key"])
-    return answers
+        chosen = written(marked.filter("NOT _twice").drop("_twice").unionByName(some), "chosen_records")
+        records = schemas.conform(_with_texts(chosen, texts, ["id"]), schemas.SUGGESTION_REQUESTS)
+        change.replace("suggestion_requests", records, chosen.select("id"), order=["id"], find_by=["id"], once=True)
+        last, ends = _last_entries(made, texts, confidence, ttl)
+        change.replace("cache", last, ends, order=["key"], find_by=["key"], once=True)
+    # Answers are read from two of the tables.
+    kept = [path for path in scratch if path.rsplit("/", 1)[1].rsplit("-", 1)[0] in ("answered", "texts")]
+    remove_scratch(requests.sparkSession, [path for path in scratch if path not in kept])
+    return _answers(answered, texts)

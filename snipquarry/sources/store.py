@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from snipquarry.plans.scratch import ONCE
+
 VERSION = "_version"
 # Folders of about one size that are merged into one, and how much larger the next size is.
 FANOUT = 8
@@ -176,12 +178,17 @@ class Change:
     def state(self, table: str, schema: T.StructType) -> dict:
         return self.tables.setdefault(table, {"schema": json.loads(schema.json()), "data": [], "removed": []})
 
-    def _write(self, table: str, rows: DataFrame, order, find_by) -> dict:
+    def _write(self, table: str, rows: DataFrame, order, find_by, once=False) -> dict:
         folder = f"{VERSION}={self.version}/{uuid.uuid4().hex}"
         seen = Observation()
         counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        writer = (counted.sortWithinPartitions(*order) if order else counted).write
-        if find_by:
+        writer = (counted.sortWithinPartitions(*order) if order else counted).write.options(**(ONCE if once else {}))
+        if find_by and once:
+            # Rows with long values are not counted first: of filters from 2 KB to 1 MB a file keeps the least that holds its values.
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+            for column in find_by:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.candidates.number#{column}", "10")
+        elif find_by:
             # Filters of a size that their values ask for; by itself each would take a megabyte.
             values = min(max(rows.count(), 1), FILTER_VALUES)
             for column in find_by:
@@ -192,15 +199,16 @@ class Change:
         self.bytes += size
         return {"folder": folder, "version": self.version, "rows": seen.get["rows"], "bytes": size}
 
-    def append(self, table: str, rows: DataFrame, order=(), find_by=()) -> int:
+    def append(self, table: str, rows: DataFrame, order=(), find_by=(), once=False) -> int:
         """Add rows and return how many.
 
         With `order`, files are sorted by these columns; with `find_by`, they carry Bloom filters of
         them, so that a lookup of few values reads few pages (the rows are counted first: give stored ones).
+        With `once`, a file holds a long value that many of its rows have only once.
         """
         state = self.state(table, rows.schema)
         names = T.StructType.fromJson(state["schema"]).names
-        entry = self._write(table, rows.select(*names), order, find_by)
+        entry = self._write(table, rows.select(*names), order, find_by, once)
         if entry["rows"]:
             state["data"].append(entry)
         return entry["rows"]
@@ -216,10 +224,10 @@ class Change:
         if entry["rows"]:
             self.tables[table]["removed"].append(entry | {"by": keys.columns})
 
-    def replace(self, table: str, rows: DataFrame, keys: DataFrame, order=(), find_by=()) -> int:
+    def replace(self, table: str, rows: DataFrame, keys: DataFrame, order=(), find_by=(), once=False) -> int:
         """Remove what the table has of the keys and add the rows."""
         self.remove(table, keys)
-        return self.append(table, rows, order, find_by)
+        return self.append(table, rows, order, find_by, once)
 
     def commit(self) -> None:
         for state in self.tables.values():
