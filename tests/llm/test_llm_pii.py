@@ -203,3 +203,39 @@ def test_query(spark):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == j for _, _, k in base) for j in range(4))
         assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest()
         assert set(named.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_rewritten_texts_are_whole():
+    """Other forms keep every letter and digit of a value, are no fixed values, and pass the check of their kind."""
+    rng = random.Random(11)
+    plain = lambda text: "".join(c for c in re.sub(r"(?i)\b(at|dot)\b", "", text) if c.isalnum())
+    values = [(k, one(rng, k)) for k in range(4) for _ in range(300)]
+    values += [(3, f"+{rng.randrange(10 ** (n - 1), 10 ** n)}") for n in range(9, 16) for _ in range(60)]
+    values += [(2, card(rng, n)) for n in range(12, 20) for _ in range(40)] + [(0, "a..b@c.de"), (0, "a.b@c-d.e.org")] * 40
+    seen = Counter()
+    for kind, value in values:
+        text = pii.rewritten(value, kind, rng)
+        assert plain(text).removeprefix("00" if kind == 3 and text.startswith("00") else "") == plain(value), (value, text)
+        assert (0, len(text), kind) not in pii.base_spans(text) and (kind or ".." in value or pii.holds(0, text)), (value, text)
+        assert kind == 0 or pii.holds(kind, text), (value, text)
+        seen["local"] += kind == 0 and " dot " in re.split(r"(?i)\bat\b|@", text)[0]
+        seen["one dot"] += kind == 1 and text.count(".") - text.count("[.]") - text.count("(.)") - text.count(" . ") - text.count("{.}") == 2
+        seen["country"] += kind == 3 and not text.startswith(("00", "(", "+")) and len(plain(value)) > 10
+    assert min(seen.values()) > 20 and len(seen) == 3
+    assert pii.rewritten("no at sign", 0, rng) == "no at sign"
+    assert {len(plain(pii.without_country("+49 (499) 555-6503", 3, rng))) for _ in range(20)} == {10}
+
+
+def test_whole_spans_of_other_forms(spark, learned):
+    rng, word = random.Random(8), lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    d = lambda n: "".join(str(rng.randrange(1, 10)) for _ in range(n))
+    forms = [
+        lambda: f"{d(2)}.{d(3)}.{d(3)}.{d(4)}", lambda: f"00{d(2)} ({d(3)}) {d(3)} {d(4)}", lambda: f"00{d(3)} ({d(5)}) {d(3)} {d(4)}",
+        lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{word()}{d(1)}@{word()}[.]com", lambda: f"{word()} at {word()} [.] com",
+    ]
+    for form, least in zip(forms, [85, 90, 90, 90, 90, 60]):
+        texts = [form() for _ in range(100)]
+        before = [prose(rng, rng.randint(3, 30)) + " so " for _ in texts]
+        found = pii._more([a + text + " and on" for a, text in zip(before, texts)], [[]] * 100, learned)
+        whole = sum((len(a), len(a) + len(text)) in {(x, y) for x, y, _ in f} for a, text, f in zip(before, texts, found))
+        assert whole >= least, (texts[0], whole)
